@@ -33,6 +33,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # rows hold whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
