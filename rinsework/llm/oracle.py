@@ -25,5 +25,18 @@ from levels group by conv_id
 """
 
 
+OP2 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, d.vec_id, list_inner_product(q.v, d.v)::bigint as score
+  from v q join v d on d.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1}
+    return {"op1_chat_formatting": OP1, "op2_voronoi_knn": OP2}
