@@ -38,5 +38,63 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 
+OP7 = r"""
+with texts as (
+  select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
+split as (
+  select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from texts),
+windows as (
+  select rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as w
+  from (select rid, words, unnest(range(1, len(words) - 1)) as i from split where len(words) >= 3)),
+starts as (
+  select rid, i, lead(i) over (partition by rid order by i) as following
+  from (select *, count(*) over (partition by rid, w) as n from windows) where n > 1),
+repeated as (select rid, sum(least(3, coalesce(following - i, 3)))::bigint as n from starts group by rid),
+measured as (
+  select s.rid, doc_id, lang, source, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, len(lines)::bigint as n_lines
+  from split s left join repeated r on r.rid = s.rid),
+judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    1000 * n_symbols // greatest(word_chars, 1) as symbols, 1000 * n_dup_lines // greatest(n_lines, 1) as dup_lines,
+    1000 * n_repeat_words // greatest(n_words, 1) as repeats, 100 * word_chars // greatest(n_words, 1) as word_length
+  from measured),
+entries as (
+  select lang, source, 'symbols' as metric, symbols as bucket from judged where not base_failed
+  union all select lang, source, 'dup_lines', dup_lines from judged where not base_failed
+  union all select lang, source, 'repeats', repeats from judged where not base_failed
+  union all select lang, source, 'word_length', word_length from judged where not base_failed),
+sketch as (
+  select 2 as level, lang, source, metric, bucket, count(*) as n from entries group by lang, source, metric, bucket
+  union all select 1, lang, null, metric, bucket, count(*) from entries group by lang, metric, bucket
+  union all select 0, null, null, metric, bucket, count(*) from entries group by metric, bucket),
+ranked as (
+  select *, sum(n) over (partition by level, lang, source, metric order by bucket) as upto, sum(n) over (partition by level, lang, source, metric) as total
+  from sketch),
+quartiles as (
+  select level, lang, source, metric, max(total) as total, min(case when upto * 100 >= total * 25 then bucket end) as q1,
+    min(case when upto * 100 >= total * 75 then bucket end) as q3
+  from ranked group by level, lang, source, metric),
+fences as (
+  select level, lang, source, max(total) as total,
+    max(case when metric = 'symbols' then q3 + greatest(3 * (q3 - q1), 30) end) as h1,
+    max(case when metric = 'dup_lines' then q3 + greatest(3 * (q3 - q1), 250) end) as h2,
+    max(case when metric = 'repeats' then q3 + greatest(3 * (q3 - q1), 250) end) as h3,
+    max(case when metric = 'word_length' then q3 + greatest(3 * (q3 - q1), 250) end) as h4,
+    max(case when metric = 'word_length' then q1 - greatest(3 * (q3 - q1), 250) end) as l4
+  from quartiles group by level, lang, source),
+found as (
+  select j.*, f.h1, f.h2, f.h3, f.h4, f.l4, row_number() over (partition by j.rid order by f.level desc) as place
+  from judged j left join fences f on (f.total >= 50 or f.level = 0)
+    and (f.level = 0 or (f.lang is not distinct from j.lang and (f.level = 1 or f.source is not distinct from j.source))))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(symbols <= h1 and dup_lines <= h2 and repeats <= h3 and word_length <= h4 and word_length >= l4, false) as kept
+from found where place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op2_voronoi_knn": OP2}
+    return {"op1_chat_formatting": OP1, "op2_voronoi_knn": OP2, "op7_quality_rules": OP7}
