@@ -7,7 +7,7 @@ parent), and the fingerprints of every piece of the shard are sent down it, foll
 
 The trees travel with the shuffle to the rows that can match them and aren't broadcast to all: together they hold all
 fingerprints, which grow with the corpus. Of the links found in a piece only a spanning forest goes on, at most one link a
-fingerprint, so a large group of near copies gives no squares; components.py joins the forests.
+fingerprint, so a large group of near copies gives no squares; connected components join the forests.
 
 Defined cases: a null text has no words, and texts without words have the fingerprint zero, linked as any other; equal
 texts share a fingerprint whatever their number; rows with a null doc_id are fingerprinted and linked, but only other ids
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinsework.llm.components import components
+from rinsework.operators.components import components
 from rinsework.session import staged
 
 SEED = 42
