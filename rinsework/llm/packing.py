@@ -15,6 +15,7 @@ of text is cut whole; a null doc_id stays null; no rows give no rows; other colu
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,14 +32,54 @@ CACHED = 500_000  # words a worker remembers
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Words of these characters fall into letters, single digits and runs of signs whatever their case; an apostrophe could start an ending.
+PLAIN = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class WordTokens:
-    """A tokenizer whose pre-tokens never hold ASCII white space: words between it are encoded by themselves, and once."""
+    """A tokenizer whose pre-tokens never hold ASCII white space: words between it are encoded by themselves, and once.
+
+    New words are cut into pre-tokens in lower case, as the tokenizer does, and those that are new too are encoded by one call for
+    all; each ends with a token that is marked as a word's end, which tells them apart. Words that hold anything unusual go
+    to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.seen: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn_parts(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(new):
+            raise RuntimeError("the tokenizer cuts pre-tokens elsewhere")
+        raw, at = ids.tobytes(), 0
+        for part, end in zip(new, (4 * ends).tolist(), strict=True):
+            self.parts[part] = raw[at:end]
+            at = end
+
+    def _learn(self, new: list[bytes]) -> None:
+        cut, whole = [], []
+        for w in new:
+            text = w.decode()
+            (cut if PLAIN.fullmatch(text) and not ("<" in text and self.special.search(text)) else whole).append((w, text))
+        split = [(w, PARTS.findall(text.lower())) for w, text in cut]
+        if len(self.parts) > CACHED:
+            self.parts.clear()
+        if unknown := list({p for _, own in split for p in own if p not in self.parts}):
+            self._learn_parts(unknown)
+        for w, own in split:
+            self.seen[w] = self.parts[own[0]] if len(own) == 1 else b"".join(map(self.parts.__getitem__, own))
+        if whole:
+            for (w, _), e in zip(whole, self.tokenizer.encode_batch_fast([t for _, t in whole], add_special_tokens=False), strict=True):
+                self.seen[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -48,8 +89,7 @@ class WordTokens:
             if len(self.seen) + len(new) > CACHED:
                 self.seen.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
         return b"".join(map(self.seen.__getitem__, words))
 
 
