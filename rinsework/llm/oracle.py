@@ -81,7 +81,7 @@ quartiles as (
 fences as (
   select level, lang, source, max(total) as total,
     max(case when metric = 'symbols' then q3 + greatest(3 * (q3 - q1), 30) end) as h1,
-    max(case when metric = 'dup_lines' then q3 + greatest(3 * (q3 - q1), 250) end) as h2,
+    max(case when metric = 'dup_lines' then q3 + greatest(3 * (q3 - q1), 500) end) as h2,
     max(case when metric = 'repeats' then q3 + greatest(3 * (q3 - q1), 250) end) as h3,
     max(case when metric = 'word_length' then q3 + greatest(3 * (q3 - q1), 250) end) as h4,
     max(case when metric = 'word_length' then q1 - greatest(3 * (q3 - q1), 250) end) as l4

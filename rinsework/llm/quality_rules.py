@@ -27,7 +27,7 @@ from rinsework.session import staged
 
 SPACE = " \t\n\x0b\f\r"
 #: metric: (margin above the upper quartile, margin below the lower one or None), in its grid's steps
-FENCES = {"symbols": (30, None), "dup_lines": (250, None), "repeats": (250, None), "word_length": (250, 250)}
+FENCES = {"symbols": (30, None), "dup_lines": (500, None), "repeats": (250, None), "word_length": (250, 250)}
 LEAST = 50  # documents that a group needs for fences of its own
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -62,9 +62,11 @@ def measure(docs: DataFrame, *more: str | Column) -> DataFrame:
     step4 = step3.withColumn("_starts", F.array_sort(_covered(F.lit(None), F.lit(None), F.col("_marked")))).drop("_marked")
     spread = F.transform("_starts", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_starts", j + 1) - p, F.lit(3))))
     kept = [c for c in step1.columns if c not in ("_text", "_words", "_lines")]
+    # a filter isn't pushed below what isn't deterministic; there it would hold copies of all these expressions
+    here = 0 * F.monotonically_increasing_id()
     counted = step4.select(
         *kept,
-        F.col("_n").alias("n_words"),
+        (F.col("_n") + here).alias("n_words"),
         F.col("_chars").alias("word_chars"),
         F.col("_symbols").alias("n_symbols"),
         F.col("_dups").alias("n_dup_lines"),

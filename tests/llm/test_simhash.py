@@ -81,8 +81,71 @@ def test_odd_rows_and_keep_first(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr)
     assert [(d, f"{f:016x}", c) for d, f, c in got] == slow_components([(d, slow_fingerprint(t)) for d, t, _ in rows])
-    kept = simhash.keep_first(df)
+    kept = simhash.keep_first(df, simhash.near_duplicates(df))
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 7]
     empty = df.limit(0)
-    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty).collect() == []
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty, simhash.near_duplicates(empty)).collect() == []
+
+
+# ---- by similarity
+
+
+def shingle_set(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rnd, words, share):
+    return [rnd.choice(WORDS) if rnd.random() < share else w for w in words]
+
+
+WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha", "je") for b in ("n", "r", "st", "t", "l", "m", "ck", "p")]
+
+
+def test_similar_documents(spark):
+    rnd = random.Random(9)
+    texts = []
+    for size in (60, 150, 400, 900):
+        for _ in range(12):
+            base = [rnd.choice(WORDS) for _ in range(size)]
+            texts += [" ".join(base)] + [" ".join(edited(rnd, base, share)) for share in (0.005, 0.01, 0.02, 0.05, 0.3)]
+    base = [rnd.choice(WORDS) for _ in range(500)]
+    texts += [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(300)]  # one large group of near copies
+    rows = [(i, t, 0) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA), piece=64).collect()}
+    assert sorted(found) == list(range(len(texts)))
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    linked = [found[i] == found[j] for i, j in pairs]
+    assert sum(linked) >= 0.97 * len(linked)
+    parent = list(range(len(texts)))  # no component is larger than links of 0.77 make it
+    for i in range(len(texts)):
+        for j in range(i):
+            if found[i] == found[j] and jaccard(sets[i], sets[j]) >= 0.77:
+                a, b = i, j
+                while parent[a] != a:
+                    a = parent[a]
+                while parent[b] != b:
+                    b = parent[b]
+                parent[max(a, b)] = min(a, b)
+    roots = {}
+    for i in range(len(texts)):
+        a = i
+        while parent[a] != a:
+            a = parent[a]
+        roots.setdefault(found[i], set()).add(a)
+    assert all(len(r) == 1 for r in roots.values())
+    assert all(found[c] == c for c in set(found.values()))
+
+
+def test_similar_odd_rows(spark):
+    rows = [(3, "a b c d", 1), (1, "A b c d", 1), (None, "a b c d", 1), (7, None, 1), (8, "", 1), (9, "zz yy", 1), (3, "a b c d", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(tuple(r) for r in simhash.similar_documents(df).collect()) == [(1, 1), (3, 1), (3, 1), (7, 7), (8, 7), (9, 9)]
+    assert simhash.similar_documents(df.limit(0)).collect() == []
+    assert sorted(r.doc_id for r in simhash.keep_first(df, simhash.similar_documents(df)).filter("doc_id is not null").collect()) == [1, 7, 9]
