@@ -5,7 +5,7 @@ normalisation is the identity. sentencepiece then merges, as the rank file's own
 joined piece has the highest score, that is the lowest rank, the leftmost first. A text is cut by the pattern into
 pre-tokens, and each is encoded by itself. Decoding maps ids to pieces and pieces back to bytes.
 
-A pre-token that is a token as a whole gets that token. Words recur, so a worker keeps the ids of pre-tokens it has seen
+A pre-token that is a token as a whole gets that token. Words recur, so a task keeps the ids of pre-tokens it has seen
 up to a fixed number; that changes no result.
 
 Defined cases: a null text is empty and has no ids; texts of any length are encoded whole; a null doc_id stays null;
@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 400_000  # pre-tokens a worker remembers
+from rinsework.llm.workers import tidy
+
+CACHED = 400_000  # pre-tokens a task remembers
 
 
 def byte_map() -> list[str]:
@@ -124,7 +126,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             own = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *own], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _loaded(path, pattern).seen.clear()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -135,4 +137,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t.as_py() or "") for t in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _loaded(path, pattern).seen.clear()), "doc_id long, ids array<int>")

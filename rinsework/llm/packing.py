@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.llm.workers import tidy
 from rinsework.session import staged
 
-CACHED = 500_000  # words a worker remembers
+CACHED = 500_000  # words a task remembers
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -55,6 +56,10 @@ class WordTokens:
         self.seen: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.parts.clear()
+
     def _learn_parts(self, new: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.is_end[ids]) + 1
@@ -116,7 +121,7 @@ def cut(docs: DataFrame, path: str, end_id: int = 2, room: int = 4096) -> DataFr
                     rows.append((doc_id, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _loaded(path).forget()), PIECES)
 
 
 def balance(lengths: np.ndarray, room: int, per_token: float = 1.0, per_pair: float = 1 / 2048) -> tuple[np.ndarray, np.ndarray]:

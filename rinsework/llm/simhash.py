@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.llm.workers import tidy
 from rinsework.operators.components import components
 from rinsework.session import staged
 
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -132,7 +133,7 @@ def link(fps: DataFrame, radius: int = 2, piece: int = 512) -> DataFrame:
                 links += [(x - (x >> 63 << 64), y - (y >> 63 << 64)) for x, y in found]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return tasks.mapInArrow(run, "a long, b long")
+    return tasks.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -225,7 +226,7 @@ def candidates(wide: DataFrame, radius: int, piece: int) -> DataFrame:
                 links += [(node[x], node[y]) for x, y in forest(w, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
 
-    return tasks.select("node", "w").mapInArrow(run, "a long, b long").distinct()
+    return tasks.select("node", "w").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20, piece: int = 1024) -> DataFrame:
@@ -246,7 +247,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radiu
             found = [wide_fingerprint(t.as_py(), width).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fp"])
 
-    fps = staged(texts.mapInArrow(run, "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp")), "wide")
+    fps = staged(texts.mapInArrow(tidy(run), "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp")), "wide")
     reps = staged(fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("fp").alias("fp")), "nodes")
     pairs = staged(candidates(reps, radius, piece), "candidates")
     side = lambda c: reps.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
@@ -273,9 +274,9 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radiu
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "doc_id"), "node")
-    hashed = staged(needed.join(texts, "doc_id").select("node", "text").mapInArrow(shingles, "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "hashed")
+    hashed = staged(needed.join(texts, "doc_id").select("node", "text").mapInArrow(tidy(shingles), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "hashed")
     h = lambda c: hashed.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    verified = asked.join(h("a"), "a").join(h("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(alike, "a long, b long")
+    verified = asked.join(h("a"), "a").join(h("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidy(alike), "a long, b long")
     final = staged(components(sure.unionByName(verified)), "roots")
     first = staged(reps.join(final, "node").groupBy("root").agg(F.min("doc_id").alias("first")), "first")
     named = reps.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")).join(first, "root", "left")
