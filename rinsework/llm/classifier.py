@@ -8,8 +8,8 @@ The sample is the documents whose hashed id is under a share (the bound is a par
 fixed number of bytes each. Scoring reads each document once, where it lies, with a few kilobytes of weights.
 
 Defined cases: a null text is empty; null or unknown languages, sources and lengths have features of their own; labels that
-disagree count by their mean; with labels of one class only, or none, every document is kept with that class's share, or
-1; repeated rows are scored as often as they occur; null ids are scored; no rows give no rows; other columns are ignored,
+disagree count by their mean; with labels of one class only, or none, nothing can be learnt and every document is kept with
+a score of 1; repeated rows are scored as often as they occur; null ids are scored; no rows give no rows; other columns are ignored,
 and filtering returns the rows as they were.
 """
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.llm.workers import tidy
+
 BIGRAMS, LANGS, SOURCES = 128, 16, 64
 SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 KINDS = [
@@ -121,10 +123,8 @@ class CoTrained:
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, rounds: int = 4, sure: float = 0.97, each: int = 400) -> CoTrained:
     """y: 1, 0, or NaN where unlabelled. fold: true for labels that are kept for the calibration."""
     known = ~np.isnan(y)
-    if not known.any():
+    if len(np.unique(y[known & ~fold])) < 2 or len(np.unique(y[known & fold])) < 2:
         return CoTrained()
-    if len(np.unique(y[known])) < 2 or len(np.unique(y[known & ~fold])) < 2 or len(np.unique(y[known & fold])) < 2:
-        return CoTrained(base=float(y[known].mean()) if len(np.unique(y[known])) < 2 else 1.0)
     target = [np.where(fold, np.nan, y), np.where(fold, np.nan, y)]  # what each view learns from
     told: list[tuple[int, int]] = []
     fit = lambda v: Logistic().fit(views[v][~np.isnan(target[v])], target[v][~np.isnan(target[v])], np.where(known, 1.0, 0.3)[~np.isnan(target[v])])
@@ -146,7 +146,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarr
     test = known & fold
     calibrations = [Logistic(0.1).fit(m.logit(x[test])[:, None], y[test]) for m, x in zip(models, views, strict=True)]
     logits = np.stack([c.logit(m.logit(x[test])[:, None]) for m, c, x in zip(models, calibrations, views, strict=True)], 1)
-    return CoTrained(float(y[known].mean()), models, calibrations, Logistic(0.1).fit(logits, y[test]), told)
+    return CoTrained(1.0, models, calibrations, Logistic(0.1).fit(logits, y[test]), told)
 
 
 def _inputs(docs: DataFrame) -> list[Column]:
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> CoTrained
                 text, meta = _views(b)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (text, meta))], ["doc_id", "text", "meta"])
 
-    seen = docs.filter(F.col("doc_id").isNotNull() & under("doc_id")).select(*_inputs(docs)).mapInArrow(run, "doc_id long, text binary, meta binary")
+    seen = docs.filter(F.col("doc_id").isNotNull() & under("doc_id")).select(*_inputs(docs)).mapInArrow(tidy(run), "doc_id long, text binary, meta binary")
     own = labels.filter(under("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
     rows = seen.join(own, "doc_id", "left").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).toPandas()
     if not len(rows):
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame:
                 found = model.score(*_views(b))
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found), pa.array(found[2] >= least)], ["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    return docs.select(*_inputs(docs)).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
+    return docs.select(*_inputs(docs)).mapInArrow(tidy(run), "doc_id long, p_text double, p_meta double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 16_000) -> DataFrame:
@@ -204,4 +204,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: in
                 own = pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in at)], ["first", "text", "lang", "source", "n_chars"])
                 yield b.filter(pa.array(model.score(*_views(own))[2] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

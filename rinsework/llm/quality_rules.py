@@ -32,8 +32,8 @@ LEAST = 50  # documents that a group needs for fences of its own
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _covered(words: Column, hashes: Column, marked: Column) -> Column:
-    """Words in windows of three that occur twice or more. marked: sorted (hash, position) of all windows, or empty if none recurs."""
+def _covered(marked: Column) -> Column:
+    """Where windows that occur twice or more begin. marked: sorted (hash, position) of all windows, or empty if none recurs."""
     near = lambda j, e: F.coalesce(F.get(marked, j)["h"] == e["h"], F.lit(False))
     return F.transform(F.filter(marked, lambda e, j: near(j - 1, e) | near(j + 1, e)), lambda e: e["i"])
 
@@ -59,7 +59,7 @@ def measure(docs: DataFrame, *more: str | Column) -> DataFrame:
     ).drop("_text", "_lines", "_words")
     marked = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none)
     step3 = step2.withColumn("_marked", marked).drop("_hashes")
-    step4 = step3.withColumn("_starts", F.array_sort(_covered(F.lit(None), F.lit(None), F.col("_marked")))).drop("_marked")
+    step4 = step3.withColumn("_starts", F.array_sort(_covered(F.col("_marked")))).drop("_marked")
     spread = F.transform("_starts", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_starts", j + 1) - p, F.lit(3))))
     kept = [c for c in step1.columns if c not in ("_text", "_words", "_lines")]
     # a filter isn't pushed below what isn't deterministic; there it would hold copies of all these expressions

@@ -91,7 +91,8 @@ def test_rules_odd_tables(spark):
 def test_rules_have_no_python(spark, capsys):
     df = spark.createDataFrame([(1, "a b", None, None, None, 1, "x")], DOCS)
     quality_rules.measure(df, "doc_id", "lang", "source").explain()
-    assert "Python" not in capsys.readouterr().out and "Arrow" not in capsys.readouterr().out
+    plan = capsys.readouterr().out
+    assert "Project" in plan and "Python" not in plan and "Arrow" not in plan
 
 
 # classifier
@@ -119,7 +120,7 @@ def test_classifier_exchanges_labels():
     assert np.mean((m.score(a, b)[2] > 0.5) == (y > 0.5)) > 0.95
 
 
-@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)], [(1, 0, 0), (2, 0, 0)]])
 def test_classifier_without_two_classes(spark, labels):
     docs = spark.createDataFrame([(1, "a", None, None, None, 1, "x"), (1, None, "en", "s", 3, 1, "x"), (None, "w " * 90_000, "en", "s", -3, 1, "x")], DOCS)
     own = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
