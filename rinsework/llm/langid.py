@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.llm.workers import tidy
+from rinsework.session import staged
+
 UNKNOWN = "und"
 LONGEST = 4
 KEPT_WORDS = 200_000  # a worker's memory of scored words
@@ -92,6 +95,7 @@ def learn(docs: DataFrame, usable: Column, sample: int = 12_000, words: int = 60
     some = ready.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     cleaned = F.translate(F.lower("text"), STRIP, " " * len(STRIP))
     counts = some.select("lang", F.explode(F.split(cleaned, r"\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = staged(counts, "words")  # read again for each length of n-grams
     by_lang = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     languages = sorted(by_lang)
     at = {x: i for i, x in enumerate(languages)}
@@ -126,7 +130,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [own.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **sizes: int) -> DataFrame:
