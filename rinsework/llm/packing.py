@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinsework.llm.workers import tidy
+from rinsework.llm.workers import shorten, tidy
 from rinsework.session import staged
 
 CACHED = 500_000  # words a task remembers
+KEPT = 100_000  # words that the next task finds
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -57,8 +58,8 @@ class WordTokens:
         self.parts: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        self.seen.clear()
-        self.parts.clear()
+        shorten(self.seen, KEPT)
+        shorten(self.parts, KEPT)
 
     def _learn_parts(self, new: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
@@ -89,7 +90,7 @@ class WordTokens:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.encode().split()
-        new = [w for w in set(words) if w not in self.seen]
+        new = list(set(words).difference(self.seen))
         if new:
             if len(self.seen) + len(new) > CACHED:
                 self.seen.clear()

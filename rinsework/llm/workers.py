@@ -1,11 +1,12 @@
-"""Python workers outlive their tasks: what a task has gathered goes when it ends, so that idle workers leave the executor's
-memory to the stages that follow."""
+"""Python workers outlive their tasks: most of what a task has gathered goes when it ends, so that idle workers leave the
+executor's memory to the stages that follow."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 
@@ -20,6 +21,12 @@ def release() -> None:
         pass
 
 
+def shorten(table: dict, keep: int) -> None:
+    """All but the first `keep` entries go: those came first because they are frequent."""
+    for key in list(islice(table, keep, None)):
+        del table[key]
+
+
 def tidy(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
     """run, with forget() and release() once its task ends, however it ends."""
 
