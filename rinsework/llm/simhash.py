@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 
 
 WORDS = 8  # of 64 bits: 512 bits tell a similarity of 0.8 to about 0.03
+BANDS, BAND = 5, 12  # bands of each word, and their bits
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(WORDS)], np.uint64)
 
 
@@ -177,7 +178,7 @@ def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def forest(values: np.ndarray, radius: int, leaf: int = 16) -> list[tuple[int, int]]:
+def forest(values: np.ndarray, radius: int, leaf: int = 64) -> list[tuple[int, int]]:
     """Index pairs within the radius that connect what all such pairs connect, the closest first. Small shards are one leaf of
     the tree and are scanned; in larger ones a BK-tree finds the pairs."""
     if len(values) <= leaf:
@@ -209,9 +210,9 @@ def forest(values: np.ndarray, radius: int, leaf: int = 16) -> list[tuple[int, i
 
 
 def candidates(wide: DataFrame, radius: int, piece: int) -> DataFrame:
-    """a, b: nodes that share one of the 32 bands of 16 bits and differ in at most `radius` bits of the first word: of each piece
+    """a, b: nodes that share one of the 40 bands of 12 bits and differ in at most `radius` bits of the first word: of each piece
     of a band's shard a forest, nearest links first. A shard of more than `piece` nodes is cut, and its pieces meet by twos."""
-    bands = F.array(*(F.lit((4 * k + i) << 16).cast("long").bitwiseOR(F.shiftrightunsigned(F.col("fp")[k], 16 * i).bitwiseAND(0xFFFF)) for k in range(WORDS) for i in range(4)))
+    bands = F.array(*(F.lit((BANDS * k + i) << BAND).cast("long").bitwiseOR(F.shiftrightunsigned(F.col("fp")[k], BAND * i).bitwiseAND((1 << BAND) - 1)) for k in range(WORDS) for i in range(BANDS)))
     shards = wide.select("node", F.col("fp")[0].alias("w"), F.explode(bands).alias("shard"))
     several = staged(shards.groupBy("shard").count().filter("count > 1"), "bands")
     cut = shards.join(several, "shard").withColumn("pieces", F.ceil(2 * F.col("count") / piece).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
@@ -233,7 +234,8 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radiu
     """doc_id, component_id: documents whose sets of word shingles have a Jaccard similarity of `least` or more, and what such
     links lead to. Equal fingerprints are one node. A pair's 512 bits say how similar it is: three standard deviations above
     `least` it is linked, three below it is dropped, and in between the shingles themselves are compared, unless the sure
-    links join it already. Two documents share a band with a chance of 0.91 at a similarity of 0.8, and 0.998 at 0.9."""
+    links join it already. Two documents share a band with a chance of 0.997 at a similarity of
+    0.8. A shard holds 1/4096 of the distinct fingerprints: past some tens of millions, take longer bands and more words."""
 
     def differing(similarity: float) -> float:
         return 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
