@@ -178,18 +178,21 @@ def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def forest(values: np.ndarray, radius: int, leaf: int = 64) -> list[tuple[int, int]]:
-    """Index pairs within the radius that connect what all such pairs connect, the closest first. Small shards are one leaf of
+def forest(values: np.ndarray, second: np.ndarray, radius: int, both: int, leaf: int = 64) -> list[tuple[int, int]]:
+    """Index pairs within the radius, and with their second words within `both`, that connect what all such pairs connect, the closest first. Small shards are one leaf of
     the tree and are scanned; in larger ones a BK-tree finds the pairs."""
     if len(values) <= leaf:
         apart = np.bitwise_count(values[:, None] ^ values[None, :])
-        i, j = np.nonzero(np.triu(apart <= radius, 1))
+        near = apart <= radius
+        apart = apart + np.bitwise_count(second[:, None] ^ second[None, :])
+        i, j = np.nonzero(np.triu(near & (apart <= both), 1))
         found = [(int(d), int(x), int(y)) for d, x, y in zip(apart[i, j], i, j, strict=True)]
     else:
         found = []
         for node, hit in BKTree(values).search(values, radius):
             hit = hit[hit > node]
-            found.append(np.stack([np.bitwise_count(values[hit] ^ values[node]).astype(np.int64), np.full(len(hit), node), hit], 1))
+            apart = np.bitwise_count(values[hit] ^ values[node]).astype(np.int64) + np.bitwise_count(second[hit] ^ second[node])
+            found.append(np.stack([apart, np.full(len(hit), node), hit], 1)[apart <= both])
         found = np.concatenate(found)
         found = found[np.argsort(found[:, 0], kind="stable")].tolist()
     parent = list(range(len(values)))
@@ -209,28 +212,28 @@ def forest(values: np.ndarray, radius: int, leaf: int = 64) -> list[tuple[int, i
     return links
 
 
-def candidates(wide: DataFrame, radius: int, piece: int) -> DataFrame:
-    """a, b: nodes that share one of the 40 bands of 12 bits and differ in at most `radius` bits of the first word: of each piece
+def candidates(wide: DataFrame, radius: int, both: int, piece: int) -> DataFrame:
+    """a, b: nodes that share one of the 40 bands of 12 bits and differ in at most `radius` bits of the first word and `both` of the first two (unrelated texts do so once in 10**8 pairs): of each piece
     of a band's shard a forest, nearest links first. A shard of more than `piece` nodes is cut, and its pieces meet by twos."""
     bands = F.array(*(F.lit((BANDS * k + i) << BAND).cast("long").bitwiseOR(F.shiftrightunsigned(F.col("fp")[k], BAND * i).bitwiseAND((1 << BAND) - 1)) for k in range(WORDS) for i in range(BANDS)))
-    shards = wide.select("node", F.col("fp")[0].alias("w"), F.explode(bands).alias("shard"))
+    shards = wide.select("node", F.col("fp")[0].alias("w"), F.col("fp")[1].alias("v"), F.explode(bands).alias("shard"))
     several = staged(shards.groupBy("shard").count().filter("count > 1"), "bands")
     cut = shards.join(several, "shard").withColumn("pieces", F.ceil(2 * F.col("count") / piece).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).filter((F.col("pieces") == 1) | (F.col("own") != F.col("other")))
-    tasks = met.groupBy("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("node").alias("node"), F.collect_list("w").alias("w")).filter(F.size("node") > 1)
+    tasks = met.groupBy("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "w", "v")).alias("es")).filter(F.size("es") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             links = []
-            for node, w in zip(b.column(0), b.column(1), strict=True):
-                node, w = node.values.to_numpy(), w.values.to_numpy().view(np.uint64)
-                links += [(node[x], node[y]) for x, y in forest(w, radius)]
+            for own in zip(*b.columns, strict=True):
+                node, w, v = (x.values.to_numpy() for x in own)
+                links += [(node[x], node[y]) for x, y in forest(w.view(np.uint64), v.view(np.uint64), radius, both)]
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
 
-    return tasks.select("node", "w").mapInArrow(tidy(run), "a long, b long").distinct()
+    return tasks.select("es.node", "es.w", "es.v").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20, piece: int = 1024) -> DataFrame:
+def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20, both: int = 32, piece: int = 1024) -> DataFrame:
     """doc_id, component_id: documents whose sets of word shingles have a Jaccard similarity of `least` or more, and what such
     links lead to. Equal fingerprints are one node. A pair's 512 bits say how similar it is: three standard deviations above
     `least` it is linked, three below it is dropped, and in between the shingles themselves are compared, unless the sure
@@ -251,7 +254,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radiu
 
     fps = staged(texts.mapInArrow(tidy(run), "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp")), "wide")
     reps = staged(fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("fp").alias("fp")), "nodes")
-    pairs = staged(candidates(reps, radius, piece), "candidates")
+    pairs = staged(candidates(reps, radius, both, piece), "candidates")
     side = lambda c: reps.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
     apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     measured = staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= edge + margin), "measured")
