@@ -178,66 +178,63 @@ def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def forest(values: np.ndarray, second: np.ndarray, radius: int, both: int, leaf: int = 64) -> list[tuple[int, int]]:
-    """Index pairs within the radius, and with their second words within `both`, that connect what all such pairs connect, the closest first. Small shards are one leaf of
-    the tree and are scanned; in larger ones a BK-tree finds the pairs."""
-    if len(values) <= leaf:
-        apart = np.bitwise_count(values[:, None] ^ values[None, :])
-        near = apart <= radius
-        apart = apart + np.bitwise_count(second[:, None] ^ second[None, :])
-        i, j = np.nonzero(np.triu(near & (apart <= both), 1))
-        found = [(int(d), int(x), int(y)) for d, x, y in zip(apart[i, j], i, j, strict=True)]
-    else:
-        found = []
-        for node, hit in BKTree(values).search(values, radius):
-            hit = hit[hit > node]
-            apart = np.bitwise_count(values[hit] ^ values[node]).astype(np.int64) + np.bitwise_count(second[hit] ^ second[node])
-            found.append(np.stack([apart, np.full(len(hit), node), hit], 1)[apart <= both])
-        found = np.concatenate(found)
-        found = found[np.argsort(found[:, 0], kind="stable")].tolist()
-    parent = list(range(len(values)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for _, x, y in sorted(found) if len(values) <= leaf else found:
-        a, b = root(x), root(y)
-        if a != b:
-            parent[a] = b
-            links.append((x, y))
-    return links
-
-
-def candidates(wide: DataFrame, radius: int, both: int, piece: int) -> DataFrame:
-    """a, b: nodes that share one of the 40 bands of 12 bits and differ in at most `radius` bits of the first word and `both` of the first two (unrelated texts do so once in 10**8 pairs): of each piece
-    of a band's shard a forest, nearest links first. A shard of more than `piece` nodes is cut, and its pieces meet by twos."""
+def near_pairs(fp: np.ndarray, radius: int, low: float, high: float, rows: int = 256) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of the index pairs within `radius` in the first word: a forest of those that differ in under `low` bits in all, and i, j, bits
+    of each one from `low` to `high` that this forest doesn't connect."""
+    label, sure, unsure, first = np.arange(len(fp)), [], [], fp[:, 0]
+    for at in range(0, len(fp), rows):
+        i, j = np.nonzero(np.bitwise_count(first[at : at + rows, None] ^ first[None, :]) <= radius)
+        i += at
+        i, j = i[j > i], j[j > i]
+        apart = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
+        linked, between = apart < low, (apart >= low) & (apart <= high)
+        unsure.append(np.stack([i, j, apart], 1)[between])
+        i, j = i[linked], j[linked]
+        for x, own in zip(nodes := np.unique(i), np.split(j, np.searchsorted(i, nodes[1:])), strict=True) if len(i) else ():
+            for other in np.unique(label[own]):
+                if other != label[x]:
+                    sure.append((int(x), int(own[label[own] == other][0])))
+                    label[label == other] = label[x]
+    found = np.concatenate(unsure)
+    return sure, found[label[found[:, 0]] != label[found[:, 1]]]
+
+
+def candidates(wide: DataFrame, radius: int, low: float, high: float, piece: int) -> DataFrame:
+    """a, b, apart: nodes that share one of the 40 bands of 12 bits and differ in at most `radius` bits of the first word and `high`
+    of all. Under `low` bits only a forest of each piece of a band's shard; from there on every pair, but for those that the
+    piece's forest joins. A shard of more than `piece` nodes is cut, and its pieces meet by twos."""
     bands = F.array(*(F.lit((BANDS * k + i) << BAND).cast("long").bitwiseOR(F.shiftrightunsigned(F.col("fp")[k], BAND * i).bitwiseAND((1 << BAND) - 1)) for k in range(WORDS) for i in range(BANDS)))
-    shards = wide.select("node", F.col("fp")[0].alias("w"), F.col("fp")[1].alias("v"), F.explode(bands).alias("shard"))
+    words = [F.col("fp")[k].alias(f"w{k}") for k in range(WORDS)]
+    shards = wide.select("node", *words, F.explode(bands).alias("shard"))
     several = staged(shards.groupBy("shard").count().filter("count > 1"), "bands")
     cut = shards.join(several, "shard").withColumn("pieces", F.ceil(2 * F.col("count") / piece).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).filter((F.col("pieces") == 1) | (F.col("own") != F.col("other")))
-    tasks = met.groupBy("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "w", "v")).alias("es")).filter(F.size("es") > 1)
+    names = ["node", *(f"w{k}" for k in range(WORDS))]
+    tasks = met.groupBy("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct(*names)).alias("es")).filter(F.size("es") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            links = []
+            links = [np.zeros((0, 3), np.int64)]
             for own in zip(*b.columns, strict=True):
-                node, w, v = (x.values.to_numpy() for x in own)
-                links += [(node[x], node[y]) for x, y in forest(w.view(np.uint64), v.view(np.uint64), radius, both)]
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
+                node, *w = (x.values.to_numpy() for x in own)
+                fp = np.stack(w, 1).view(np.uint64)
+                sure, unsure = near_pairs(fp, radius, low, high)
+                for x, y in sure:
+                    links.append(np.array([[node[x], node[y], int(np.bitwise_count(fp[x] ^ fp[y]).sum())]], np.int64))
+                if len(unsure):
+                    links.append(np.stack([node[unsure[:, 0]], node[unsure[:, 1]], unsure[:, 2]], 1))
+            found = np.concatenate(links)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found[:, :2].min(1), found[:, :2].max(1), found[:, 2])], ["a", "b", "apart"])
 
-    return tasks.select("es.node", "es.w", "es.v").mapInArrow(tidy(run), "a long, b long").distinct()
+    return tasks.select(*(f"es.{c}" for c in names)).mapInArrow(tidy(run), "a long, b long, apart long").distinct()
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20, both: int = 32, piece: int = 1024) -> DataFrame:
+def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20, piece: int = 1024) -> DataFrame:
     """doc_id, component_id: documents whose sets of word shingles have a Jaccard similarity of `least` or more, and what such
     links lead to. Equal fingerprints are one node. A pair's 512 bits say how similar it is: three standard deviations above
-    `least` it is linked, three below it is dropped, and in between the shingles themselves are compared, unless the sure
-    links join it already. Two documents share a band with a chance of 0.997 at a similarity of
+    `least` it is linked, three below it is dropped, and in between the shingles themselves are compared, unless other links
+    join it already: first the closest pair of each component, then of each two components, then every pair that is left, so
+    that a refused pair never stands for another. Two documents share a band with a chance of 0.997 at a similarity of
     0.8. A shard holds 1/4096 of the distinct fingerprints: past some tens of millions, take longer bands and more words."""
 
     def differing(similarity: float) -> float:
@@ -254,16 +251,15 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radiu
 
     fps = staged(texts.mapInArrow(tidy(run), "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp")), "wide")
     reps = staged(fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("fp").alias("fp")), "nodes")
-    pairs = staged(candidates(reps, radius, both, piece), "candidates")
-    side = lambda c: reps.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
-    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    measured = staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= edge + margin), "measured")
-    sure = measured.filter(F.col("apart") < edge - margin).select("a", "b")
-    roots = staged(components(sure), "sure")
-    top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    open_pairs = measured.filter(F.col("apart") >= edge - margin).join(top("a"), "a", "left").join(top("b"), "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"}).filter("root_a <> root_b")
-    best = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b"))
-    asked = staged(open_pairs.groupBy(F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")).agg(best.alias("p")).select("p.*"), "asked")
+    measured = staged(candidates(reps, radius, edge - margin, edge + margin, piece), "candidates")
+    links = measured.filter(F.col("apart") < edge - margin).select("a", "b")
+
+    def parted(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of pairs that the links don't join yet, with their roots."""
+        roots = staged(components(links), f"roots_{name}")
+        top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        both = pairs.select("a", "b", "apart").join(top("a"), "a", "left").join(top("b"), "b", "left")
+        return staged(both.withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"}).filter("root_a <> root_b"), f"open_{name}")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,11 +274,28 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radiu
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "doc_id"), "node")
+    left = parted(measured.filter(F.col("apart") >= edge - margin), "sure")
+    needed = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "doc_id"), "node")
     hashed = staged(needed.join(texts, "doc_id").select("node", "text").mapInArrow(tidy(shingles), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "hashed")
     h = lambda c: hashed.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    verified = asked.join(h("a"), "a").join(h("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidy(alike), "a long, b long")
-    final = staged(components(sure.unionByName(verified)), "roots")
+    best = F.min(F.struct("apart", "a", "b")).alias("p")
+    component = F.explode(F.array("root_a", "root_b")).alias("x")
+    two = F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")
+    for turn in ("component", "again", "two", "all"):
+        if left.isEmpty():
+            break
+        if turn == "all":
+            chosen = left.select("a", "b")
+        elif turn == "two":
+            chosen = left.groupBy(*two).agg(best).select("p.a", "p.b")
+        else:
+            chosen = left.select(component, "apart", "a", "b").groupBy("x").agg(best).select("p.a", "p.b").distinct()
+        asked = staged(chosen, f"asked_{turn}")
+        verified = staged(asked.join(h("a"), "a").join(h("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidy(alike), "a long, b long"), f"verified_{turn}")
+        links = links.unionByName(verified)
+        if turn != "all":
+            left = parted(left.join(asked, ["a", "b"], "left_anti"), turn)
+    final = staged(components(links), "roots")
     first = staged(reps.join(final, "node").groupBy("root").agg(F.min("doc_id").alias("first")), "first")
     named = reps.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")).join(first, "root", "left")
     return fps.select("doc_id", "node").join(named.select("node", F.coalesce("first", "doc_id").alias("component_id")), "node").select("doc_id", "component_id")

@@ -143,6 +143,23 @@ def test_similar_documents(spark):
     assert all(found[c] == c for c in set(found.values()))
 
 
+def test_similar_star(spark):
+    rnd, texts = random.Random(3), []
+    for _ in range(4):
+        base = [rnd.choice(WORDS) for _ in range(400)]
+        texts.append(" ".join(base))
+        for _ in range(60):  # each is like the first, and hardly like another
+            words = list(base)
+            for i in rnd.sample(range(400), 7):
+                words[i] = f"new{rnd.random()}"
+            texts.append(" ".join(words))
+    rows = [(i, t, 0) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(pairs) >= 240 and all(found[i] == found[j] for i, j in pairs)
+
+
 def test_similar_odd_rows(spark):
     rows = [(3, "a b c d", 1), (1, "A b c d", 1), (None, "a b c d", 1), (7, None, 1), (8, "", 1), (9, "zz yy", 1), (3, "a b c d", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
