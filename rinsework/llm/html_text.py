@@ -3,12 +3,15 @@
 Markup is stripped: a page becomes lines, one for each block-level element's own text. What can't be the article is
 stripped with it: scripts, styles, forms, and elements that say by name, class, id or role that they are menus, headers,
 footers, sidebars, notices, adverts or comments; where such an element stood outside the article an empty line stays.
-Lines that are mostly links, and lines outside <article> or <main> where a page has one with text, count as empty.
+Lines that are mostly links count as empty.
 
 Text lengths are summed over windows of three lines. A surge is where the window's sum rises from nothing, a dive where
 it falls to nothing again. Text between a surge and its dive is kept if some window in it reaches a share of the page's
 highest, so that a lone line far from the body goes, and a short heading or last paragraph next to it stays.
 
+<article> and <main> are a hint: text inside and text outside are never of one surge, and the side without the highest
+window needs half of it. Inside, where the highest is there, lines of links are text as well.
+
 Defined cases: a null page is empty, and an empty page has an empty text; elements left open end with the page or with the
 element around them; pages of any length are read whole, in one pass; repeated rows stay repeated; null ids and urls
 stay; other columns are ignored.
@@ -42,7 +45,7 @@ NAMED = re.compile(
     r"shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w+|sign-?up|login|widget|toolbar|pagination|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
-WINDOW, SHARE = 3, 0.05
+WINDOW, SHARE, OTHER = 3, 0.05, 0.5
 
 
 def _unwanted(name: str, attributes: str) -> bool:
@@ -116,10 +119,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    has_main = any(inside and text for text, _, inside in lines)
-    size = [0 if (has_main and not inside) or (not has_main and 2 * linked > len(text)) else len(text) for text, linked, inside in lines]
-    window = [sum(size[i : i + WINDOW]) if n else 0 for i, n in enumerate(size)]
-    least = SHARE * max(window, default=0)
+    sides = [inside for _, _, inside in lines]
+    size = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
+
+    def windows() -> list[int]:
+        return [sum(size[j] for j in range(i, min(i + WINDOW, len(size))) if sides[j] == sides[i]) if n else 0 for i, n in enumerate(size)]
+
+    window = windows()
+    within, without = (max((w for w, inside in zip(window, sides, strict=True) if inside == side), default=0) for side in (True, False))
+    best = any(sides) and within >= without
+    if best:
+        size = [len(text) if inside else n for n, (text, _, inside) in zip(size, lines, strict=True)]
+        window = windows()
+    highest = max((w for w, inside in zip(window, sides, strict=True) if inside == best), default=0)
     kept: list[str] = []
     at = 0
     while at < len(size):
@@ -127,9 +139,9 @@ def main_text(page: str | None) -> str:
             at += 1
             continue
         dive = at
-        while dive < len(size) and size[dive]:
+        while dive < len(size) and size[dive] and sides[dive] == sides[at]:
             dive += 1
-        if has_main or max(window[at:dive]) >= least:
+        if max(window[at:dive]) >= (SHARE if sides[at] == best else OTHER) * highest:
             kept += [lines[i][0] for i in range(at, dive)]
         at = dive
     return "\n".join(kept)

@@ -22,6 +22,14 @@ def test_page_without_article():
     assert html_text.main_text(page).split("\n") == ["Short", *(("word " * 30 + str(i)) for i in range(4)), "End."]
 
 
+def test_page_with_teasers():
+    body = [f"{'word ' * 30}{i}" for i in range(6)]
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Read more</p></article>" for i in range(3))
+    for page in (f"<div>{''.join(f'<p>{b}</p>' for b in body)}</div>{cards}", f"{cards}<div>{''.join(f'<p>{b}</p>' for b in body)}</div>"):
+        assert html_text.main_text(page).split("\n") == body
+    assert html_text.main_text(f"<p>Short line</p><article>{''.join(f'<p>{b}</p>' for b in body)}</article>").split("\n") == body
+
+
 def test_odd_pages():
     for page, text in ((None, ""), ("", ""), ("plain", "plain"), ("<p>open", "open"), ("<nav><p>a<article><p>b</article>", "b"), ("a < b <p>c", "a < b\nc"), ("<article></article>", ""), ("<script>x", "")):
         assert html_text.main_text(page) == text, page
