@@ -1,14 +1,16 @@
 """Secret scans: known forms, and a battery of randomness tests for the rest.
 
 Known forms are found by patterns (assignments to telling names, access key ids, long hexadecimal runs). Beside them every
-run of 20 and more key characters is a candidate. Its encoding is inferred (hexadecimal, base32 or base64), and three
-tests ask whether it can be uniform noise in that alphabet: chi-squared over classes of the alphabet, Wald's runs test
-about the alphabet's middle, and the serial correlation of neighbours. Their p-values are combined by Fisher's method.
+run of 20 and more key characters is a candidate. Its encoding is inferred (hexadecimal, base32, letters of one case with
+digits, or base64), and three tests ask whether it can be uniform noise in that alphabet: chi-squared over classes of the
+alphabet, Wald's runs test about the alphabet's middle, and the serial correlation of neighbours. Their p-values are
+combined by Fisher's method.
 
-That a candidate isn't noise says little of a short one, so a second p-value asks how likely written language of the same
-length would change between lower case, capitals and digits so often (a binomial tail, so that length counts). Over a
-document's candidates that p-value is held against a false-discovery rate by Benjamini and Hochberg's rule. A candidate
-is reported if it is discovered there and the battery doesn't refuse it.
+That a candidate can be noise says little of a short one, so the battery's p-value is set against how much likelier noise of
+that alphabet and length is than written language, by its letters and its changes between lower case, capitals and digits:
+the ratio of language to noise, over the battery's p-value, is at most the chance that language gets so far (Markov's
+inequality). Over a document's candidates it is held against a false-discovery rate by Benjamini and Hochberg's rule. A
+candidate is reported if it is discovered there and the battery alone doesn't refuse it.
 
 Defined cases: a null text is empty; texts are scanned whole; candidates that overlap a known form aren't reported again;
 a null doc_id stays null; repeated rows stay repeated; other columns are ignored, and redaction keeps them as they were.
@@ -35,9 +37,12 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 ALPHABETS = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef", 4),
     ("base32", re.compile(r"[A-Z2-7]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 4),
+    ("base36", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), "abcdefghijklmnopqrstuvwxyz0123456789", 4),
     ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 5),
 )
-SWITCH = 0.15  # how often language changes between lower case, capitals and digits, at most
+SWITCH = 0.15  # how often language changes between lower case, capitals, digits and signs, at most
+#: Letters in a thousand, about the mean of English, German, French and Spanish; digits and signs are even.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (86, 15, 33, 45, 153, 14, 19, 29, 73, 4, 8, 47, 28, 80, 58, 20, 6, 66, 70, 72, 44, 12, 10, 3, 8, 7), strict=True))
 RATE = 0.001  # false discoveries among a document's reported candidates
 REFUSE = 0.0005  # the battery's combined p-value under which a candidate isn't noise
 
@@ -61,7 +66,7 @@ def encoding(token: str) -> tuple[str, str, int, str]:
     joined = bare.replace("-", "")
     for name, form, alphabet, classes in ALPHABETS:
         if form.fullmatch(own := joined if name == "hex" else bare):
-            own = own.lower() if name == "hex" else own
+            own = own.lower() if name in ("hex", "base36") else own
             return name, alphabet, classes, own.replace("-", "+").replace("_", "/")
     return "base64", ALPHABETS[-1][2], 5, bare
 
@@ -96,11 +101,19 @@ def battery(token: str) -> float:
 
 
 def written(token: str) -> float:
-    """How likely language of this length changes its kind of character as often."""
-    kinds = ["u" if c.isupper() else "d" if c.isdigit() else "l" if c.islower() else "o" for c in token]
-    n, changes = len(kinds) - 1, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False) if "o" not in (a, b))
-    logs = (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(SWITCH) + (n - k) * math.log(1 - SWITCH) for k in range(changes, n + 1))
-    return min(1.0, math.fsum(map(math.exp, logs)))
+    """Logarithm of how much likelier the token is as written language than as noise of its encoding."""
+    _, alphabet, _, symbols = encoding(token)
+    bare = token.rstrip("=")
+    kinds = ["u" if c.isupper() else "d" if c.isdigit() else "l" if c.islower() else "o" for c in bare]
+    language = sum(math.log(LETTERS[c.lower()] / 1010 if k in "ul" else 0.1 if k == "d" else 0.25) for c, k in zip(bare, kinds, strict=True))
+    language += math.log(0.25) + sum(math.log(1 - SWITCH if a == b else SWITCH / 3) for a, b in zip(kinds, kinds[1:], strict=False))
+    return language + len(symbols) * math.log(len(alphabet))
+
+
+def doubt(token: str) -> float:
+    """At most the chance that language looks so much like noise; 1 if the battery refuses the token."""
+    noise = battery(token)
+    return 1.0 if noise < REFUSE else math.exp(min(0.0, written(token) - math.log(noise)))
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -114,14 +127,11 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     base = sorted((s, e) for _, s, e in found)
     candidates = []
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        plain = token.islower() or token.isupper() or token.isdigit()
-        mixed = not plain or not token.rstrip("=").isalpha() and not token.isdigit()
-        candidates.append((written(token) if mixed else 1.0, m.start(), m.end()))
+        candidates.append((doubt(m[0]), m.start(), m.end()))
     candidates.sort()
     passed = max((i + 1 for i, (p, _, _) in enumerate(candidates) if p <= RATE * (i + 1) / len(candidates)), default=0)
     for _, s, e in candidates[:passed]:
-        if not any(a < e and s < b for a, b in base) and battery(text[s:e]) >= REFUSE:
+        if not any(a < e and s < b for a, b in base):
             found.append(("random", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -87,6 +87,19 @@ def test_noise_and_language():
     assert [t for t in plain if secrets.scan(t)] == []
 
 
+def test_noise_of_other_encodings():
+    rnd = random.Random(6)
+    for alphabet in (string.ascii_uppercase + "234567", "0123456789ABCDEF", string.ascii_lowercase + string.digits):
+        for n in (20, 32, 52):
+            noise = ["".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(200)]
+            assert sum(any(k == "random" for k, _, _ in secrets.scan(f"the value {t} ends")) for t in noise) > 0.9 * len(noise), (alphabet, n)
+    words = "the value of information about responsible international government und Verantwortung Gesellschaft para desarrollo conocimiento".split()
+    for _ in range(500):
+        parts = [rnd.choice(words) for _ in range(5)]
+        for t in ("".join(parts), "".join(parts).upper(), "_".join(parts), "".join(p.title() for p in parts), "".join(parts) + "2024", "-".join([*parts, "12345"])):
+            assert secrets.scan(t) == [], t
+
+
 def test_scan_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in queries.op10_secret_scans(spark, "/root/testdata/sf0.01").collect():
