@@ -53,6 +53,17 @@ def standardize(df: DataFrame, column: str, mapping: dict[str, Any]) -> DataFram
     return joined.withColumn(column, new.try_cast(kind) if not isinstance(kind, T.StringType) else new).select(*map(quoted, df.columns))
 
 
+def rename(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Names of these kinds by expression, for columns with too many values for a mapping."""
+    from rinsework.plans.rules import renamed
+
+    kind = _kind(df, column)
+    for name in names:
+        new = renamed(F.trim(quoted(column).cast("string")), name)
+        df = df.withColumn(column, new if isinstance(kind, T.StringType) else new.try_cast(kind))
+    return df
+
+
 def clamp(df: DataFrame, column: str, lower: float = 0, upper: float = 120) -> DataFrame:
     """Values outside become the bound; nulls stay (least and greatest would lose them). Text becomes a number or null."""
     kind = _kind(df, column)
@@ -93,7 +104,8 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     if column not in df.columns:
         return df
     if step.action == "standardize_values":
-        return standardize(df, column, own.get("mapping") or {})
+        names = own.get("names") or []
+        return rename(standardize(rename(df, column, names), column, own.get("mapping") or {}), column, names)
     if step.action == "clamp_bounds":
         return clamp(df, column, own.get("lower", 0), own.get("upper", 120))
     if step.action == "knn_impute":

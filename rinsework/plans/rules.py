@@ -19,7 +19,7 @@ from rinsework.operators.semantics import SemanticType
 from rinsework.plans.ir import Step, parse_plan, to_json
 from rinsework.plans.rewrite import CONFIDENT, gate, rewrite, scope
 
-MOST_VALUES = 20_000  # distinct values of a column that a mapping may hold; beyond, the step is an expression or left out
+MOST_VALUES = 20_000  # distinct values of a column that a mapping may hold; beyond, the step is an expression
 
 
 @dataclass
@@ -103,29 +103,41 @@ ENTITIES: list[tuple[str, set[str], Callable[[Column], Column], bool]] = [
 ]
 
 
-def entity_map(df: DataFrame, column: str, kind: str, most: int = MOST_VALUES) -> dict[str, Any]:
-    """Values that should be written otherwise. Only distinct values are compared; more than `most` changed ones give none."""
+def entity_map(df: DataFrame, column: str, kind: str, most: int = MOST_VALUES) -> dict[str, Any] | None:
+    """Values that should be written otherwise. Only distinct values are compared; None if more than `most` change."""
     name, nulls = next((f, n) for k, _, f, n in ENTITIES if k == kind)
     value = F.trim(quoted(column).cast("string"))
     values = df.select(value.alias("v")).filter("v is not null and v <> ''").distinct()
     wanted = values.select("v", name(F.col("v")).alias("w"))
     changed = wanted.filter("w is null or v <> w") if nulls else wanted.filter("w is not null and v <> w")
     rows = changed.limit(most + 1).collect()
-    return {r.v: r.w for r in rows} if len(rows) <= most else {}
+    return {r.v: r.w for r in rows} if len(rows) <= most else None
 
 
-def mapping_rules(df: DataFrame | None, columns: list[str], dependencies: list[Dependency], kinds: dict[str, SemanticType]) -> Iterator[Step]:
+def renamed(value: Column, kind: str) -> Column:
+    """What a map of all values would make of a trimmed one, as an expression."""
+    name, nulls = next((f, n) for k, _, f, n in ENTITIES if k == kind)
+    new = name(value)
+    return F.when(value != "", new if nulls else F.coalesce(new, value)).otherwise(value)
+
+
+def mapping_rules(df: DataFrame | None, columns: list[str], dependencies: list[Dependency], kinds: dict[str, SemanticType], most: int = MOST_VALUES) -> Iterator[Step]:
     maps: dict[str, dict[str, Any]] = {}
+    names: dict[str, list[str]] = {}
     for d in dependencies:
         if d.mapping and d.dependent in columns:
             maps.setdefault(d.dependent, {}).update(d.mapping)
     for c in columns if df is not None else []:
         for kind, words, _, _ in ENTITIES:
             if name_words(c) & words or c in kinds and kinds[c].kind == kind:
-                maps.setdefault(c, {}).update(entity_map(df, c, kind))
+                found = entity_map(df, c, kind, most)
+                maps.setdefault(c, {}).update(found or {})
+                if found is None:
+                    names.setdefault(c, []).append(kind)
     for c, mapping in maps.items():
-        if mapping:
-            yield _step(c, "standardize_values", 0.98, "none", f"values of {c} differ in spelling, case or format", f"{c} has one spelling for each thing", "Dependencies and known names tell which spelling is meant.", f"standardized_{c.lower()}", mapping=mapping)
+        if mapping or c in names:
+            own = {"names": names[c]} if c in names else {}
+            yield _step(c, "standardize_values", 0.98, "none", f"values of {c} differ in spelling, case or format", f"{c} has one spelling for each thing", "Dependencies and known names tell which spelling is meant.", f"standardized_{c.lower()}", mapping=mapping, **own)
 
 
 def make_plan(found: Profile, dependencies: list[Dependency] | None = None, kinds: dict[str, SemanticType] | None = None, df: DataFrame | None = None, columns: list[str] | None = None, writer: Callable[[str], str] | None = None, least: float = CONFIDENT) -> Plan:

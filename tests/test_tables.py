@@ -206,6 +206,23 @@ def test_entity_maps(spark):
     assert {s.target_column for s in plan.steps if s.action == "standardize_values"} == {"city", "state", "phone"}
 
 
+def test_entity_expressions(spark):
+    """A column with more changed values than a mapping may hold gets the result of a mapping of all."""
+    rows = [(f"{9000000000 + i}", ("hyd", "chic", "Bengalur", "Nowhere", " ", None)[i % 6], ("Telengana", "TEXAS", "utah", "Mars", "", None)[i % 6]) for i in range(60)]
+    rows += [("12", "Pune", "Utah"), (" ", "pune ", "Texas"), (None, "HYD", "texas"), ("+91-9000000000", "Hyd", "x")]
+    df = spark.createDataFrame(rows, "phone string, city string, state string")
+    assert rules.entity_map(df, "phone", "Phone", most=2) is None
+    done = []
+    for most in (2, 20_000):
+        steps = rewrite.rewrite(list(rules.mapping_rules(df, df.columns, [], {}, most)), df.columns)
+        assert {s.target_column for s in steps} == set(df.columns)
+        assert all(("names" in s.parameters) == (most == 2) for s in steps)
+        steps = parse_plan(to_json(steps))
+        done.append(sorted(map(tuple, actions.apply_plan(df, steps).collect()), key=repr))
+    assert done[0] == done[1]
+    assert ("+91-9000000001", "Chicago", "Texas") in done[0]
+
+
 # ---- actions
 
 
