@@ -4,18 +4,20 @@ Both start from the labelled documents of a bounded sample. In each round each o
 it is most sure of, for the other to learn from. Each view is then calibrated on labels that it has not seen, and a
 logistic combination of the two calibrated views, fitted on the same, scores every document of the corpus.
 
-The sample is the documents whose hashed id is under a share (the bound is a parameter); its features come to the driver as a
+The sample is the documents whose hashed id is under a share (the bound is a parameter). Labelled documents come first: at
+least half of the bound is theirs if there are so many, and unlabelled ones fill it up. Its features come to the driver as a
 fixed number of bytes each. Scoring reads each document once, where it lies, with a few kilobytes of weights.
 
 Defined cases: a null text is empty; null or unknown languages, sources and lengths have features of their own; labels that
 disagree count by their mean; with labels of one class only, or none, nothing can be learnt and every document is kept with
-a score of 1; repeated rows are scored as often as they occur; null ids are scored; no rows give no rows; other columns are ignored,
+a score of 1, and a warning says so; repeated rows are scored as often as they occur; null ids are scored; no rows give no rows; other columns are ignored,
 and filtering returns the rows as they were.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.llm.workers import tidy
+from rinsework.session import staged
 
 BIGRAMS, LANGS, SOURCES = 128, 16, 64
 SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
@@ -161,8 +164,13 @@ def _views(b: pa.RecordBatch, at: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> CoTrained:
     """docs: doc_id, text, lang, source, n_chars; labels: doc_id, quality. About `sample` documents are looked at."""
-    n = docs.select("doc_id").count()
-    under = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 30)) <= int(min(1.0, sample / max(n, 1)) * (1 << 30))
+    own = staged(labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality")), "labels")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").join(own, "doc_id", "left")
+    n, known = ids.agg(F.count("*"), F.count("quality")).first()
+    labelled = min(known, max(sample // 2, sample * known // max(n, 1), sample - (n - known)))
+    part = lambda want, of: int(min(1.0, want / max(of, 1)) * (1 << 30))
+    bound = F.when(F.col("quality").isNull(), part(sample - labelled, n - known)).otherwise(part(labelled, known))
+    chosen = staged(ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= bound).distinct(), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,15 +178,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> CoTrained
                 text, meta = _views(b)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (text, meta))], ["doc_id", "text", "meta"])
 
-    seen = docs.filter(F.col("doc_id").isNotNull() & under("doc_id")).select(*_inputs(docs)).mapInArrow(tidy(run), "doc_id long, text binary, meta binary")
-    own = labels.filter(under("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
-    rows = seen.join(own, "doc_id", "left").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).toPandas()
+    some = docs.select(*_inputs(docs)).join(chosen.select("doc_id"), "doc_id", "left_semi")
+    seen = some.mapInArrow(tidy(run), "doc_id long, text binary, meta binary")
+    rows = seen.join(chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).toPandas()
     if not len(rows):
         return CoTrained()
     rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
     views = tuple(np.stack([np.frombuffer(x, np.float32) for x in rows[c]]) for c in ("text", "meta"))
     y = rows["quality"].to_numpy(float, na_value=np.nan)
-    return co_train(views, np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float)), rows["fold"].to_numpy(bool))
+    model = co_train(views, np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float)), rows["fold"].to_numpy(bool))
+    if model.joint is None:
+        warnings.warn(f"nothing could be learnt from {int((~np.isnan(y)).sum())} labelled documents: every document is kept", stacklevel=2)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame:

@@ -127,3 +127,17 @@ def test_classifier_without_two_classes(spark, labels):
     assert all(r.kept for r in classifier.score(docs, classifier.train(docs, own)).collect())
     assert classifier.keep_good(docs, own).columns == docs.columns and classifier.keep_good(docs, own).count() == 3
     assert classifier.keep_good(docs.limit(0), own).collect() == []
+
+
+def test_few_labels_in_many_documents(spark):
+    rnd = random.Random(8)
+    words = "the house of a small river and its people who walk slowly home".split()
+    good = lambda: " ".join(rnd.choice(words) for _ in range(40))
+    bad = lambda: " ".join(rnd.choice(("###", "$$$", "!!!", "%%", "XX")) for _ in range(40))
+    rows = [(i, (good if i % 2 else bad)(), "en", "s", 200) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 3000, 37)], "doc_id long, quality int")
+    model = classifier.train(docs, labels, sample=200)
+    assert model.joint is not None
+    with pytest.warns(UserWarning, match="nothing could be learnt"):
+        assert classifier.train(docs, labels.filter("quality = 1"), sample=200).joint is None
