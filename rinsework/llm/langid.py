@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinsework.llm.workers import tidy
@@ -88,11 +88,16 @@ def _logs(counts: dict[str, dict[int, float]], totals: np.ndarray) -> dict[str,
 
 
 def learn(docs: DataFrame, usable: Column, sample: int = 12_000, words: int = 60_000, grams: int = 30_000) -> Model:
-    """docs: doc_id, text, lang. usable: the rows that may be learnt from. About `sample` of them are."""
+    """docs: doc_id, text, lang. usable: the rows that may be learnt from. About `sample` of them are, and
+    up to as many again so that each language has an equal part of the bound; words and n-grams are cut likewise."""
     ready = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = ready.select("doc_id").count()
-    share = min(1.0, sample / max(n, 1))
-    some = ready.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    sizes = {r[0]: r[1] for r in ready.groupBy("lang").count().collect()}
+    n = sum(sizes.values())
+    share = F.lit(0)
+    for lang, own in sizes.items():  # a language has its part of the bound at least
+        most = min(1.0, max(sample / n, sample / len(sizes) / own))
+        share = F.when(F.col("lang") == lang, F.lit(int(most * (1 << 30)) + 1)).otherwise(share)
+    some = ready.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     cleaned = F.translate(F.lower("text"), STRIP, " " * len(STRIP))
     counts = some.select("lang", F.explode(F.split(cleaned, r"\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = staged(counts, "words")  # read again for each length of n-grams
@@ -103,7 +108,9 @@ def learn(docs: DataFrame, usable: Column, sample: int = 12_000, words: int = 60
 
     def table(of: DataFrame, most: int) -> dict[str, dict[int, float]]:
         found: dict[str, dict[int, float]] = {}
-        for r in of.orderBy(F.desc("n"), "key", "lang").limit(most).toLocalIterator():
+        order = [F.desc("n"), "key"]
+        own = of.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("_r") <= most // max(len(languages), 1)).drop("_r")
+        for r in of.orderBy(*order, "lang").limit(most).unionByName(own).distinct().orderBy(*order, "lang").toLocalIterator():
             found.setdefault(r.key, {})[at[r.lang]] = float(r.n)
         return found
 

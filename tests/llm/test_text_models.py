@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rinsework.llm import classifier, langid, quality_rules, queries
 
@@ -141,3 +142,15 @@ def test_few_labels_in_many_documents(spark):
     assert model.joint is not None
     with pytest.warns(UserWarning, match="nothing could be learnt"):
         assert classifier.train(docs, labels.filter("quality = 1"), sample=200).joint is None
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    rnd = random.Random(4)
+    common = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    rare = ["".join(rnd.choice("qrstuvwxyz") for _ in range(6)) for _ in range(20)]
+    rows = [(i, " ".join(rnd.choice(rare if i % 500 == 7 else common) for _ in range(40)), "rr" if i % 500 == 7 else "cc") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True), sample=200, words=100, grams=200)
+    assert model.languages == ["cc", "rr"]
+    assert sum(w in model.words for w in rare) == len(rare)
+    assert all(model.predict(t)[0] == lang for _, t, lang in rows if lang == "rr")
