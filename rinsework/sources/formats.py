@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinsework.functions import constants as K
 from rinsework.operators.normalize import normalize, quoted, unwrap
-from rinsework.session import prepare
+from rinsework.session import prepare, staged
 from rinsework.sources import shield as S
 
 SUFFIXES = {".parquet": "parquet", ".pq": "parquet", ".ndjson": "ndjson", ".jsonl": "ndjson", ".tsv": "tsv", ".tab": "tsv", ".csv": "csv", ".json": "json"}
-INFERENCE_ROWS = 10_000
+WHOLE, DECIMAL, TRUTH = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", r"(?i)^\s*(true|false)\s*$"
+LONG = r"^\s*[+-]?\d{16,}\s*$"
 
 
 class UnsupportedFormat(ValueError):
@@ -62,8 +64,23 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
+def _kinds(cells: DataFrame) -> list[T.DataType]:
+    """The narrowest type that holds every value of each column: one aggregation over all rows. Null tokens fit any type."""
+    fits: list[tuple[T.DataType, str, str]] = [(T.IntegerType(), "int", WHOLE), (T.LongType(), "long", WHOLE), (T.DoubleType(), "double", DECIMAL), (T.BooleanType(), "boolean", TRUTH)]
+    tests = []
+    for name in cells.columns:
+        value = quoted(name)
+        known = value.isNotNull() & ~F.trim(value).isin(*K.NULL_TOKENS)
+        exact = ~value.rlike(LONG)  # a double would round it
+        odd = [F.count_if(known & ~(value.rlike(form) & value.try_cast(kind).isNotNull() & (exact if kind == "double" else F.lit(True)))) for _, kind, form in fits]
+        tests.append(F.array(F.count_if(known), *odd))
+    row = cells.agg(*(t.alias(f"c{i}") for i, t in enumerate(tests))).first()
+    return [next((kind for (kind, _, _), bad in zip(fits, r[1:], strict=True) if r[0] and not bad), T.StringType()) for r in row]
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, most: int = S.MAX_BYTES, quotes: bool = True) -> tuple[DataFrame, S.ShieldResult]:
-    """Lines that pass the shield, parsed by from_csv: types come from the first rows, a value that doesn't fit becomes null."""
+    """Lines that pass the shield, parsed by from_csv. A column's type holds all of its values, the last as the first; what has no
+    common type stays text. The first line of a file is left out if it is the header; later lines like it are rows."""
     checked = S.shield(spark, path, most, delimiter, quotes)
     d, header = checked.facts.delimiter, checked.facts.header
     import csv
@@ -71,15 +88,11 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     if not header:
         return spark.createDataFrame([], T.StructType([])), checked
     names = _unique(next(csv.reader([header], delimiter=d)))
-    body = checked.valid.filter(F.col("value") != F.lit(header))
-    sample = [r["value"] for r in body.limit(INFERENCE_ROWS).collect()]
     options = {"sep": d, "nullValue": "", "mode": "PERMISSIVE", "escape": '"'}
-    kinds = [T.StringType()] * len(names)
-    if sample:
-        found = spark.read.options(**options, inferSchema="true").csv(spark.sparkContext.parallelize(sample, 1)).schema.fields
-        kinds = [found[i].dataType if i < len(found) and not isinstance(found[i].dataType, (T.DateType, T.TimestampType)) else T.StringType() for i in range(len(names))]
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
-    return body.select(F.from_csv("value", _ddl(schema), options).alias("r")).select("r.*"), checked
+    parsed = lambda kinds: checked.body.select(F.from_csv("value", _ddl(T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])), options).alias("r")).select("r.*")
+    cells = parsed([T.StringType()] * len(names))
+    kinds = _kinds(cells)
+    return cells.select(*(quoted(n) if isinstance(k, T.StringType) else F.when(~F.trim(quoted(n)).isin(*K.NULL_TOKENS), F.trim(quoted(n)).try_cast(k)).alias(n) for n, k in zip(names, kinds, strict=True))), checked
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -93,12 +106,11 @@ def read_ndjson(spark: SparkSession, path: str, most: int = S.MAX_BYTES) -> tupl
 
 
 def _parsed(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Lines of JSON as columns; the schema comes from the first rows, and the lines themselves stay with the executors."""
-    sample = [r["value"] for r in lines.limit(INFERENCE_ROWS).collect()]
-    if not sample:
-        return spark.createDataFrame([], T.StructType([]))
-    schema = spark.read.json(spark.sparkContext.parallelize(sample, 1)).schema
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    """Lines of JSON as columns. Spark infers the schema from every line, where the lines are; values of several types become text."""
+    jvm = spark.sparkContext._jvm
+    as_strings = getattr(lines.select("value")._jdf, "as")(jvm.org.apache.spark.sql.Encoders.STRING())
+    schema = T.StructType.fromJson(json.loads(spark._jsparkSession.read().json(as_strings).schema().json()))
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*") if schema.fields else spark.createDataFrame([], schema)
 
 
 def read_json(spark: SparkSession, path: str, most: int = S.MAX_BYTES) -> DataFrame:
@@ -113,7 +125,7 @@ def read_json(spark: SparkSession, path: str, most: int = S.MAX_BYTES) -> DataFr
                 yield pd.DataFrame({"value": list(lines_of(text))})
 
     prepare(spark)
-    return _parsed(spark, spark.read.text(path, wholetext=True).mapInPandas(run, "value string"))
+    return _parsed(spark, staged(spark.read.text(path, wholetext=True).mapInPandas(run, "value string"), "records"))
 
 
 def read_records(spark: SparkSession, rows: list[dict[str, Any]]) -> DataFrame:

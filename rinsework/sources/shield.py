@@ -10,9 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rinsework.session import staged
+
 MAX_BYTES = 500 * 2**20
 DELIMITERS = [",", "\t", ";", "|"]
 #: One-byte encodings of Latin letters can't be told apart by a few accents: the usual one stands for all.
@@ -34,8 +36,11 @@ class Facts:
 
 @dataclass
 class ShieldResult:
+    """valid: value, every line that passed; body: the same without the header lines at the head of files."""
+
     facts: Facts
     valid: DataFrame
+    body: DataFrame
     quarantined: DataFrame
     n_valid: int
     n_quarantined: int
@@ -145,30 +150,26 @@ def reason(n: Column, expected: Column, first: Column) -> Column:
 
 
 def classify(lines: DataFrame, facts: Facts, quotes: bool = True) -> DataFrame:
-    """line, n, reason, had_null of each line that isn't blank. lines: value."""
-    clean = mend(F.translate("value", "\u0000", ""))
-    out = lines.select(F.regexp_replace(clean, r"\r$", "").alias("line"), F.contains("value", F.lit("\u0000")).alias("had_null")).filter(F.trim("line") != "")
+    """line, n, reason, had_null of each line that isn't blank, beside the other columns. lines: value."""
+    clean, rest = mend(F.translate("value", "\u0000", "")), [c for c in lines.columns if c != "value"]
+    out = lines.select(*rest, F.regexp_replace(clean, r"\r$", "").alias("line"), F.contains("value", F.lit("\u0000")).alias("had_null")).filter(F.trim("line") != "")
     n = delimiters(F.col("line"), facts.delimiter, quotes)
     return out.withColumn("n", n).withColumn("reason", reason(F.col("n"), F.lit(facts.expected).cast("int"), F.col("line") == F.lit(facts.header)))
 
 
 def classify_json(lines: DataFrame) -> DataFrame:
     """The same for lines that must be JSON each."""
-    out = lines.select(F.trim(F.translate("value", "\u0000", "")).alias("line"), F.contains("value", F.lit("\u0000")).alias("had_null")).filter("line <> ''")
+    out = lines.select(*(c for c in lines.columns if c != "value"), F.trim(F.translate("value", "\u0000", "")).alias("line"), F.contains("value", F.lit("\u0000")).alias("had_null")).filter("line <> ''")
     return out.withColumn("n", F.lit(0)).withColumn("reason", F.when(F.try_parse_json("line").isNull(), "invalid_json"))
 
 
-def numbered(classified: DataFrame) -> DataFrame:
-    """With line_no, from 1, over all lines that aren't blank: a count for each partition comes to the driver, no row moves."""
-    at = classified.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33))
-    sizes = sorted((r["_p"], r["n"]) for r in at.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    table = classified.sparkSession.createDataFrame(offsets, "_p long, _before long")
-    own = F.col("_id").bitwiseAND((1 << 33) - 1)
-    return at.join(F.broadcast(table), "_p", "left").withColumn("line_no", own + F.col("_before") + 1).drop("_id", "_p", "_before")  # a row for each partition
+def numbered(staged_lines: DataFrame) -> DataFrame:
+    """With line_no, from 1, over all lines that aren't blank. _id: as monotonically_increasing_id() gave them when the lines were
+    written, so that they are the same in every job; a count for each partition comes to the driver, no row moves."""
+    at = staged_lines.withColumn("_p", F.shiftright("_id", 33))
+    sizes = at.groupBy("_p").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    before = sizes.select("_p", "first", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))  # a row for each partition
+    return at.join(F.broadcast(before), "_p").withColumn("line_no", F.col("_id") - F.col("first") + F.col("_before") + 1).drop("_p", "first", "_before")
 
 
 def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -176,27 +177,33 @@ def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
+            for content, path in zip(b["content"], b["path"], strict=True):
                 lines = bytes(content).decode(encoding, "replace").split("\n")
                 for at in range(0, len(lines), 10_000):
-                    yield pd.DataFrame({"value": lines[at : at + 10_000]})
+                    yield pd.DataFrame({"value": lines[at : at + 10_000], "file": path})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInPandas(run, "value string, file string")
 
 
 def shield(spark: SparkSession, path: str, most: int = MAX_BYTES, delimiter: str | None = None, quotes: bool = True, as_json: bool = False) -> ShieldResult:
     n_bytes = check_quota(spark, path, most)
     encoding = detect_encoding(first_bytes(spark, path))
     if encoding.lower().replace("_", "-") in ("utf-8", "ascii", "utf-8-sig"):
-        lines = spark.read.text(path)
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     else:  # Spark's text reader knows UTF-8 only
         lines = _decoded(spark, path, encoding)
     head = [r["value"] for r in lines.limit(200).collect()]
     facts = facts_of(head, encoding, delimiter, quotes)
-    classified = (classify_json(lines) if as_json else classify(lines, facts, quotes)).persist()
+    classified = (classify_json(lines) if as_json else classify(lines, facts, quotes)).withColumn("_id", F.monotonically_increasing_id())
+    classified = staged(classified, "lines")
     s = classified.agg(F.count_if(F.col("reason").isNull()).alias("good"), F.count("reason").alias("bad"), F.max("had_null").alias("nulls")).first()
     log = numbered(classified).filter("reason is not null").select("line_no", "reason", F.substring("line", 1, 250).alias("data"))
-    return ShieldResult(facts, classified.filter("reason is null").select(F.col("line").alias("value")), log, s["good"], s["bad"], n_bytes, bool(s["nulls"]))
+    good = classified.filter("reason is null")
+    heads = classified.groupBy("file").agg(F.min("_id").alias("_id"))  # the first line of each file that isn't blank
+    is_header = F.col("line") == F.lit(facts.header)
+    body = good.filter(~is_header).unionByName(good.filter(is_header).join(heads.select("_id"), "_id", "left_anti"))
+    value = F.col("line").alias("value")
+    return ShieldResult(facts, good.select(value), body.select(value), log, s["good"], s["bad"], n_bytes, bool(s["nulls"]))
 
 
 def quarantine_lines(log: DataFrame) -> DataFrame:

@@ -54,6 +54,35 @@ def test_csv_values_and_saving(spark, tmp_path):
         assert formats.load(spark, at, format=None if suffix != "json" else "ndjson").df.count() == 3
 
 
+def test_late_rows_lose_nothing(spark, tmp_path):
+    """The last 1,500 of 12,000 rows differ in type and in fields."""
+    head, tail = [f"{i},{i % 7},x{i}" for i in range(10_500)], [f"{i},late {i},y" for i in range(10_500, 12_000)]
+    df = formats.load(spark, write(tmp_path / "late.csv", "\n".join(["id,v,name", *head, *tail]))).df
+    assert dict(df.dtypes) == {"id": "int", "v": "string", "name": "string"}
+    got = {r.id: (r.v, r.name) for r in df.collect()}
+    assert got == {i: (str(i % 7), f"x{i}") for i in range(10_500)} | {i: (f"late {i}", "y") for i in range(10_500, 12_000)}
+    lines = [json.dumps({"id": i, "v": i % 7}) for i in range(10_500)] + [json.dumps({"id": i, "v": f"late {i}", "late": i}) for i in range(10_500, 12_000)]
+    for name in ("late.ndjson", "late.json"):
+        df = formats.load(spark, write(tmp_path / name, "\n".join(lines) if name.endswith("ndjson") else "[" + ",".join(lines) + "]")).df
+        got = {r.id: (r.v, r.late) for r in df.collect()}
+        assert got == {i: (str(i % 7), None) for i in range(10_500)} | {i: (f"late {i}", i) for i in range(10_500, 12_000)}
+
+
+def test_types_hold_every_value(spark, tmp_path):
+    text = "a,b,c,d,e,f,g\n1,1,1.5,true,1d,NA,9999999999\n-2,99999999999,2e3,FALSE,2,7,99999999999999999999\n,N/A,NaN,,3,,1\n"
+    df = formats.load(spark, write(tmp_path / "t.csv", text), clean=False).df
+    assert [k for _, k in df.dtypes] == ["int", "bigint", "double", "boolean", "string", "int", "string"]
+    assert [tuple(r) for r in df.drop("g").collect()] == [(1, 1, 1.5, True, "1d", None), (-2, 99999999999, 2000.0, False, "2", 7), (None, None, None, None, "3", None)]
+
+
+def test_a_row_like_the_header_is_a_row(spark, tmp_path):
+    assert rows(formats.load(spark, write(tmp_path / "h.csv", "a,b\n1,2\na,b\n")).df) == [("1", "2"), ("a", "b")]
+    (tmp_path / "parts").mkdir()
+    for i in range(3):
+        write(tmp_path / "parts" / f"p{i}.csv", f"a,b\n{i},x\n")
+    assert rows(formats.read_delimited(spark, str(tmp_path / "parts"))[0]) == [(0, "x"), (1, "x"), (2, "x")]
+
+
 def test_shield(spark, tmp_path):
     good = [f"{i},n{i},e{i}@x.co,{i % 9},2020-01-01" for i in range(12_000)]
     good[7] = '7,"n, 7",e7@x.co,7,2020-01-01'
