@@ -17,7 +17,8 @@ recovers is the source:
 Roles are escaped at every level. The level stands in the header, so that a reader needs the text alone.
 
 Defined cases: a null text or role counts as empty; a null turn comes before the others; rows that share a turn are
-taken by role, then text, and repeated rows are repeated turns; a null conv_id is a conversation of its own; no rows give
+taken by role, then text, and repeated rows are repeated turns; texts and conversations of any length are taken whole, in time
+proportional to their length (a conversation is one row, and so one task's); a null conv_id is a conversation of its own; no rows give
 no rows; columns other than conv_id, turn, role and text are ignored.
 """
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 OPENER = r"### [^\n:]{0,64}: "
 CLOSER = "</turn>"
 LEVELS = 3
+BLOCK = 256
 
 
 def _escape_role(c: Column) -> Column:
@@ -83,19 +85,48 @@ def parse(rendered: Column) -> Column:
     return F.transform(_pieces(rendered), turn)
 
 
-def loss_spans(rendered: Column, role: str = "assistant") -> Column:
-    """array<struct<start,length>>, in code points of the formatted text: the bodies of that role's turns."""
-    head = F.lit(len("<chat 0>\n"))
-    wide = F.transform(
+def _turns_of(rendered: Column, role: str) -> Column:
+    """array<struct<n,opener,wanted,body>>: what stands between closers, its length and its opener's, and whether loss is on its body."""
+    opened = r"\A### ([^\n:]*): "
+    return F.transform(
         F.split(F.regexp_replace(rendered, r"\A<chat \d>\n", ""), r"</turn>\n"),
-        lambda p: F.struct(F.length(p).alias("n"), F.length(F.regexp_extract(p, r"\A### [^\n:]*: ", 0)).alias("opener"), (_unescape_role(F.regexp_extract(p, r"\A### ([^\n:]*): ", 1)) == role).alias("wanted")),
+        lambda p: F.struct(
+            F.length(p).alias("n"),
+            F.length(F.regexp_extract(p, opened, 0)).alias("opener"),
+            ((_unescape_role(F.regexp_extract(p, opened, 1)) == role) & p.rlike(opened)).alias("wanted"),
+            F.regexp_replace(p, opened, "").alias("body"),
+        ),
     )
-    start = F.struct(head.alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["n"] + len(CLOSER) + 1).alias("at"),
-        F.when(p["wanted"] & (p["opener"] > 0), F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["opener"]).alias("start"), (p["n"] - p["opener"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    return F.aggregate(wide, start, step, lambda acc: acc["spans"])
+
+
+def _spans(pieces: Column) -> Column:
+    """array<struct<start,length>>, in code points of the formatted text. Pieces are summed in blocks and the blocks then
+    moved to their places: no array grows by one element for each turn, so the time is in proportion to the turns."""
+    block = lambda b: F.slice(pieces, b * BLOCK + 1, BLOCK)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / BLOCK).cast("int")), block)
+    none = F.array().cast("array<struct<start:int,length:int>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        own = F.array(F.struct((acc["at"] + p["opener"]).alias("start"), (p["n"] - p["opener"]).alias("length")))
+        return F.struct((acc["at"] + p["n"] + len(CLOSER) + 1).alias("at"), F.when(p["wanted"], F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
+
+    local = F.transform(blocks, lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    head = F.struct(F.lit(len("<chat 0>\n")).alias("at"), F.array().cast("array<int>").alias("starts"))
+    places = lambda sums: F.aggregate(sums, head, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
+    moved = lambda sums: F.flatten(F.zip_with(sums, places(sums), lambda b, at: F.transform(b["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length")))))
+    return F.get(F.transform(F.array(local), moved), F.lit(0))  # named once, used twice
+
+
+def loss_spans(rendered: Column, role: str = "assistant") -> Column:
+    """array<struct<start,length>>, in code points of the formatted text: the bodies of that role's turns."""
+    return F.get(F.transform(F.array(_turns_of(rendered, role)), _spans), F.lit(0))
+
+
+def under_loss(rendered: Column, role: str = "assistant") -> Column:
+    """All text under those spans, unescaped, in order and nothing between: cut from the formatted text turn by turn."""
+    escaped = ~rendered.startswith("<chat 0>")
+    learned = F.filter(_turns_of(rendered, role), lambda p: p["wanted"])
+    return F.concat_ws("", F.transform(learned, lambda p: F.when(escaped, _unescape(p["body"])).otherwise(p["body"])))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -121,8 +152,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
 def digest(chats: DataFrame) -> DataFrame:
     """What the contract of op1 asks for, read back from the formatted text."""
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    under = lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["length"])
-    learned = F.concat_ws("", F.transform("loss_spans", lambda s: F.when(F.col("level") == 0, under(s)).otherwise(_unescape(under(s)))))
+    learned = under_loss(F.col("formatted"))
     return chats.withColumn("learned", learned).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -1,6 +1,9 @@
 import hashlib
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from rinsework.llm import chat
 
@@ -42,6 +45,26 @@ def test_levels_and_control_strings(spark):
     assert all(r.formatted.count("</turn>") == 1 and r.formatted.count("### ") == 1 for r in got.values())
 
 
+def test_spans_mark_the_very_text(spark):
+    texts = ["a </turn> b", "plain", "\\### user: x", "", "é 😀"]
+    rows = [(c, k, "assistant" if k % 3 else "user", texts[(k + c) % 5] + str(k), 1) for c, n in enumerate((1, 2, 255, 256, 257, 600)) for k in range(n)]
+    for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).withColumn("learned", chat.under_loss(F.col("formatted"))).collect():
+        cut = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
+        plain = [re.sub(r"\\([\\/#])", r"\1", t) if r.level else t for t in cut]
+        assert plain == [t.text for t in r.turns if t.role == "assistant"] and "".join(plain) == r.learned
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn </turn> "), F.col("id")).alias("text"), F.lit(1).alias("level"))
+        began = time.time()
+        assert chat.digest(chat.format_chats(rows)).first().n_turns == n
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(64_000) < 5 * max(1.0, seconds(16_000))
+
+
 def test_no_python_in_the_plan(spark, capsys):
     chat.digest(chat.format_chats(spark.createDataFrame([(0, 0, "user", "x", 1)], SCHEMA))).explain()
     assert "Python" not in capsys.readouterr().out.replace("PythonRDD", "")
