@@ -1,24 +1,24 @@
 """Exact top-k search by inner product: a Voronoi join of queries and data.
 
-Pivots cut the space into cells. Queries and data go to the cell of their nearest pivot; small summaries of the cells
-give, for each group of queries, a score that every query of the group is sure to reach k times, and for each vector a
-score that no query of the group can exceed. Only vectors whose ceiling reaches the floor are sent to a group, in
-blocks; each block of queries meets each block of data of its group once, and only the best k of a pair of blocks go on.
+Pivots, about as many as the square root of the rows, cut the space into cells; queries and data go to the cell of their
+nearest pivot. First each query is solved within its own cell, which gives it a floor: a score that its answer is sure to
+reach k times. Summaries of the cells then say which other cells may hold a vector that reaches the floor, and the query is
+sent to those only, so what is replicated is what the bounds can't rule out. Cells are solved locally, in blocks, and only
+scores that reach the floor go on, k at most for a query and block.
 
-With pivot p of a group, radius u (the farthest of its queries from p) and any vector x, for each query q of the group::
+With unit vector u along the pivot p of a cell, radius r (the farthest of its vectors from p), and its vectors x between a and b along
+u and at most h across, for each query q::
 
-    <p,x> - u|x|  <=  <q,x>  <=  <p,x> + u|x|
+    <q,x>  <=  <q,p> + |q| r        and        <q,x>  <=  max(<q,u> a, <q,u> b) + |q - <q,u> u| h
 
-The floor of a group is the (k+1)-th highest left side over distinct ids (one of them may be the query's own). A whole
-cell of data with pivot p', radius r and longest norm m is skipped if <p,p'> + |p| r + u m is under the floor.
+Sizes: the driver gets the pivots, whose number has a bound, and a row for each cell. A cell may hold any share of the rows, so its
+blocks are dealt by (cell, salt), salts growing with its size; queries are dealt to parts of bounded size. Vectors that are
+spread evenly over many dimensions (random ones) let no bound rule out anything, and then every query meets every block.
 
-Sizes: the driver gets a fixed number of pivots, and a row for each cell. A group of data may hold any share of the rows,
-so its blocks are dealt by (group, salt), salts growing with the data; queries are dealt to blocks of bounded size.
-
-Defined cases: vectors that are null, or hold a null, NaN or infinite component, take no part, nor do rows with a null
-id; rows with the query's own id are no candidates; repeated candidate rows count as often as they occur, repeated query
-rows once; shorter vectors are filled with zeros; ties go to the smaller id; fewer candidates than k give fewer rows.
-Other columns are ignored.
+Defined cases: vectors that are null, or hold a null, NaN or infinite component (also after scaling), take no part, nor do rows with
+a null id; rows with the query's own id are no candidates; repeated candidate rows count as often as they occur, repeated
+query rows once; shorter vectors are filled with zeros; ties go to the smaller id; fewer candidates than k give fewer rows; no
+rows give no rows; scores are exact integers within a long and clipped beyond; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,151 +26,131 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rinsework.llm.workers import tidy
+from rinsework.session import staged
+
 SLACK = 1e-6  # bounds are floating point: they give way by this share of the products that they are made of
 EXACT = 2.0**52
+NONE = np.int64(-(2**63))
+LEAST, MOST = -(2**63) + 1, 2**63 - 1
 
 
-def _matrix(column: pd.Series, dims: int, scale: float) -> np.ndarray:
+def _matrix(column: pa.Array, dims: int, scale: float) -> np.ndarray:
     out = np.zeros((len(column), dims))
     for i, v in enumerate(column):
-        out[i, : len(v)] = v
+        own = v.values.to_numpy(zero_copy_only=False)
+        out[i, : len(own)] = own
     return np.floor(out * scale)
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the k highest scores, ties to smaller ids; ids is 2-d, as scores. Missing ones have -inf."""
-    if scores.shape[1] > k:
-        kth = np.partition(scores, -k, axis=1)[:, -k][:, None]
-        rows, cols = np.nonzero(scores >= kth)
-        order = np.lexsort((ids[rows, cols], -scores[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.searchsorted(rows, np.arange(len(scores)))
-        rank = np.arange(len(rows)) - first[rows]
-        rows, cols, rank = rows[rank < k], cols[rank < k], rank[rank < k]
-        best, who = np.full((len(scores), k), -np.inf), np.zeros((len(scores), k), np.int64)
-        best[rows, rank], who[rows, rank] = scores[rows, cols], ids[rows, cols]
-        return best, who
-    order = np.lexsort((ids, -scores), axis=1)
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    """Rows and columns of the k highest scores of each row, ties to smaller ids; NONE is no score."""
+    kth = np.partition(scores, -k, axis=1)[:, -k][:, None] if scores.shape[1] > k else np.full((len(scores), 1), NONE)
+    rows, cols = np.nonzero((scores >= kth) & (scores > NONE))
+    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(scores)))[rows]
+    return rows[rank < k], cols[rank < k]
 
 
 def _products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
-        return q @ x.T
-    whole = np.array([[int(c) for c in row] for row in q], object).reshape(q.shape) @ np.array([[int(c) for c in row] for row in x], object).reshape(x.shape).T
-    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.float64)  # beyond 2**53 scores are rounded to doubles
+        return (q @ x.T).astype(np.int64)
+    whole = [[[int(c) for c in row] for row in m] for m in (q, x)]
+    return np.array([[min(MOST, max(LEAST, sum(a * b for a, b in zip(u, v, strict=True)))) for v in whole[1]] for u in whole[0]], np.int64).reshape(len(q), len(x))
 
 
-def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int = 16, block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score. vectors: vec_id, embedding."""
-    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int | None = None, most_pivots: int = 4096, block: int = 8192, report: dict[str, float] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score. vectors: vec_id, embedding. pivots: the square root of the rows, `most_pivots` at most.
+    report: gets `met`, the share of all pairs of a query and a vector that meet (one more job)."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) == float("inf"))
     v = F.col("embedding").cast("array<double>")
     data = vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, odd)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    n, dims, widest = data.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0))).first()
+    n, asking, dims, widest = data.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0))).first()
     dims, widest = max(dims, 1), widest * scale + 1
     exact = dims * widest**2 < EXACT
     kind = "<i2" if widest < 2**15 else "<f8"
 
-    picked = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").toPandas()["v"]
+    cells = min(most_pivots, pivots or int(np.ceil(np.sqrt(max(n, 1)))))
+    picked = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).select("v").toArrow().column(0).combine_chunks()
     p = np.unique(_matrix(picked, dims, scale), axis=0) if len(picked) else np.zeros((1, dims))
     p_norm = np.linalg.norm(p, axis=1)
+    unit = p / np.maximum(p_norm, 1e-300)[:, None]
 
-    def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        apart = np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + p_norm**2, 0)
-        cell = apart.argmin(1)
-        return cell, np.linalg.norm(x - p[cell], axis=1) * (1 + SLACK)
-
-    def by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = _matrix(b.v, dims, scale)
-            cell, far = nearest(x)
-            yield pd.DataFrame({"cell": cell, "far": far, "norm": np.linalg.norm(x, axis=1), "asks": b.asks})
-
-    cells = data.mapInPandas(by_cell, "cell int, far double, norm double, asks boolean")
-    asked = F.when(F.col("asks"), F.col("far"))
-    summary = cells.groupBy("cell").agg(F.max("far").alias("r"), F.max("norm").alias("m"), F.max(asked).alias("u"), F.count(asked).alias("q")).toPandas()
-    r, m, u, queries = (np.zeros(len(p)) for _ in range(4))
-    for s in summary.itertuples():
-        r[s.cell], m[s.cell], u[s.cell], queries[s.cell] = s.r, s.m, 0 if s.q == 0 else s.u, s.q
-    groups = np.flatnonzero(queries)
-
-    def floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, dict[int, float]] = {int(g): {} for g in groups}
-        for b in batches:
-            x, ids = _matrix(b.v, dims, scale), b.vec_id.to_numpy()
-            norm = np.linalg.norm(x, axis=1)
-            for g in groups:
-                low = x @ p[g] - u[g] * norm - SLACK * (p_norm[g] + u[g]) * norm
-                for i in np.argsort(-low)[: 4 * (k + 1)] if len(low) > 4 * (k + 1) else range(len(low)):
-                    best[g][ids[i]] = max(low[i], best[g].get(ids[i], -np.inf))
-                best[g] = dict(sorted(best[g].items(), key=lambda e: -e[1])[: k + 1])
-        rows = [(g, i, s) for g, own in best.items() for i, s in own.items()]
-        yield pd.DataFrame(rows, columns=["cell", "vec_id", "low"]).astype({"cell": "int32", "vec_id": "int64", "low": "float64"})
-
-    floor = np.full(len(p), -np.inf)
-    at_least = data.mapInPandas(floors, "cell int, vec_id long, low double").groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))
-    for row in at_least.withColumn("place", place).filter(F.col("place") == k + 1).select("cell", "low").collect():
-        floor[row.cell] = row.low
-    reach = p @ p.T + p_norm[:, None] * r + u[:, None] * m
-    open_cells = reach * (1 + np.sign(reach) * SLACK) + SLACK >= floor[:, None]
-    salts = max(1, int(n) // (8 * block))
-
-    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict[int, list] = {int(g): [np.zeros(0, np.int64), np.zeros((0, dims))] for g in groups}
-
-        def out(g: int, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"cell": [g], "salt": [int((ids.sum() + len(ids)) % salts)], "ids": [ids.astype("<i8").tobytes()], "x": [x.astype(kind).tobytes()]})
-
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ids = _matrix(b.v, dims, scale), b.vec_id.to_numpy()
-            norm, (cell, _) = np.linalg.norm(x, axis=1), nearest(x)
-            for g in waiting:
-                top = x @ p[g] + u[g] * norm + SLACK * (p_norm[g] + u[g]) * norm
-                keep = open_cells[g][cell] & (top >= floor[g])
-                own = [np.concatenate([waiting[g][0], ids[keep]]), np.concatenate([waiting[g][1], x[keep]])]
-                while len(own[0]) >= block:
-                    yield out(g, own[0][:block], own[1][:block])
-                    own = [own[0][block:], own[1][block:]]
-                waiting[g] = own
-        for g, (ids, x) in waiting.items():
-            if len(ids):
-                yield out(g, ids, x)
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x = _matrix(b.column(1), dims, scale)
+            cell = np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + p_norm**2, 0).argmin(1) if len(x) else np.zeros(0, int)
+            far, along = np.linalg.norm(x - p[cell], axis=1), (x * unit[cell]).sum(1)
+            across = np.linalg.norm(x - along[:, None] * unit[cell], axis=1)
+            raw = pa.array([row.tobytes() for row in x.astype(kind)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cell, pa.int32()), *map(pa.array, (far, along, across)), raw], ["vec_id", "asks", "cell", "far", "along", "across", "x"])
+
+    placed = staged(data.mapInArrow(tidy(place), "vec_id long, asks boolean, cell int, far double, along double, across double, x binary"), "vectors")
+    r, low, high, wide, rows = (np.zeros(len(p)) for _ in range(5))
+    for s in placed.groupBy("cell").agg(F.max("far").alias("r"), F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("wide"), F.count("*").alias("n")).collect():
+        r[s.cell], low[s.cell], high[s.cell], wide[s.cell], rows[s.cell] = s.r, s.low, s.high, s.wide, s.n
+    salts = np.maximum(1, np.ceil(rows / block)).astype(int)
+    parts = max(1, -(-int(asking) // block))
+    # a row for each cell, as many as pivots at most
+    dealt = data.sparkSession.createDataFrame([(c, int(salts[c])) for c in range(len(p))], "cell int, salts int")
+
+    def decode(raw: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(len(raw), dims).astype(np.float64)
+
+    salted = placed.select("vec_id", "cell", "x").join(F.broadcast(dealt), "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
+    blocks = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("vec_id", "x")).alias("data"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.v, dims, scale)
-            cell, _ = nearest(x)
-            deal = (b.vec_id.to_numpy() // 2**4 % 2**31) % np.maximum(1, queries[cell] // block).astype(np.int64)
-            yield pd.DataFrame({"cell": cell, "part": deal, "id": b.vec_id, "q": [row.astype(kind).tobytes() for row in x]})
-
-    data_blocks = data.mapInPandas(replicate, "cell int, salt int, ids binary, x binary")
-    asking = data.filter("asks").dropDuplicates(["vec_id", "v"]).mapInPandas(ask, "cell int, part long, id long, q binary")
-    query_blocks = asking.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("qs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple, list] = {}  # of each block of queries that this task meets: at most k scores a query
+            out = []
+            for qs, own in zip(*b.columns, strict=True):
+                (q_id, q_key, floor, q), (ids, x) = qs.values.flatten(), own.values.flatten()
+                q_id, q_key, floor, ids = (a.to_numpy() for a in (q_id, q_key, floor, ids))
+                asked, held = decode(q), decode(x)
+                for at in range(0, len(asked), 1024):
+                    part = slice(at, at + 1024)
+                    scores = _products(asked[part], held, exact)
+                    scores[(q_id[part][:, None] == ids[None, :]) | (scores < floor[part][:, None])] = NONE
+                    i, j = _top(scores, ids, k)
+                    out.append((q_id[part][i], q_key[part][i], ids[j], scores[i, j]))
+            found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "key", "vec_id", "score"])
+
+    def solved(queries: DataFrame) -> DataFrame:
+        """queries: cell, query_id, key, floor, x, a row for each cell that a query is sent to."""
+        spread = queries.join(F.broadcast(dealt), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        packed = spread.groupBy("cell", "salt", F.pmod("key", F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("query_id", "key", "floor", "x")).alias("qs"))
+        return packed.join(blocks, ["cell", "salt"]).select("qs", "data").mapInArrow(tidy(solve), "query_id long, key long, vec_id long, score long")
+
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    queries = placed.filter("asks").select("cell", F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "x").alias("key"), "x").distinct()
+    own = staged(best(solved(queries.withColumn("floor", F.lit(int(NONE))))), "own_cell")
+    floors = own.filter(F.col("rank") == k).select("query_id", "key", F.col("score").alias("floor"))
+    ready = queries.join(floors, ["query_id", "key"], "left").withColumn("floor", F.coalesce("floor", F.lit(int(NONE))))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.itertuples():
-                key = (row.cell, row.part)
-                if key not in best:
-                    q_ids = np.array([e["id"] for e in row.qs], np.int64)
-                    best[key] = [q_ids, np.stack([np.frombuffer(e["q"], kind) for e in row.qs]).astype(np.float64), np.zeros((len(q_ids), 0)), np.zeros((len(q_ids), 0), np.int64)]
-                q_ids, q, scores, who = best[key]
-                ids = np.frombuffer(row.ids, "<i8")
-                found = _products(q, np.frombuffer(row.x, kind).reshape(len(ids), dims).astype(np.float64), exact)
-                found[q_ids[:, None] == ids[None, :]] = -np.inf
-                found, whose = _top(found, np.broadcast_to(ids, found.shape), k)
-                best[key][2:] = _top(np.concatenate([scores, found], 1), np.concatenate([who, whose], 1), k)
-        for q_ids, _, scores, who in best.values():
-            rows, cols = np.nonzero(scores > -np.inf)
-            yield pd.DataFrame({"query_id": q_ids[rows], "vec_id": who[rows, cols], "score": scores[rows, cols].astype(np.int64), "place": rows})
-
-    pairs = query_blocks.join(data_blocks, ["cell", "salt"])
-    partial = pairs.select("cell", "part", "qs", "ids", "x").mapInPandas(solve, "query_id long, vec_id long, score long, place long")
-    order = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            q, floor, home = decode(b.column("x")), b.column("floor").to_numpy().astype(float), b.column("cell").to_numpy()
+            norm, along = np.linalg.norm(q, axis=1)[:, None], q @ unit.T
+            across = np.sqrt(np.maximum(norm**2 - along**2, 0) + SLACK * norm**2)
+            near = q @ p.T + norm * r
+            beside = np.maximum(along * low, along * high) + across * wide
+            slack = SLACK * (norm * (p_norm + r) + norm * wide) + 1
+            open_cells = (np.minimum(near, beside) + slack >= floor[:, None]) & (rows > 0)
+            open_cells[np.arange(len(q)), home] = False
+            cells = pa.array([np.flatnonzero(o) for o in open_cells], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("query_id", "key", "floor", "x")] + [cells], ["query_id", "key", "floor", "x", "cells"])
+
+    sent = ready.mapInArrow(tidy(reach), "query_id long, key long, floor long, x binary, cells array<int>")
+    sent = sent.select(F.explode("cells").alias("cell"), "query_id", "key", "floor", "x")
+    if report is not None:
+        met = sent.select("cell").unionByName(queries.select("cell")).groupBy("cell").count().collect()
+        report["met"] = sum(m["count"] * rows[m.cell] for m in met) / max(1, int(asking) * int(n))
+    others = solved(sent)
+    return best(own.drop("rank").unionByName(others)).select("query_id", "rank", "vec_id", "score")

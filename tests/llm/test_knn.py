@@ -47,5 +47,21 @@ def test_large_components_are_exact(spark):
     check(spark, [(i, [1e5 + i, -3e4 * i], 0, 0) for i in range(120)])
 
 
+def test_scores_beyond_doubles(spark):
+    """Products up to 2**63 are exact integers."""
+    check(spark, [(i, [2.0**22 + i, 2.0**21 - 3 * i + 1 / 256], 0, 0) for i in range(110)])
+
+
+def test_what_is_replicated(spark):
+    """On clustered vectors a query is sent to few cells, and the result is exact all the same."""
+    rnd = random.Random(4)
+    centres = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    rows = [(i, [c + rnd.gauss(0, 0.05) for c in centres[i % 20]], 0, 0) for i in range(2500)]
+    report = {}
+    got = knn.voronoi_topk(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, report=report)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
+    assert report["met"] < 0.3
+
+
 def test_sql_twin(spark):
     same(spark, "/root/testdata/sf0.01", "op2_voronoi_knn")
