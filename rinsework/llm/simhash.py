@@ -1,28 +1,28 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by BK-trees at a small Hamming distance.
 
-Only distinct fingerprints are compared. Two that differ in at most 2 of 64 bits agree in at least two of four 16-bit
-blocks, so each goes to six shards, one for each pair of blocks and their 32 bits; any linked pair meets in one of them.
-A shard is cut into pieces of bounded size. Each piece gets a BK-tree (children keyed by their integer distance to the
-parent), and the fingerprints of every piece of the shard are sent down it, following only edges within the radius.
+Only distinct fingerprints are compared. Two that differ in at most r of 64 bits agree in one of r + 1 blocks, so each goes
+to r + 1 shards, one for each block; any linked pair meets in one of them. A shard of several fingerprints is cut into
+pieces of bounded size, and each piece becomes a BK-tree (children keyed by their integer distance to the parent), packed
+as arrays. Trees are a table of their own, which meets the shards' fingerprints in a join: Spark broadcasts the trees if
+their written size is under its limit, and otherwise both sides are dealt by shard. The fingerprints are sent down the trees,
+following only edges within the radius.
 
-The trees travel with the shuffle to the rows that can match them and aren't broadcast to all: together they hold all
-fingerprints, which grow with the corpus. Of the links found in a piece only a spanning forest goes on, at most one link a
-fingerprint, so a large group of near copies gives no squares; connected components join the forests.
+Of the links found in a tree only a spanning forest goes on, at most one link a fingerprint, so a large group of near copies
+gives no squares; connected components join the forests.
 
 Defined cases: a null text has no words, and texts without words have the fingerprint zero, linked as any other; equal
 texts share a fingerprint whatever their number; rows with a null doc_id are fingerprinted and linked, but only other ids
-can become a component's; repeated rows stay repeated; no rows give no rows; other columns are ignored.
+can become a component's; repeated rows stay repeated; texts of any length are read whole; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.llm.workers import tidy
@@ -30,7 +30,6 @@ from rinsework.operators.components import components
 from rinsework.session import staged
 
 SEED = 42
-BLOCKS = 4
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -52,99 +51,133 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: rows of one id with different texts are different documents."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, text_key, fp (the fingerprint's 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
+    return _keyed(docs).mapInArrow(tidy(run), "doc_id long, text_key long, fp long")
 
 
 class BKTree:
-    """Over distinct 64-bit values. Searches take many values at once and walk the tree with those that still can match."""
+    """Over distinct 64-bit values, as arrays: a node's children follow one another from first[node], each with its edge, the
+    distance to the parent. Searches take many values at once and walk the tree with those that still can match."""
 
     def __init__(self, values: np.ndarray):
-        self.values, self.children = values, [[] for _ in values]
-        todo = [np.arange(len(values))] if len(values) else []
-        while todo:
-            own = todo.pop()
-            node, rest = own[0], own[1:]
-            apart = np.bitwise_count(values[rest] ^ values[node])
-            for d in np.unique(apart):
-                below = rest[apart == d]
-                self.children[node].append((int(d), int(below[0])))
-                todo.append(below)
+        self.values, self.first, self.last, self.edge = values, np.zeros(len(values), np.int32), np.zeros(len(values), np.int32), np.zeros(len(values), np.int32)
+        order, edges, todo = [np.arange(len(values))] if len(values) else [], [0], 0
+        nodes: list[int] = []
+        while todo < len(order):  # subsets by the order of their roots: a root's children come to stand together
+            own, rest = order[todo], order[todo][1:]
+            nodes.append(own[0])
+            apart = np.bitwise_count(values[rest] ^ values[own[0]])
+            found = np.argsort(apart, kind="stable")
+            cuts = np.flatnonzero(np.diff(apart[found])) + 1
+            self.first[todo] = len(order)
+            if len(rest):
+                order += np.split(rest[found], cuts)
+                edges += apart[found][np.concatenate([[0], cuts])].tolist()
+            self.last[todo] = len(order)
+            todo += 1
+        self.values, self.edge = values[np.array(nodes, np.int64)], np.array(edges[: len(nodes)], np.int32)
+        self.places = np.array(nodes, np.int64)  # where a node's value stood
+
+    def pack(self) -> bytes:
+        return b"".join(x.tobytes() for x in (self.values, self.first, self.last, self.edge))
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> BKTree:
+        own, n = cls.__new__(cls), len(raw) // 20
+        own.values, own.places = np.frombuffer(raw, np.uint64, n), np.arange(n)
+        own.first, own.last, own.edge = np.frombuffer(raw, np.int32, 3 * n, 8 * n).reshape(3, n)
+        return own
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(index of a tree's value, indexes of the queries within the radius)."""
+        """(node, indexes of the queries within the radius)."""
         todo = [(0, np.arange(len(queries)))] if len(self.values) and len(queries) else []
         while todo:
             node, own = todo.pop()
-            apart = np.bitwise_count(queries[own] ^ self.values[node]).astype(np.int64)
+            apart = np.bitwise_count(queries[own] ^ self.values[node]).astype(np.int32)
             hit = own[apart <= radius]
             if len(hit):
                 yield node, hit
-            for edge, child in self.children[node]:
-                near = own[np.abs(apart - edge) <= radius]
+            for child in range(self.first[node], self.last[node]):
+                near = own[np.abs(apart - self.edge[child]) <= radius]
                 if len(near):
                     todo.append((child, near))
 
 
-def spanning(tree: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between two sets of fingerprints, or within one (queries is tree), reduced to a forest."""
-    label = np.arange(len(tree) + len(queries)) if queries is not tree else np.arange(len(tree))
-    shift, links = 0 if queries is tree else len(tree), []
-    for node, hit in BKTree(tree).search(queries, radius):
+def spanning(tree: BKTree, queries: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
+    """Links between a tree's values and queries, or within one set of them (same), reduced to a forest."""
+    n = len(tree.values)
+    queries = tree.values if same else queries
+    label, shift, links = np.arange(n if same else n + len(queries)), 0 if same else n, []
+    for node, hit in tree.search(queries, radius):
         for other in np.unique(label[hit + shift]):
             if other != label[node]:
-                links.append((int(tree[node]), int(queries[hit[label[hit + shift] == other][0]])))
+                links.append((int(tree.values[node]), int(queries[hit[label[hit + shift] == other][0]])))
                 label[label == other] = label[node]
     return links
 
 
-def link(fps: DataFrame, radius: int = 2, piece: int = 512) -> DataFrame:
+def link(fps: DataFrame, radius: int = 2, piece: int = 4096) -> DataFrame:
     """a, b: links that connect all distinct values of fps.fp within the radius."""
-    if radius > BLOCKS - 2:
-        raise ValueError(f"the shards of {BLOCKS} blocks hold every pair up to {BLOCKS - 2} differing bits")
-    bits = 64 // BLOCKS
-    part = lambda i: F.shiftrightunsigned("fp", i * bits).bitwiseAND((1 << bits) - 1)
-    keys = [F.lit(n << 2 * bits).bitwiseOR(F.shiftleft(part(i), bits)).bitwiseOR(part(j)) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    shards = fps.select("fp", F.explode(F.array(*keys)).alias("shard"))
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    part = lambda i: F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << cuts[i + 1] - cuts[i]) - 1)
+    wide = max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+    shards = fps.select("fp", F.explode(F.array(*(F.lit(i << wide).bitwiseOR(part(i)) for i in range(radius + 1)))).alias("shard"))
     several = staged(shards.groupBy("shard").count().filter("count > 1"), "shards")
     cut = shards.join(several, "shard").withColumn("pieces", F.ceil(F.col("count") / piece).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
-        "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("fp", (F.col("own") >= F.col("other")).alias("asks")).alias("e")
-    )
-    tasks = met.groupBy("shard", "i", "j").agg(F.collect_list("e").alias("es")).select((F.col("i") == F.col("j")).alias("same"), F.col("es.fp").alias("fp"), F.col("es.asks").alias("asks"))
+    pieces = staged(cut.groupBy("shard", "own", "pieces").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "pieces")
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trees = [BKTree(x.values.to_numpy().view(np.uint64)).pack() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.binary())], ["shard", "own", "tree"])
+
+    trees = staged(pieces.select("shard", "own", "fps").mapInArrow(tidy(grow), "shard long, own int, tree binary"), "trees")
+    # every piece meets the trees of its own and of earlier pieces
+    asked = pieces.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("own")))).select("shard", F.col("at").alias("own"), (F.col("own") == F.col("at")).alias("same"), "fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             links = []
-            for same, fp, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if same and len(fp) == 2:  # a tree of one node
-                    if ((fp[0] ^ fp[1]) & (2**64 - 1)).bit_count() <= radius:
-                        links.append((fp[0], fp[1]))
-                    continue
-                values, asks = np.array(fp, np.int64).view(np.uint64), np.array(asks)
-                found = spanning(values, values, radius) if same else spanning(values[~asks], values[asks], radius)
+            for same, fp, raw in zip(*b.columns, strict=True):
+                found = spanning(BKTree.unpack(raw.as_py()), fp.values.to_numpy().view(np.uint64), radius, same.as_py())
                 links += [(x - (x >> 63 << 64), y - (y >> 63 << 64)) for x, y in found]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return tasks.mapInArrow(tidy(run), "a long, b long")
+    return asked.join(trees, ["shard", "own"]).select("same", "fps", "tree").mapInArrow(tidy(run), "a long, b long")
+
+
+def _named(fps: DataFrame, reps: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """fps with component_id and stays, the one row of a component that is named first. reps: node, doc_id, text_key."""
+    named = reps.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+    first = staged(reps.join(roots.select(F.col("node").alias(node), "root"), node).groupBy("root").agg(F.min(_row()).alias("first")), "first")
+    whole = named.join(first, "root", "left").select(node, F.coalesce("first", _row()).alias("first"))
+    return fps.join(whole, node).withColumn("component_id", F.col("first.doc_id")).withColumn("stays", F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")), F.lit(False)))
+
+
+def _row() -> Column:
+    """Null where the id is: min() goes past it."""
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links lead to)."""
+    """doc_id, text_key, fp, component_id (the smallest doc_id that links lead to), stays."""
     fps = staged(fingerprints(docs, width), "fingerprints")
-    reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    roots = staged(components(link(reps, radius)).select(F.col("node").alias("fp"), "root"), "roots")
-    named = reps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = staged(reps.join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("first")), "first")
-    whole = named.join(first, "root", "left").select("fp", F.coalesce("first", "doc_id").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id")
+    reps = staged(fps.groupBy("fp").agg(F.min(_row()).alias("r")).select("fp", "r.*"), "distinct")
+    roots = staged(components(link(reps, radius)), "roots")
+    return _named(fps, reps, roots, "fp").select("doc_id", "text_key", "fp", "component_id", "stays")
 
 
 # ---- by similarity: wide fingerprints find and rank the candidates, shingles decide

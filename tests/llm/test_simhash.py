@@ -73,7 +73,20 @@ def test_trees_and_pieces(spark):
 
 def test_spanning_is_a_forest():
     values = np.arange(64, dtype=np.uint64)
-    assert len(simhash.spanning(values, values, 2)) == 63
+    assert len(simhash.spanning(simhash.BKTree(values), values, 2, same=True)) == 63
+
+
+def test_trees_find_what_a_scan_finds():
+    rnd = np.random.default_rng(5)
+    for bits in (8, 20, 64):
+        values = np.unique(rnd.integers(0, 2**bits, 400, dtype=np.uint64, endpoint=False))
+        queries = rnd.integers(0, 2**bits, 100, dtype=np.uint64, endpoint=False)
+        tree = simhash.BKTree.unpack(simhash.BKTree(values).pack())
+        found = {(int(tree.values[n]), int(q)) for n, hit in tree.search(queries, 3) for q in queries[hit]}
+        assert found == {(int(v), int(q)) for v in values for q in queries if (int(v) ^ int(q)).bit_count() <= 3}
+        edges = [(n, c) for n in range(len(tree.values)) for c in range(tree.first[n], tree.last[n])]
+        assert len(edges) == len(values) - 1 and all(int(tree.values[n] ^ tree.values[c]).bit_count() == tree.edge[c] for n, c in edges)
+    assert list(simhash.BKTree(np.zeros(0, np.uint64)).search(queries, 2)) == []
 
 
 def test_odd_rows_and_keep_first(spark):
