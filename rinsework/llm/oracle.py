@@ -60,7 +60,7 @@ measured as (
 judged as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
     1000 * n_symbols // greatest(word_chars, 1) as symbols, 1000 * n_dup_lines // greatest(n_lines, 1) as dup_lines,
-    1000 * n_repeat_words // greatest(n_words, 1) as repeats, 100 * word_chars // greatest(n_words, 1) as word_length
+    1000 * n_repeat_words // greatest(n_words, 1) as repeats, least(100 * word_chars // greatest(n_words, 1), 10000) as word_length
   from measured),
 entries as (
   select lang, source, 'symbols' as metric, symbols as bucket from judged where not base_failed
@@ -75,20 +75,20 @@ ranked as (
   select *, sum(n) over (partition by level, lang, source, metric order by bucket) as upto, sum(n) over (partition by level, lang, source, metric) as total
   from sketch),
 quartiles as (
-  select level, lang, source, metric, max(total) as total, min(case when upto * 100 >= total * 25 then bucket end) as q1,
-    min(case when upto * 100 >= total * 75 then bucket end) as q3
+  select level, lang, source, metric, max(total) as total, min(case when upto * 100 >= total * 25 then bucket end) as q25, min(case when upto * 100 >= total * 50 then bucket end) as q50,
+    min(case when upto * 100 >= total * 75 then bucket end) as q75, min(case when upto * 100 >= total * 99 then bucket end) as q99
   from ranked group by level, lang, source, metric),
 fences as (
   select level, lang, source, max(total) as total,
-    max(case when metric = 'symbols' then q3 + greatest(3 * (q3 - q1), 30) end) as h1,
-    max(case when metric = 'dup_lines' then q3 + greatest(3 * (q3 - q1), 500) end) as h2,
-    max(case when metric = 'repeats' then q3 + greatest(3 * (q3 - q1), 250) end) as h3,
-    max(case when metric = 'word_length' then q3 + greatest(3 * (q3 - q1), 250) end) as h4,
-    max(case when metric = 'word_length' then q1 - greatest(3 * (q3 - q1), 250) end) as l4
+    max(case when metric = 'symbols' then q75 + case when q75 > q25 then 3 * (q75 - q25) else 30 end end) as h1,
+    max(case when metric = 'dup_lines' then q99 + case when q99 > q50 then q99 - q50 else 500 end end) as h2,
+    max(case when metric = 'repeats' then q99 + case when q99 > q50 then q99 - q50 else 250 end end) as h3,
+    max(case when metric = 'word_length' then q75 + case when q75 > q25 then 4 * (q75 - q25) else 250 end end) as h4,
+    max(case when metric = 'word_length' then q25 - case when q75 > q25 then 4 * (q75 - q25) else 250 end end) as l4
   from quartiles group by level, lang, source),
 found as (
   select j.*, f.h1, f.h2, f.h3, f.h4, f.l4, row_number() over (partition by j.rid order by f.level desc) as place
-  from judged j left join fences f on (f.total >= 50 or f.level = 0)
+  from judged j left join fences f on (f.total >= 100 or f.level = 0)
     and (f.level = 0 or (f.lang is not distinct from j.lang and (f.level = 1 or f.source is not distinct from j.source))))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(symbols <= h1 and dup_lines <= h2 and repeats <= h3 and word_length <= h4 and word_length >= l4, false) as kept

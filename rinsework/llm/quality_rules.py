@@ -5,9 +5,12 @@ as whole per mille, into sketches: counts on a fixed grid for each metric, langu
 adding, so any partition, order or retry gives the same one, its error is the grid's step, and its size is bounded by
 the grid. Sketches of sources are merged to the language's, and those to the corpus's, for groups of too few documents.
 
-The fence of a metric is its upper quartile plus the larger of a margin and three times the distance between the
-quartiles; for word length there is a lower one too. A document is kept if it passes the base rules and is within the
-fences of its group. Documents that fail the base rules don't count in the sketches.
+A metric's fence lies beyond a quantile of its group by a multiple of the group's own spread: four quartile distances for word
+length, on both sides; for symbols three above the upper quartile; and for repeated lines and windows, which most documents
+lack, as far above the 99th percentile as that is above the median. So each language and source has thresholds of its
+own. Only where the spread is zero, because nearly all documents of a group have one value, a fixed floor stands in for it. A
+document is kept if it passes the base rules and is within the fences of its group. Documents that fail the base rules don't
+count in the sketches.
 
 Texts are read once: measures are written as a short row each. The join with the fences is by language and source, with the
 fences broadcast only if their written size is under Spark's limit, and otherwise a sort-merge join that is split where
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 from rinsework.session import staged
 
 SPACE = " \t\n\x0b\f\r"
-#: metric: (margin above the upper quartile, margin below the lower one or None), in its grid's steps
-FENCES = {"symbols": (30, None), "dup_lines": (500, None), "repeats": (250, None), "word_length": (250, 250)}
-LEAST = 50  # documents that a group needs for fences of its own
+#: metric: lower and upper quantile (per cent), multiple of their distance, floor where that is zero, and whether both sides count
+FENCES = {"symbols": (25, 75, 3, 30, False), "dup_lines": (50, 99, 1, 500, False), "repeats": (50, 99, 1, 250, False), "word_length": (25, 75, 4, 250, True)}
+LEAST = 100  # documents that a group needs for fences of its own
+LONGEST = 10_000  # the last bucket of word lengths, in hundredths: longer words share it
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -78,7 +82,7 @@ def measure(docs: DataFrame, *more: str | Column) -> DataFrame:
 
 def _ratios() -> dict[str, Column]:
     over = lambda a, b, times=1000: F.floor(times * F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    return {"symbols": over("n_symbols", "word_chars"), "dup_lines": over("n_dup_lines", "n_lines"), "repeats": over("n_repeat_words", "n_words"), "word_length": over("word_chars", "n_words", 100)}
+    return {"symbols": over("n_symbols", "word_chars"), "dup_lines": over("n_dup_lines", "n_lines"), "repeats": over("n_repeat_words", "n_words"), "word_length": F.least(over("word_chars", "n_words", 100), F.lit(LONGEST))}
 
 
 def sketch(measured: DataFrame) -> DataFrame:
@@ -95,14 +99,15 @@ def fences(measured: DataFrame) -> DataFrame:
     group = Window.partitionBy("level", "lang", "source", "metric")
     ranked = sketch(measured).withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
-    quartiles = ranked.groupBy("level", "lang", "source", "metric").agg(at(25).alias("q1"), at(75).alias("q3"), F.max("all").alias("all"))
-    spread = 3 * (F.col("q3") - F.col("q1"))
+    bounds = sorted({q for lower, upper, *_ in FENCES.values() for q in (lower, upper)})
+    quartiles = ranked.groupBy("level", "lang", "source", "metric").agg(*(at(q).alias(f"q{q}") for q in bounds), F.max("all").alias("all"))
     columns = []
-    for metric, (above, below) in FENCES.items():
-        own = F.col("metric") == metric
-        columns.append(F.max(F.when(own, F.col("q3") + F.greatest(spread, F.lit(above)))).alias(f"high_{metric}"))
-        if below is not None:
-            columns.append(F.max(F.when(own, F.col("q1") - F.greatest(spread, F.lit(below)))).alias(f"low_{metric}"))
+    for metric, (lower, upper, times, floor, both) in FENCES.items():
+        own, low, high = F.col("metric") == metric, F.col(f"q{lower}"), F.col(f"q{upper}")
+        spread = F.when(high > low, times * (high - low)).otherwise(F.lit(floor))
+        columns.append(F.max(F.when(own, high + spread)).alias(f"high_{metric}"))
+        if both:
+            columns.append(F.max(F.when(own, low - spread)).alias(f"low_{metric}"))
     by_group = quartiles.groupBy("level", "lang", "source").agg(F.max("all").alias("all"), *columns)
     names = [c for c in by_group.columns if c.startswith(("high_", "low_"))]
     bound = by_group.select("level", "lang", "source", "all", F.struct(*names).alias("bounds"))
@@ -122,7 +127,7 @@ def verdict(measured: DataFrame, found: DataFrame) -> DataFrame:
     within = F.lit(True)
     for metric, ratio in _ratios().items():
         within &= ratio <= F.col(f"high_{metric}")
-        if FENCES[metric][1] is not None:
+        if FENCES[metric][-1]:
             within &= ratio >= F.col(f"low_{metric}")
     g = found.withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
     joined = measured.join(g, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
@@ -140,7 +145,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rejected ones. Documents are measured where they are read and don't move."""
-    found = staged(fences(staged(measure(docs, *_strings(docs)), "measures")), "fences")
-    whole = measure(docs, F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), *_strings(docs))
-    return verdict(whole, found).filter("kept").select("_doc.*")
+    """docs without the rejected ones. Every text is measured once: documents are written with their measures and read again."""
+    measured = staged(measure(docs, F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), *_strings(docs)), "measures")
+    return verdict(measured, staged(fences(measured), "fences")).filter("kept").select("_doc.*")
