@@ -10,7 +10,8 @@ fixed number of bytes each. Scoring reads each document once, where it lies, wit
 
 Defined cases: a null text is empty; null or unknown languages, sources and lengths have features of their own; labels that
 disagree count by their mean; with labels of one class only, or none, nothing can be learnt and every document is kept with
-a score of 1, and a warning says so; repeated rows are scored as often as they occur; null ids are scored; no rows give no rows; other columns are ignored,
+a score of 1, and a warning says so; of rows that repeat an id one is learnt from; ties in certainty go by id; texts of any length are
+read whole; repeated rows are scored as often as they occur; null ids are scored; no rows give no rows; other columns are ignored,
 and filtering returns the rows as they were.
 """
 
@@ -179,11 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> CoTrained
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (text, meta))], ["doc_id", "text", "meta"])
 
     some = docs.select(*_inputs(docs)).join(chosen.select("doc_id"), "doc_id", "left_semi")
-    seen = some.mapInArrow(tidy(run), "doc_id long, text binary, meta binary")
+    seen = some.mapInArrow(tidy(run), "doc_id long, text binary, meta binary").groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("v")).select("doc_id", "v.*")  # one row for an id
     rows = seen.join(chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).toPandas()
     if not len(rows):
         return CoTrained()
-    rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
+    rows = rows.sort_values("doc_id", ignore_index=True)
     views = tuple(np.stack([np.frombuffer(x, np.float32) for x in rows[c]]) for c in ("text", "meta"))
     y = rows["quality"].to_numpy(float, na_value=np.nan)
     model = co_train(views, np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float)), rows["fold"].to_numpy(bool))
