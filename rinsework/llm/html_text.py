@@ -32,6 +32,7 @@ from rinsework.llm.workers import tidy
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([a-zA-Z_:-]+)""")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
+FOREIGN = {"svg", "math"}  # these may close themselves
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "head"}
 BLOCK = set(
@@ -86,9 +87,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         closing, single = bool(m[1]), name in VOID or m[3].endswith("/")
-        if name in RAW and not closing and not single:
-            stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+        if name in RAW and not closing:  # a slash at the end says nothing here, unless no end tag follows
+            stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at) if not single or name not in FOREIGN else None
+            at = stop.end() if stop else at if single else end
             continue
         if skip:
             if name in MAIN and not closing and skip not in MAIN and depth == 0:
