@@ -10,7 +10,8 @@ the winner has of the likelihood, tempered by the square root of the number of w
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from, every text is
 ``und``; a null lang is not learnt; a row with a null id is neither learnt from nor held out; ties go to the first
-language by name; repeated rows are repeated; other columns play no part.
+language by name; texts of any length are read whole, a worker remembering a bounded number of words; repeated rows are
+repeated; no rows give no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ UNKNOWN = "und"
 LONGEST = 4
 KEPT_WORDS = 200_000  # a worker's memory of scored words
 STRIP = ".,;:!?\"'()[]{}<>|#*$%&-_/\\0123456789"
+CUT = str.maketrans(STRIP, " " * len(STRIP))  # words end at these, when learning as when predicting
+BLANK = r"(?U)[\s\x1c-\x1f]+"  # what str.split() takes for white space
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,20 +59,18 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages:
             return UNKNOWN, 0.0
-        words = text.lower().split()
-        total, n, kept = np.zeros(len(self.languages)), 0, self.kept
-        rows = []
-        for w in words:
-            row = kept.get(w)
-            if row is None:
-                bare = w.strip(STRIP)
-                row = self.score(bare) if any(map(str.isalpha, bare)) else False
+        n, kept, rows = 0, self.kept, []
+        for w in text.lower().split():
+            known = kept.get(w)
+            if known is None:
+                parts = [self.score(x) for x in w.translate(CUT).split() if any(map(str.isalpha, x))]
+                known = (np.sum(parts, 0), len(parts)) if parts else False
                 if len(kept) >= KEPT_WORDS:
                     kept.clear()
-                kept[w] = row
-            if row is not False:
-                rows.append(row)
-        n = len(rows)
+                kept[w] = known
+            if known is not False:
+                rows.append(known[0])
+                n += known[1]
         if not n:
             return UNKNOWN, 0.0
         total = np.array(rows).sum(0) / n**0.5
@@ -99,7 +100,7 @@ def learn(docs: DataFrame, usable: Column, sample: int = 12_000, words: int = 60
         share = F.when(F.col("lang") == lang, F.lit(int(most * (1 << 30)) + 1)).otherwise(share)
     some = ready.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     cleaned = F.translate(F.lower("text"), STRIP, " " * len(STRIP))
-    counts = some.select("lang", F.explode(F.split(cleaned, r"\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = some.select("lang", F.explode(F.split(cleaned, BLANK)).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = staged(counts, "words")  # read again for each length of n-grams
     by_lang = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     languages = sorted(by_lang)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -42,6 +43,80 @@ def test_backoff_goes_from_long_to_short():
     assert m.score("known")[0] == 2 and m.score("kno!")[0] < 0 and m.score("knx")[0] > m.score("kx")[0] > 0 == m.score("zz")[0]
 
 
+def slow_languages(docs):
+    """(id, prediction, score) by plain dictionaries; docs: (id, text, lang)."""
+    strip = ".,;:!?\"'()[]{}<>|#*$%&-_/\\0123456789"
+    cut = lambda t: "".join(" " if c in strip else c for c in t.lower()).split()
+    learnt = [(t, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and t is not None]
+    langs = sorted({lang for _, lang in learnt})
+    counts = {x: {} for x in langs}
+    for t, lang in learnt:
+        for w in cut(t):
+            counts[lang][w] = counts[lang].get(w, 0) + 1
+    totals = [sum(counts[x].values()) for x in langs]
+
+    def logs(table, totals):
+        keys = {k for own in table.values() for k in own}
+        rows = {k: [math.log((table[x].get(k, 0) + 0.5) / (n + 0.5 * len(keys) + 1)) for x, n in zip(langs, totals)] for k in keys}
+        return {k: [v - sum(r) / len(r) for v in r] for k, r in rows.items()}
+
+    words = logs({x: {w: n for w, n in counts[x].items() if n >= 3} for x in langs}, totals)
+    grams = []
+    for size in range(1, 5):
+        table = {x: {} for x in langs}
+        for x in langs:
+            for w, n in counts[x].items():
+                padded = f" {w} "
+                for i in range(len(padded) - size + 1):
+                    table[x][padded[i : i + size]] = table[x].get(padded[i : i + size], 0) + n
+            table[x] = {g: n for g, n in table[x].items() if n >= 2}
+        grams.append(logs(table, [sum(table[x].values()) for x in langs]))
+
+    def score(w):
+        if w in words:
+            return words[w]
+        padded = f" {w} "
+        for size in (4, 3, 2, 1):
+            found = [grams[size - 1][g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in grams[size - 1] and g != " "]
+            if found:
+                return [sum(c) * size / 4 / len(found) ** 0.5 for c in zip(*found)]
+        return [0.0] * len(langs)
+
+    out = []
+    for i, t, _ in docs:
+        own = [score(w) for w in cut(t or "") if any(map(str.isalpha, w))]
+        if not own:
+            out.append((i, "und", 0.0))
+            continue
+        total = [sum(c) / len(own) ** 0.5 for c in zip(*own)]
+        out.append((i, langs[total.index(max(total))], 1 / sum(math.exp(v - max(total)) for v in total)))
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()[:250]
+    rows = [(r.doc_id, (r.text or "")[:3000] + " l'arbre-vert it's 3x", r.lang, r.source, 1, 1, "x") for r in docs]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, lang, chance in slow_languages([r[:3] for r in rows]):
+        assert got[i].lang_pred == lang and abs(got[i].score - chance) < 1e-6
+
+
+def test_a_rare_language_among_many(spark):
+    rnd = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = [["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 9))) for _ in range(120)] for _ in range(30)]
+    text = lambda k: " ".join(rnd.choice(vocabulary[k]) for _ in range(60))
+    rows, wanted = [], {}
+    for k in range(30):
+        for _ in range(40 if k else 5):  # language 0 has five documents
+            wanted[len(rows)] = f"l{k:02d}"
+            rows.append((len(rows), text(k), f"l{k:02d}", "s", 1, 1, "x"))
+    rows += [(i, text(0), None, "s", 1, 1, "x") for i in range(5000, 5020)]
+    wanted |= {i: "l00" for i in range(5000, 5020)}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, DOCS), sample=300, words=3000, grams=3000).collect()}
+    assert np.mean([got[i] == x for i, x in wanted.items()]) > 0.98 and all(got[i] == "l00" for i in range(5000, 5020))
+
+
 # quality rules
 
 
@@ -70,6 +145,37 @@ def test_rules_sql_twin(spark):
     same(spark, SF, "op7_quality_rules")
 
 
+def test_fences_against_brute_force(spark):
+    """Thresholds are quantiles of each group, of its language where it is small, and of all where that is."""
+    rnd, rows = random.Random(8), []
+    for lang, source, n, size in (("en", "a", 150, 5), ("en", "b", 300, 9), ("en", "c", 20, 6), ("de", "a", 60, 7), (None, None, 130, 4)):
+        for _ in range(n):
+            words = ["x" * max(1, round(rnd.gauss(size, 2))) + str(rnd.random())[2:5] for _ in range(rnd.randrange(50, 90))]
+            lines = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+            lines += [lines[0]] * rnd.choice([0, 0, 0, 1, 2]) + ["#" * rnd.choice([0, 0, 1, 3, 60])]
+            rows.append((len(rows), "\n".join(lines), lang, source, 1, 1, "x"))
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    ratios = {}
+    for i, t, *_ in rows:
+        r, n_lines = got[i], sum(bool(x.split()) for x in t.split("\n"))
+        ratios[i] = (1000 * r.n_symbols // r.word_chars, 1000 * r.n_dup_lines // n_lines, 1000 * r.n_repeat_words // r.n_words, 100 * r.word_chars // r.n_words)
+    good = [r for r in rows if not got[r[0]].base_failed]
+    for i, _, lang, source, *_ in good:
+        for level in (lambda r: r[2:4] == (lang, source), lambda r: r[2] == lang, lambda r: True):
+            group = [ratios[r[0]] for r in good if level(r)]
+            if len(group) >= quality_rules.LEAST:
+                break
+        kept = True
+        for m, (lower, upper, times, floor, both) in enumerate(quality_rules.FENCES.values()):
+            values = sorted(g[m] for g in group)
+            low, high = (values[max(0, -(-len(values) * q // 100) - 1)] for q in (lower, upper))
+            spread = times * (high - low) or floor
+            kept &= ratios[i][m] <= high + spread and (not both or ratios[i][m] >= low - spread)
+        assert got[i].kept == kept
+    assert 0 < sum(not got[r[0]].kept for r in good) < 0.4 * len(good)
+
+
 def test_rules_keep_clean_and_drop_junk(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.op7_quality_rules(spark, SF).collect()}
