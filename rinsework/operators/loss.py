@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rinsework.operators.normalize import quoted
 from rinsework.operators.profile import is_numeric
+from rinsework.session import staged
 
 DIMS = 64
 
@@ -43,7 +44,7 @@ def wasserstein(raw: DataFrame, clean: DataFrame, column: str, grid: int | None
     if not scale["n0"] or not scale["n1"]:
         return spark.range(1).select(F.lit(0.0).alias("w1"))
     values = both.groupBy("x").agg(F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1"))
-    ranged = values.repartitionByRange("x").withColumn("p", F.spark_partition_id()).persist()
+    ranged = staged(values.repartitionByRange("x").withColumn("p", F.spark_partition_id()), "ranges")  # a lost executor must not deal them anew
     totals = sorted(ranged.groupBy("p").agg(F.min("x").alias("first"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).collect())
     starts, f0, f1 = [], 0, 0
     for i, t in enumerate(totals):
@@ -101,7 +102,9 @@ class Utility:
 
 def utility(raw: DataFrame, clean: DataFrame, target: str | None = None, least: int = 50, most: int = 2_000) -> Utility:
     """Small boosted trees, learnt from a sample of either side and scored on held-out raw rows. Samples and folds go by a
-    hash of the row, so they are the same in every run; categories are coded from the raw side for both."""
+    hash of the whole row, so they are the same in every run and for any partitions; equal rows are one with their number as its
+    weight. Categories are coded from the raw side for both. With too few rows, or a side without rows to learn from or to
+    score, nothing is measured, and the status says why."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -118,13 +121,15 @@ def utility(raw: DataFrame, clean: DataFrame, target: str | None = None, least:
         n = df.count()
         share = min(1.0, max(least / max(n, 1), min(0.05, most / max(n, 1))))
         cast = [quoted(c).cast("double" if is_numeric(kinds[c]) else "string").alias(c) for c in [*inputs, target]]
-        rows = df.select(*cast, F.xxhash64(*(quoted(c).cast("string") for c in [*inputs, target]), F.monotonically_increasing_id()).alias("_h"))
-        return rows.filter(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000)).na.drop(), n
+        whole = [quoted(f.name).cast("string") if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(quoted(f.name)) for f in df.schema.fields]
+        rows = df.select(*cast, F.xxhash64(*(F.coalesce(c, F.lit("\u0000")) for c in whole)).alias("_h"))
+        chosen = rows.filter(F.pmod("_h", F.lit(1 << 60)) < int(share * (1 << 60))).na.drop()
+        return chosen.groupBy(*map(quoted, chosen.columns)).agg(F.count("*").cast("double").alias("_w")), n
 
     (own, n_raw), (other, n_clean) = sample(raw), sample(clean)
     own, other = own.persist(), other.persist()
     if n_raw < 20 or n_clean < 20 or own.count() < 10 or other.count() < 10:
-        return Utility()
+        return Utility(status="skipped: too few rows")
     classes = own.select(target).distinct().count()
     classify = not is_numeric(kinds[target]) or classes <= 10
     words = [c for c in inputs if not is_numeric(kinds[c])]
@@ -136,7 +141,7 @@ def utility(raw: DataFrame, clean: DataFrame, target: str | None = None, least:
     ours, theirs = as_y(ready.transform(own)), as_y(ready.transform(other)).filter(F.col("_y") < classes if classify else F.lit(True))
     fold = F.pmod(F.xxhash64("_h"), F.lit(10))
     test = ours.filter(fold >= 7)
-    common = {"featuresCol": "_x", "labelCol": "_y", "seed": 42, "maxBins": 512}
+    common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "seed": 42, "maxBins": 512}
     if not classify:
         model = GBTRegressor(maxIter=20, maxDepth=3, stepSize=0.1, **common)
     elif classes <= 2:
@@ -147,14 +152,14 @@ def utility(raw: DataFrame, clean: DataFrame, target: str | None = None, least:
     def score(train: DataFrame) -> float:
         said = model.fit(train.filter(fold < 7)).transform(test)
         if classify:
-            return MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy").evaluate(said)
-        r = said.agg(F.avg((F.col("_y") - F.col("prediction")) ** 2).alias("mse"), F.var_pop("_y").alias("var")).first()
+            return MulticlassClassificationEvaluator(labelCol="_y", weightCol="_w", metricName="accuracy").evaluate(said)
+        r = said.agg((F.sum(F.col("_w") * (F.col("_y") - F.col("prediction")) ** 2) / F.sum("_w")).alias("mse"), (F.sum(F.col("_w") * F.col("_y") ** 2) / F.sum("_w") - (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")) ** 2).alias("var")).first()
         return max(0.0, 1 - r["mse"] / (r["var"] + 1e-8))
 
     try:
+        if ours.filter(fold < 7).isEmpty() or theirs.filter(fold < 7).isEmpty() or test.isEmpty():
+            return Utility(status="skipped: no rows to learn from or to score")
         return Utility(round(score(ours), 4), round(score(theirs), 4), "measured")
-    except Exception as e:  # one class only, or no rows in a fold: visible, not "safe"
-        return Utility(status=f"skipped: {type(e).__name__}")
     finally:
         own.unpersist()
         other.unpersist()

@@ -39,24 +39,31 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine (tests), a temporary
+    one; on a cluster other executors wouldn't see that, so there it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="rinsework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: cuts the lineage, and a lost executor
-    costs no recomputation. The files go when the application ends."""
+def staged_path(df: DataFrame, name: str) -> str:
+    """Where df is written as Parquet in the shared folder. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rinsework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation."""
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
