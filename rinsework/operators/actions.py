@@ -15,6 +15,7 @@ from rinsework.functions import constants as K
 from rinsework.functions.text import name_words
 from rinsework.operators.normalize import quoted
 from rinsework.operators.profile import is_numeric
+from rinsework.operators.quantiles import modes, quantiles
 from rinsework.plans.ir import Step
 
 MAP_LITERAL = 1_000  # a mapping of more entries becomes a table that is joined
@@ -53,6 +54,15 @@ def standardize(df: DataFrame, column: str, mapping: dict[str, Any]) -> DataFram
     return joined.withColumn(column, new.try_cast(kind) if not isinstance(kind, T.StringType) else new).select(*map(quoted, df.columns))
 
 
+def standardize_by(df: DataFrame, column: str, at: str) -> DataFrame:
+    """The same by a written table (y, root) of any size, joined by the trimmed value."""
+    kind = _kind(df, column)
+    own = df.sparkSession.read.parquet(at).select(F.col("y").alias("_key"), F.col("root").alias("_value"))
+    joined = df.withColumn("_own", F.trim(quoted(column).cast("string"))).join(own, F.col("_own") == F.col("_key"), "left")
+    new = F.coalesce("_value", "_own")
+    return joined.withColumn(column, new if isinstance(kind, T.StringType) else new.try_cast(kind)).select(*map(quoted, df.columns))
+
+
 def rename(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Names of these kinds by expression, for columns with too many values for a mapping."""
     from rinsework.plans.rules import renamed
@@ -72,17 +82,26 @@ def clamp(df: DataFrame, column: str, lower: float = 0, upper: float = 120) -> D
     return df.withColumn(column, F.when(c < low, low).when(c > high, high).otherwise(c))
 
 
-def centre(df: DataFrame, column: str) -> Column:
-    """The aggregate that fills gaps: the median of numbers, the most frequent value else (the first in order on a tie)."""
-    return F.median(quoted(column)) if is_numeric(_kind(df, column)) else F.mode(quoted(column), True)
+def centres(df: DataFrame, columns: list[str]) -> dict[str, Any]:
+    """What fills gaps: the median of numbers, the most frequent value else (the first in order on a tie); null for empty columns.
+    One question for all numbers and one for all others, and no task holds the values of a column."""
+    numbers = [c for c in columns if is_numeric(_kind(df, c))]
+    others = [c for c in columns if c not in numbers]
+    stack = lambda names, kind: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("g"), quoted(c).cast(kind).alias("x")) for c in names))))
+    found: dict[str, Any] = dict.fromkeys(columns)
+    if numbers:
+        found |= {r["g"]: r["q"][0] for r in quantiles(stack(numbers, "double"), (0.5,)).collect()}
+    if others:
+        found |= {r["g"]: r["mode"] for r in modes(stack(others, "string")).collect()}
+    return found
 
 
 def impute(df: DataFrame, column: str, strategy: str = "median") -> DataFrame:
     numeric = is_numeric(_kind(df, column))
-    value = df.agg(centre(df, column)).first()[0]
+    value = centres(df, [column])[column]
     value = (0.0 if value is None else float(value)) if numeric else ("" if value is None else value)
     c = quoted(column).cast("double") if numeric else quoted(column)
-    return df.withColumn(column, F.coalesce(c, F.lit(value)))
+    return df.withColumn(column, F.coalesce(c, F.lit(value) if numeric else F.lit(value).try_cast(_kind(df, column))))
 
 
 def regex_replace(df: DataFrame, column: str, test: str = "", pattern: str = "", replacement: str = "", lowercase: bool = False, nullify_invalid: bool = False, valid_pattern: str | None = None, **_: Any) -> DataFrame:
@@ -105,6 +124,8 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
         return df
     if step.action == "standardize_values":
         names = own.get("names") or []
+        for at in own.get("tables") or []:
+            df = standardize_by(df, column, at)
         return rename(standardize(rename(df, column, names), column, own.get("mapping") or {}), column, names)
     if step.action == "clamp_bounds":
         return clamp(df, column, own.get("lower", 0), own.get("upper", 120))
@@ -128,7 +149,7 @@ class NullReport:
 
 def resolve_nulls(df: DataFrame, columns: list[str] | None = None, kinds: dict[str, str] | None = None, drop: bool = True) -> tuple[DataFrame, NullReport]:
     """Gaps are filled by the column's centre, but not in identifiers, addresses and empty columns; then rows that still have a
-    gap in one of the columns go. Every fill value comes from one aggregation; integers get the median rounded half to even."""
+    gap in one of the columns go. Integers get the median rounded half to even."""
     chosen = [c for c in df.columns if columns is None or c in columns]
     if not chosen:
         return df, NullReport()
@@ -136,12 +157,13 @@ def resolve_nulls(df: DataFrame, columns: list[str] | None = None, kinds: dict[s
     fits = lambda c: not (name_words(c) & NO_FILL or "email" in c.lower() or kinds.get(c, "").lower().endswith("id") or kinds.get(c) in ("Identifier", "Email"))
     simple = [c for c in chosen if is_numeric(_kind(df, c)) or isinstance(_kind(df, c), (T.StringType, T.BooleanType))]
     whole = lambda c: isinstance(_kind(df, c), T.IntegralType)
-    tests = [F.struct(F.count_if(quoted(c).isNull()).alias("n"), (F.bround(centre(df, c)) if whole(c) else centre(df, c)).alias("v")).alias(f"c{i}") for i, c in enumerate(simple)]
-    row = df.agg(*tests).first() if tests else []
-    for c, r in zip(simple, row, strict=True):
-        if r["n"] and fits(c) and r["v"] is not None:
-            report.filled[c] = int(r["v"]) if whole(c) else r["v"]
-        elif r["n"]:
+    nulls = df.agg(*(F.count_if(quoted(c).isNull()).alias(f"c{i}") for i, c in enumerate(simple))).first() if simple else []
+    gaps = [c for c, n in zip(simple, nulls, strict=True) if n]
+    values = centres(df, [c for c in gaps if fits(c)])
+    for c in gaps:
+        if values.get(c) is not None:
+            report.filled[c] = round(values[c]) if whole(c) else values[c] == "true" if isinstance(_kind(df, c), T.BooleanType) else values[c]
+        else:
             report.skipped.append(c)
     out = df.withColumns({c: F.coalesce(quoted(c), F.lit(v).cast(_kind(df, c))) for c, v in report.filled.items()}) if report.filled else df
     if not drop:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.operators.normalize import quoted
+from rinsework.operators.quantiles import quantiles
 
 
 def coerce_numeric(df: DataFrame, column: str, least: float = 0.7) -> DataFrame:
@@ -43,9 +44,12 @@ def heatmap(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def box(df: DataFrame, category: str, value: str, exact: bool = True) -> DataFrame:
     """Least, quartiles, greatest. exact=False takes quantile sketches."""
-    v, at = quoted(value).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile(v, at) if exact else F.percentile_approx(v, at, F.lit(10_000))
-    return df.groupBy(quoted(category).alias("category")).agg(F.min(v).alias("low"), q.alias("q"), F.max(v).alias("high")).select("category", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high")
+    rows = df.select(quoted(category).alias("g"), quoted(value).cast("double").alias("x"))
+    ends = rows.groupBy("g").agg(F.min("x").alias("low"), F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000).alias("q") if not exact else F.lit(None).cast("array<double>").alias("q"), F.max("x").alias("high"))
+    if exact:
+        exactly = quantiles(rows).select(F.col("g").alias("b_g"), F.col("q").alias("b_q"))
+        ends = ends.join(exactly, F.col("g").eqNullSafe(F.col("b_g")), "left").withColumn("q", F.col("b_q"))
+    return ends.select(F.col("g").alias("category"), "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high")
 
 
 def line(df: DataFrame, time: str, value: str, unit: str = "month") -> DataFrame:

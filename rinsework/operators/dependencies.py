@@ -19,6 +19,7 @@ from rinsework.functions.text import digits, is_title, name_words, typo_variants
 from rinsework.operators.components import components
 from rinsework.operators.normalize import quoted
 from rinsework.operators.profile import Profile, is_numeric
+from rinsework.session import staged, staged_path
 
 KNOWN = sorted({*K.INDIAN_STATES, *K.US_STATES, *K.CITIES, *K.COUNTRIES, *K.SPECIAL_CASE})
 TIME_WORDS = {"date", "time", "timestamp", "dob", "year", "month"}
@@ -31,6 +32,7 @@ class Dependency:
     exact: bool
     confidence: float
     mapping: dict[str, str] = field(default_factory=dict)
+    table: str | None = None  # where the mapping is written, if it has too many entries for the driver
     violations: list[dict[str, str]] = field(default_factory=list)
 
 
@@ -72,10 +74,10 @@ def known(c: Column) -> Column:
     return F.lower(c).isin(*KNOWN)
 
 
-def canonical(pairs: DataFrame, least: float = 85.0) -> DataFrame:
+def canonical(pairs: DataFrame, least: float = 85.0, spelled: DataFrame | None = None) -> DataFrame:
     """y, root: each spelling with a variant and the one that stands for it: a known name, else the most frequent, else the
-    one in title case, else the longest, else the last in order."""
-    links = variants(pairs, least).select("a", "b").distinct()
+    one in title case, else the longest, else the last in order. spelled: the variants, if they are known."""
+    links = (variants(pairs, least) if spelled is None else spelled).select("a", "b").distinct()
     member = components(links)
     total = pairs.groupBy("y").agg(F.sum("n").alias("n"))
     ranked = member.withColumnRenamed("node", "y").join(total, "y")
@@ -125,7 +127,8 @@ def is_temporal(df: DataFrame, column: str) -> bool:
 
 
 def mine(df: DataFrame, found: Profile, fuzzy: float | None = None, least: float | None = None, limit: int = 10_000) -> list[Dependency]:
-    """All dependencies between columns whose cardinalities allow them. limit: the most spellings a mapping may bring to the driver."""
+    """All dependencies between columns whose cardinalities allow them. limit: the most spellings a mapping may bring to the driver;
+    a larger one is written as a table (y, root) and joined when it is applied."""
     least = least if least is not None else (0.85 if fuzzy is not None else 0.98)
     n = found.meta["rows"]
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -144,17 +147,15 @@ def mine(df: DataFrame, found: Profile, fuzzy: float | None = None, least: float
     for x, y in open_pairs:
         if not fits[y]:
             continue
-        pairs = pair_counts(df, x, y).persist()
-        mapping = canonical(pairs, fuzzy or 85.0).persist()
+        pairs = staged(pair_counts(df, x, y), "pairs")
+        spelled = staged(variants(pairs, fuzzy or 85.0), "variants")
+        mapping = staged(canonical(pairs, fuzzy or 85.0, spelled), "spellings") if not spelled.isEmpty() else spelled.select(F.col("a").alias("y"), F.col("b").alias("root"))
         score = confidence(pairs, mapping).first()["confidence"]
         if score is not None and score >= least:
             changed = mapping.filter("y <> root").limit(limit + 1).collect()
-            if len(changed) > limit:
-                raise ValueError(f"{x} -> {y} has more than {limit} spellings to map: raise limit, or apply canonical() as a join")
-            bad = variants(pairs, fuzzy or 85.0).orderBy("x", "a", "b").limit(5).collect()
-            out.append(Dependency(x, y, False, float(score), {r.y: r.root for r in changed}, [{x: r.x, "values": f"{r.a} / {r.b}"} for r in bad]))
-        mapping.unpersist()
-        pairs.unpersist()
+            table = staged_path(mapping.filter("y <> root"), "mapping") if len(changed) > limit else None
+            bad = spelled.orderBy("x", "a", "b").limit(5).collect()
+            out.append(Dependency(x, y, False, float(score), {} if table else {r.y: r.root for r in changed}, table, [{x: r.x, "values": f"{r.a} / {r.b}"} for r in bad]))
     return out
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from rinsework.functions import constants as K
 from rinsework.functions.text import name_words
 from rinsework.operators.normalize import quoted
+from rinsework.operators.quantiles import quantiles
 
 PATTERNS = {"email_ratio": K.EMAIL, "phone_ratio": K.PHONE, "iso_date_ratio": K.ISO_DATE, "us_postal_ratio": K.US_POSTAL, "india_postal_ratio": K.INDIA_POSTAL}
 STATS = ["min", "max", "mean", "std", "q25", "q50", "q75"]
@@ -31,24 +34,26 @@ def _finite(f: T.StructField) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
 
 
-def _quantiles(c: Column, exact: bool, accuracy: int) -> Column:
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return F.percentile(c, at) if exact else F.percentile_approx(c.cast("double"), at, F.lit(accuracy))
+def _stats(f: T.StructField, places: int, accuracy: int | None) -> Column:
+    """One column's moments; quartiles from a mergeable sketch if an accuracy is given, otherwise null."""
+    x, r = _finite(f), lambda c: F.round(c.cast("double"), places)
+    q = F.percentile_approx(x.cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(accuracy)) if accuracy else F.array(*[F.lit(None).cast("double")] * 3)
+    parts = [F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), q[0], q[1], q[2]]
+    return F.struct(F.lit(f.name).alias("column_name"), F.count_if(quoted(f.name).isNull()).alias("n_null"), *(r(p).alias(s) for p, s in zip(parts, STATS, strict=True)), (F.min(x) == F.max(x)).alias("zero_var"))
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True, accuracy: int = 10_000, places: int = 2) -> DataFrame:
-    """column_name, n_null, min, max, mean, std (of a sample), quartiles, zero_var. exact=False takes mergeable quantile sketches,
-    whose memory doesn't grow with the column; exact quartiles keep every distinct value."""
+    """column_name, n_null, min, max, mean, std (of a sample), quartiles, zero_var. Exact quartiles come from ranges of distinct
+    values; exact=False takes mergeable quantile sketches within the same aggregation as all else."""
     fields = [f for f in df.schema.fields if is_numeric(f.dataType) and (columns is None or f.name in columns)]
     if not fields:
         return df.sparkSession.createDataFrame([], "column_name string, n_null long, min double, max double, mean double, std double, q25 double, q50 double, q75 double, zero_var boolean")
-    wide = []
-    for f in fields:
-        x, r = _finite(f), lambda c: F.round(c.cast("double"), places)
-        q = _quantiles(x, exact, accuracy)
-        parts = [F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), q[0], q[1], q[2]]
-        wide.append(F.struct(F.lit(f.name).alias("column_name"), F.count_if(quoted(f.name).isNull()).alias("n_null"), *(r(p).alias(s) for p, s in zip(parts, STATS, strict=True)), (F.min(x) == F.max(x)).alias("zero_var")))
-    return df.agg(F.array(*wide).alias("rows")).select(F.inline("rows"))
+    moments = df.agg(F.array(*(_stats(f, places, None if exact else accuracy) for f in fields)).alias("rows")).select(F.inline("rows"))
+    if not exact:
+        return moments
+    stacked = df.select(F.inline(F.array(*(F.struct(F.lit(f.name).alias("g"), _finite(f).cast("double").alias("x")) for f in fields))))
+    found = quantiles(stacked).select(F.col("g").alias("column_name"), *(F.round(F.col("q")[i], places).alias(c) for i, c in enumerate(STATS[4:])))
+    return moments.drop(*STATS[4:]).join(found, "column_name", "left").select("column_name", "n_null", *STATS, "zero_var")
 
 
 def pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -70,20 +75,27 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None, samples: i
 
 
 def _first_values(values: DataFrame, samples: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
-    return values.filter("value is not null").withColumn("place", place).filter(F.col("place") <= samples).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    """Takes nulls along, after all else, and n: so this reads the very shuffle that the counts read."""
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value")))
+    firsts = values.withColumn("place", place).filter(F.col("place") <= samples).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("e"))
+    return firsts.select("column_name", F.transform(F.filter("e", lambda x: x["value"].isNotNull()), lambda x: x["value"]).alias("samples"))
+
+
+def _shares(name: str, least: float) -> Column:
+    share = {k: F.round(F.avg(F.trim(quoted(name)).rlike(p).cast("double")), 4) for k, p in PATTERNS.items()}
+    return F.struct(F.lit(name).alias("column_name"), *(F.when(s > least, s).alias(k) for k, s in share.items()))
+
+
+def _texts(df: DataFrame, columns: list[str] | None = None) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
 
 
 def pattern_profile(df: DataFrame, columns: list[str] | None = None, least: float = 0.4) -> DataFrame:
     """column_name and the share of values that match each pattern; null where it is not above `least`. Every value is tested."""
-    chosen = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
+    chosen = _texts(df, columns)
     if not chosen:
         return df.sparkSession.createDataFrame([], "column_name string, " + ", ".join(f"{k} double" for k in PATTERNS))
-    rows = []
-    for c in chosen:
-        share = {k: F.round(F.avg(F.trim(quoted(c)).rlike(p).cast("double")), 4) for k, p in PATTERNS.items()}
-        rows.append(F.struct(F.lit(c).alias("column_name"), *(F.when(s > least, s).alias(k) for k, s in share.items())))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return df.agg(F.array(*(_shares(c, least) for c in chosen)).alias("rows")).select(F.inline("rows"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -123,18 +135,25 @@ def looks_like_identifier(column: str) -> bool:
     return bool(name_words(column) & set(K.IDENTIFIER_WORDS))
 
 
-def profile(df: DataFrame, exact: bool = True, masked: bool = True) -> Profile:
-    """The profile on the driver: one row for each column. masked: samples with personal data replaced by its class."""
+def profile(df: DataFrame, exact: bool = False, masked: bool = True) -> Profile:
+    """The profile on the driver: one row for each column. Two jobs at once: all counts, moments, quartiles and patterns by one
+    aggregation, and all distinct values by another; then repeated rows. exact: quartiles by ranges of values, not by sketches.
+    masked: samples with personal data replaced by its class."""
     from rinsework.functions.pii import mask_class
 
     began = time.time()
-    n = df.count()
-    distinct = distinct_profile(df)
+    fields = [f for f in df.schema.fields if is_numeric(f.dataType)]
+    rows = lambda made, empty: F.array(*made) if made else F.lit(None).cast(empty)
+    wide = df.agg(F.count("*").alias("n"), rows([_stats(f, 2, 10_000) for f in fields], "array<struct<column_name:string>>").alias("numbers"), rows([_shares(c, 0.4) for c in _texts(df)], "array<struct<column_name:string>>").alias("patterns"))
+    values = distinct_profile(df)
     if masked:
-        distinct = distinct.withColumn("samples", F.transform("samples", mask_class))
-    distinct = {r["column_name"]: r for r in distinct.collect()}
-    numbers = {r["column_name"]: r for r in numeric_profile(df, exact=exact).collect()}
-    patterns = {r["column_name"]: r for r in pattern_profile(df).collect()}
+        values = values.withColumn("samples", F.transform("samples", mask_class))
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(inheritable_thread_target(df.sparkSession)(x.collect)) for x in (wide, values)]
+        whole, found = jobs[0].result()[0], jobs[1].result()
+    n, distinct = whole["n"], {r["column_name"]: r for r in found}
+    numbers = {r["column_name"]: r for r in (numeric_profile(df).collect() if exact else whole["numbers"] or [])}
+    patterns = {r["column_name"]: r for r in whole["patterns"] or []}
     columns: dict[str, dict[str, Any]] = {}
     for f in df.schema.fields:
         d = distinct.get(f.name)

@@ -38,7 +38,7 @@ class Analysis:
     score: int
 
 
-def analyse(df: DataFrame, columns: list[str] | None = None, fuzzy: float | None = 85.0, exact: bool = True, writer: Callable[[str], str] | None = None) -> Analysis:
+def analyse(df: DataFrame, columns: list[str] | None = None, fuzzy: float | None = 85.0, exact: bool = False, writer: Callable[[str], str] | None = None) -> Analysis:
     found = profile(df, exact=exact)
     kinds = infer_types(df)
     dependencies = mine(df, found, fuzzy)

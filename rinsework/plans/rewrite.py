@@ -32,26 +32,27 @@ def scope(steps: list[Step], columns: list[str] | None) -> list[Step]:
 def merge_mappings(steps: list[Step]) -> list[Step]:
     """One standardisation for each column: later mappings win, and chains are composed."""
     merged: dict[str, dict[str, Any]] = {}
-    names: dict[str, list[str]] = {}
+    lists: dict[tuple[str, str], list[str]] = {}
     for s in steps:
         if s.action == "standardize_values":
             merged[s.target_column] = merged.get(s.target_column, {}) | s.parameters.get("mapping", {})
-            if own := s.parameters.get("names"):
-                names[s.target_column] = list(dict.fromkeys([*names.get(s.target_column, []), *own]))
+            for kind in ("names", "tables"):
+                if own := s.parameters.get(kind):
+                    lists[s.target_column, kind] = list(dict.fromkeys([*lists.get((s.target_column, kind), []), *own]))
     out, seen = [], set()
     for s in steps:
         if s.action != "standardize_values":
             out.append(s)
         elif s.target_column not in seen:
             seen.add(s.target_column)
-            own = {"names": names[s.target_column]} if s.target_column in names else {}
+            own = {kind: v for (column, kind), v in lists.items() if column == s.target_column}
             out.append(replace(s, parameters=s.parameters | {"mapping": compose(merged[s.target_column])} | own))
     return out
 
 
 def drop_dead(steps: list[Step], columns: list[str]) -> list[Step]:
-    """Without steps for missing columns, and without empty mappings, unless they have names."""
-    alive = lambda s: (s.target_column in columns or s.target_column == "ALL") and (s.action != "standardize_values" or s.parameters.get("mapping") or s.parameters.get("names"))
+    """Without steps for missing columns, and without empty mappings, unless they have names or tables."""
+    alive = lambda s: (s.target_column in columns or s.target_column == "ALL") and (s.action != "standardize_values" or any(s.parameters.get(k) for k in ("mapping", "names", "tables")))
     return [s for s in steps if alive(s)]
 
 

@@ -124,9 +124,12 @@ def renamed(value: Column, kind: str) -> Column:
 def mapping_rules(df: DataFrame | None, columns: list[str], dependencies: list[Dependency], kinds: dict[str, SemanticType], most: int = MOST_VALUES) -> Iterator[Step]:
     maps: dict[str, dict[str, Any]] = {}
     names: dict[str, list[str]] = {}
+    tables: dict[str, list[str]] = {}
     for d in dependencies:
-        if d.mapping and d.dependent in columns:
+        if (d.mapping or d.table) and d.dependent in columns:
             maps.setdefault(d.dependent, {}).update(d.mapping)
+            if d.table:
+                tables.setdefault(d.dependent, []).append(d.table)
     for c in columns if df is not None else []:
         for kind, words, _, _ in ENTITIES:
             if name_words(c) & words or c in kinds and kinds[c].kind == kind:
@@ -135,8 +138,8 @@ def mapping_rules(df: DataFrame | None, columns: list[str], dependencies: list[D
                 if found is None:
                     names.setdefault(c, []).append(kind)
     for c, mapping in maps.items():
-        if mapping or c in names:
-            own = {"names": names[c]} if c in names else {}
+        if mapping or c in names or c in tables:
+            own = ({"names": names[c]} if c in names else {}) | ({"tables": tables[c]} if c in tables else {})
             yield _step(c, "standardize_values", 0.98, "none", f"values of {c} differ in spelling, case or format", f"{c} has one spelling for each thing", "Dependencies and known names tell which spelling is meant.", f"standardized_{c.lower()}", mapping=mapping, **own)
 
 
