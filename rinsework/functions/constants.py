@@ -4,34 +4,37 @@ from __future__ import annotations
 
 # Gazetteers, in lower case.
 
-INDIAN_STATES = (
-    "andhra pradesh, arunachal pradesh, assam, bihar, chhattisgarh, goa, gujarat, haryana, himachal pradesh, jharkhand, karnataka, kerala, "
-    "madhya pradesh, maharashtra, manipur, meghalaya, mizoram, nagaland, odisha, punjab, rajasthan, sikkim, tamil nadu, telangana, tripura, "
-    "uttar pradesh, uttarakhand, west bengal, delhi, chandigarh, puducherry, ladakh, jammu and kashmir"
-).split(", ")
-
-US_STATES = (
-    "alabama, alaska, arizona, arkansas, california, colorado, connecticut, delaware, florida, georgia, hawaii, idaho, illinois, indiana, iowa, "
-    "kansas, kentucky, louisiana, maine, maryland, massachusetts, michigan, minnesota, mississippi, missouri, montana, nebraska, nevada, "
-    "new hampshire, new jersey, new mexico, new york, north carolina, north dakota, ohio, oklahoma, oregon, pennsylvania, rhode island, "
-    "south carolina, south dakota, tennessee, texas, utah, vermont, virginia, washington, west virginia, wisconsin, wyoming"
-).split(", ")
-
-CITIES = (
-    "hyderabad, bengaluru, bangalore, mumbai, delhi, chennai, kolkata, pune, ahmedabad, jaipur, surat, lucknow, kanpur, nagpur, indore, thane, "
-    "bhopal, visakhapatnam, patna, vadodara, new york, los angeles, chicago, houston, phoenix, philadelphia, san antonio, san diego, dallas, "
-    "san jose, austin, seattle, san francisco"
-).split(", ")
-
-COUNTRIES = (
-    "united kingdom, uk, great britain, united states, usa, us, germany, france, australia, canada, india, japan, china, brazil, spain, italy, "
-    "netherlands, switzerland, sweden, singapore, united arab emirates, uae, ireland, norway, belgium, austria, denmark, finland, poland, "
-    "portugal, new zealand, south africa, mexico, israel, greece, czech republic, hong kong, malaysia, thailand, philippines, indonesia, taiwan, "
-    "chile, argentina, colombia, peru, saudi arabia, turkey, cyprus, rsa, eire, channel islands, european community, unspecified, iceland, "
-    "lithuania, malta, bahrain, lebanon, russia, south korea, korea"
-).split(", ")
-
-CURRENCY_SYMBOLS = "$ € £ ₹ ¥ rs inr usd eur gbp".split()
+INDIAN_STATES = [
+    "andhra pradesh", "arunachal pradesh", "assam", "bihar", "chhattisgarh", "goa", "gujarat", "haryana", "himachal pradesh", "jharkhand",
+    "karnataka", "kerala", "madhya pradesh", "maharashtra", "manipur", "meghalaya", "mizoram", "nagaland", "odisha", "punjab", "rajasthan", "sikkim",
+    "tamil nadu", "telangana", "tripura", "uttar pradesh", "uttarakhand", "west bengal", "delhi", "chandigarh", "puducherry", "ladakh",
+    "jammu and kashmir",
+]
+
+US_STATES = [
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho",
+    "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi",
+    "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york", "north carolina", "north dakota", "ohio",
+    "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia",
+    "washington", "west virginia", "wisconsin", "wyoming",
+]
+
+CITIES = [
+    "hyderabad", "bengaluru", "bangalore", "mumbai", "delhi", "chennai", "kolkata", "pune", "ahmedabad", "jaipur", "surat", "lucknow", "kanpur",
+    "nagpur", "indore", "thane", "bhopal", "visakhapatnam", "patna", "vadodara", "new york", "los angeles", "chicago", "houston", "phoenix",
+    "philadelphia", "san antonio", "san diego", "dallas", "san jose", "austin", "seattle", "san francisco",
+]
+
+COUNTRIES = [
+    "united kingdom", "uk", "great britain", "united states", "usa", "us", "germany", "france", "australia", "canada", "india", "japan", "china",
+    "brazil", "spain", "italy", "netherlands", "switzerland", "sweden", "singapore", "united arab emirates", "uae", "ireland", "norway", "belgium",
+    "austria", "denmark", "finland", "poland", "portugal", "new zealand", "south africa", "mexico", "israel", "greece", "czech republic", "hong kong",
+    "malaysia", "thailand", "philippines", "indonesia", "taiwan", "chile", "argentina", "colombia", "peru", "saudi arabia", "turkey", "cyprus", "rsa",
+    "eire", "channel islands", "european community", "unspecified", "iceland", "lithuania", "malta", "bahrain", "lebanon", "russia", "south korea",
+    "korea",
+]
+
+CURRENCY_SYMBOLS = ["$", "€", "£", "₹", "¥", "rs", "inr", "usd", "eur", "gbp"]
 
 # Names that title case would get wrong, and short or former names.
 
@@ -51,11 +54,12 @@ CITY_CANONICAL = {
 
 OUTDATED_CITIES = ["hyd", "blr", "bombay", "calcutta", "madras"]
 
-NOT_IN_NAMES = (
-    "report dispatch accounts statement summary invoice section customer department profiles logs confidential internal use only enterprise active "
-    "batch annual billing receipt order purchase overview client contact name phone email address city state date status number balance total amount "
-    "paid due pending table data auditor audit organization vendor procurement reconciliation discrepancy metadata items issued solutions"
-).split()
+NOT_IN_NAMES = [
+    "report", "dispatch", "accounts", "statement", "summary", "invoice", "section", "customer", "department", "profiles", "logs", "confidential",
+    "internal", "use", "only", "enterprise", "active", "batch", "annual", "billing", "receipt", "order", "purchase", "overview", "client", "contact",
+    "name", "phone", "email", "address", "city", "state", "date", "status", "number", "balance", "total", "amount", "paid", "due", "pending", "table",
+    "data", "auditor", "audit", "organization", "vendor", "procurement", "reconciliation", "discrepancy", "metadata", "items", "issued", "solutions",
+]
 
 # Patterns.
 
@@ -86,17 +90,34 @@ DOC_NAME = (
 )
 DOC_BOUNDARY = r"(?:\n[ \t]*\n+|(?<=\n)(?=(?:Customer(?:\s*Name)?|Vendor(?:\s*Name)?|Client|Bill\s*To|Contact|Key\s+Vendor|DISCREPANCY|SECTION:)\s*[:\-]?))"
 
+# Kinds of entities in the order of search with the group that holds the value (None: the one that matched), how sure
+# a match is, what a name's words look like, words of lines without postal codes, and words in the headers of tables.
+
+DOC_KINDS = [
+    ("InvoiceNo", DOC_INVOICE, 1), ("Email", DOC_EMAIL, 0), ("Phone", DOC_PHONE, 0), ("Date", DOC_DATE, 0), ("Amount", DOC_AMOUNT, 0),
+    ("CustomerName", DOC_NAME, None), ("PostalCode", DOC_POSTAL, 0), ("Address", DOC_ADDRESS, 0),
+]
+DOC_CONFIDENCE = {"InvoiceNo": 0.98, "Email": 0.99, "Phone": 0.96, "Date": 0.92, "Amount": 0.94, "CustomerName": 0.98, "PostalCode": 0.88, "Address": 0.90}
+NAME_EDGES = ".,;:()#-*|"
+NAME_WORDS = r"[A-Z][a-zA-Z.'-]*(?: [A-Z][a-zA-Z.'-]*){1,3}"
+NOT_POSTAL = ["phone", "contact", "mobile", "tel", "fax", "date", "inv", "balance", "$"]
+HEADERS = [
+    ("CustomerName", ("name", "customer", "client", "vendor")), ("Phone", ("phone", "mobile", "contact")), ("Email", ("email", "mail")), ("City", ("city",)),
+    ("State", ("state",)), ("Date", ("date",)), ("Amount", ("amount", "price", "total", "balance", "cost")), ("InvoiceNo", ("invoice",)),
+    ("PostalCode", ("zip", "postal", "pin")), ("Address", ("address",)),
+]
+
 # Null tokens, container keys of JSON documents, words in the names of columns.
 
 NULL_TOKENS = ["", "NA", "N/A", "null", "NULL", "None", "NaN"]
-CONTAINERS = "data records rows items results entities entries content".split()
-CODE_WORDS = "code zip postal phone id ssn ein tax mobile".split()
-IDENTIFIER_WORDS = "id key uuid guid code pk num".split()
-MONEY_WORDS = "amount salary price revenue cost fee balance".split()
+CONTAINERS = ["data", "records", "rows", "items", "results", "entities", "entries", "content"]
+CODE_WORDS = ["code", "zip", "postal", "phone", "id", "ssn", "ein", "tax", "mobile"]
+IDENTIFIER_WORDS = ["id", "key", "uuid", "guid", "code", "pk", "num"]
+MONEY_WORDS = ["amount", "salary", "price", "revenue", "cost", "fee", "balance"]
 
 # The linear model of semantic types; a row for each feature, a column for each class.
 
-SEMANTIC_CLASSES = "City PostalCode State Email Currency Timestamp Other".split()
+SEMANTIC_CLASSES = ["City", "PostalCode", "State", "Email", "Currency", "Timestamp", "Other"]
 SEMANTIC_WEIGHTS = [
     [0.0, 5.0, 0.0, 0.0, 2.0, 2.0, -1.0],  # digits
     [3.0, -2.0, 3.0, 1.0, 0.0, -2.0, 0.5],  # letters

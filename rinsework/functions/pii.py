@@ -58,12 +58,14 @@ def tokens(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def mask_numbered(df: DataFrame, key: str, column: str) -> DataFrame:
-    """df with the column's personal data replaced by numbered tokens, the longest values first."""
-    by_doc = (
-        tokens(df, key, column)
-        .select(key, F.explode("raw").alias("raw"), "token")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.length("raw")).alias("n"), "raw", "token"))).alias("_tokens"))
-    )
-    masked = F.aggregate(F.coalesce("_tokens", F.array().cast("array<struct<n:int,raw:string,token:string>>")), F.col(column), lambda t, x: F.replace(t, x["raw"], x["token"]))
-    return df.join(by_doc, key, "left").withColumn(column, masked).select(df.columns)
+    """df with the column's personal data replaced by numbered tokens, match by match where they stand: equal characters
+    elsewhere stay."""
+    name = F.concat_ws("\u0000", "kind", "raw")
+    entries = tokens(df, key, column).select(key, "kind", F.explode("raw").alias("raw"), "token").select(key, F.struct(name.alias("k"), F.col("token").alias("v")).alias("e"))
+    by_doc = entries.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list("e"))).alias("_tokens"))
+    out = df.withColumn("_left", F.col(column)).join(by_doc, key, "left")
+    for kind, form in CLASSES.items():
+        named = F.transform(F.regexp_extract_all("_left", F.lit(form), F.lit(0)), lambda x: F.struct(F.concat_ws("\u0000", F.lit(kind), x).alias("k"), x.alias("x")))  # noqa: B023
+        out = out.withColumns({"_found": F.transform(named, lambda e: F.coalesce(F.try_element_at("_tokens", e["k"]), e["x"])), "_parts": F.split("_left", form, -1)})
+        out = out.withColumn("_left", F.array_join(F.zip_with("_parts", "_found", lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""))
+    return out.withColumn(column, F.col("_left")).select(df.columns)

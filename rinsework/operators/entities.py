@@ -18,34 +18,23 @@ from rinsework.sources.documents import table_cells
 
 ENTITY = "doc_id string, type string, value string, span_start int, span_end int, page int, record_id string, confidence double"
 #: Kind, pattern, group that holds the value, confidence; the order decides who gets a span that two kinds match.
-PATTERNS = [
-    ("InvoiceNo", re.compile(K.DOC_INVOICE), 1, 0.98),
-    ("Email", re.compile(K.DOC_EMAIL), 0, 0.99),
-    ("Phone", re.compile(K.DOC_PHONE), 0, 0.96),
-    ("Date", re.compile(K.DOC_DATE), 0, 0.92),
-    ("Amount", re.compile(K.DOC_AMOUNT), 0, 0.94),
-    ("CustomerName", re.compile(K.DOC_NAME), None, 0.98),
-    ("PostalCode", re.compile(K.DOC_POSTAL), 0, 0.88),
-    ("Address", re.compile(K.DOC_ADDRESS), 0, 0.90),
-]
+PATTERNS = [(kind, re.compile(form), group, K.DOC_CONFIDENCE[kind]) for kind, form, group in K.DOC_KINDS]
 BOUNDARY = re.compile(K.DOC_BOUNDARY)
-NOT_POSTAL = "phone contact mobile tel fax date inv balance $".split()
 LINE_NAME = re.compile(r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})$", re.M)
 PLACES = {k: ("City", v, 0.96) for k, v in K.CITY_CANONICAL.items()}
 STATES = {k: ("State", k.title(), 0.95) for k in [*K.INDIAN_STATES, *K.US_STATES] if k not in K.CITY_CANONICAL} | {"telengana": ("State", "Telangana", 0.95)}
 #: Names of several words come first, so that their parts don't match alone.
 GAZETTEER = re.compile(r"\b(?:" + "|".join(re.escape(x) for x in sorted(PLACES | STATES, key=lambda x: (-len(x), x))) + r")\b", re.I)
-HEADERS = [("CustomerName", ("name", "customer", "client", "vendor")), ("Phone", ("phone", "mobile", "contact")), ("Email", ("email", "mail")), ("City", ("city",)), ("State", ("state",)), ("Date", ("date",)), ("Amount", ("amount", "price", "total", "balance", "cost")), ("InvoiceNo", ("invoice",)), ("PostalCode", ("zip", "postal", "pin")), ("Address", ("address",))]
+
+
+NOT_NAMES = frozenset([*K.NOT_IN_NAMES, *K.CITIES, *K.INDIAN_STATES, *K.US_STATES])
 
 
 def plausible_name(words: str) -> bool:
     """Two to four capitalised words, none of which is a heading's, a city's or a state's."""
-    parts = words.split()
-    if not 2 <= len(parts) <= 4 or words.lower().strip() in K.CITY_CANONICAL:
-        return False
-    bare = [w.strip(".,;:()#-*|") for w in parts]
-    banned = {*K.NOT_IN_NAMES, *K.CITIES, *K.INDIAN_STATES, *K.US_STATES}
-    return all(re.match(r"^[A-Z][a-zA-Z.'-]*$", w) and w.lower() not in banned for w in bare)
+    bare = [w.strip(K.NAME_EDGES) for w in words.split()]
+    alike = re.fullmatch(K.NAME_WORDS, " ".join(bare)) is not None and all(bare)
+    return alike and words.strip().lower() not in K.CITY_CANONICAL and NOT_NAMES.isdisjoint(w.lower() for w in bare)
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -75,7 +64,7 @@ def find(text: str, page: int = 1, skip_tables: bool = False) -> Iterator[tuple[
                 value, place = m[g].strip(), m.span(g)
                 if place in seen or kind == "CustomerName" and not plausible_name(value):
                     continue
-                if kind == "PostalCode" and any(w in line_at(*place).lower() for w in NOT_POSTAL):
+                if kind == "PostalCode" and any(w in line_at(*place).lower() for w in K.NOT_POSTAL):
                     continue
                 seen.add(place)
                 yield kind, value, begin + place[0], begin + place[1], page, record, confidence
@@ -127,7 +116,7 @@ def from_tables(docs: DataFrame) -> DataFrame:
     cells = table_cells(docs).filter("trim(value) <> ''")
     kind = F.lit(None).cast("string")
     low = F.lower("column_name")
-    for name, words in reversed(HEADERS):
+    for name, words in reversed(K.HEADERS):
         test = F.lit(False)
         for w in words:
             test |= F.contains(low, F.lit(w))

@@ -23,6 +23,7 @@ def recommend(issues: DataFrame, least: float = CONFIDENT) -> DataFrame:
         sure = F.when(F.col("type") == kind, confidence).otherwise(sure)
     with_op = issues.withColumns({"operation": op, "confidence": sure})
     rewritten = F.col("operation").isin("standardize", "normalize")
+    # The loss that each kind of repair is taken to risk, the first that fits.
     score = (
         F.when(F.col("type") == "conflict", 0.90)
         .when(F.col("operation") == "deduplicate", 0.50)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.functions import constants as K
-from rinsework.functions.text import digits, mismatches, similarity
+from rinsework.functions.text import digits, mismatches, similar
 
 ATTRIBUTES = ["Phone", "Email", "Address", "City", "State", "InvoiceNo", "Date", "Amount", "PostalCode"]
 WINDOW = 350
@@ -83,7 +83,7 @@ def duplicates(entities: DataFrame, least: float = 85.0) -> DataFrame:
     pairs = a.join(b, ["doc_id", "type"]).filter("a_low < b_low")
     x, y = F.col("a_low"), F.col("b_low")
     apart = F.abs(F.length(x) - F.length(y)) + mismatches(x, y)
-    near = pairs.filter((apart <= 1) | (similarity(x, y) >= least))
+    near = pairs.filter((apart <= 1) | similar(x, y, least))
     return same.unionByName(_issue(near, "duplicate", F.col("type"), F.col("a_value"), F.col("b_value"), "medium", F.concat(F.lit("alike: "), "a_value", F.lit(" and "), "b_value")))
 
 

@@ -4,6 +4,7 @@ a linear model where no rule speaks. All columns' shares come from one aggregati
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -63,7 +64,9 @@ def features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _named(*words: str) -> Callable[[str], bool]:
-    return lambda name: any(w in f" {name} ".split() for w in words)
+    """Whole words: between any characters that aren't letters or digits."""
+    form = re.compile(r"\b(?:" + "|".join(words) + r")\b")
+    return lambda name: form.search(name) is not None
 
 
 def _holds(*parts: str) -> Callable[[str], bool]:
