@@ -4,6 +4,7 @@ The driver's tables are clean, so queries about dirt make their own, by SQL that
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from rinsework.functions import pii, text
 from rinsework.operators import actions, charts, checks, dependencies, governance, loss, normalize, profile, relations, semantics
 from rinsework.plans import provenance
 from rinsework.plans.ir import Step
-from rinsework.session import prepare, table
-from rinsework.sources import shield
+from rinsework.session import prepare, shared_dir, table
+from rinsework.sources import formats, shield
+from rinsework.sources.versions import VersionStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -246,6 +248,84 @@ def shield_classify(spark, sf_dir):
     return shield.classify(lines, shield.Facts(",", 3)).select("line", "n", "reason")
 
 
+# ---- files: tables are written to the shared folder and loaded from there
+
+
+def _at(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/rinsework/{uuid.uuid4().hex}/{name}"
+
+
+@query("select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer")
+def load_csv(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    df = formats.load(spark, formats.save(raw, _at(prepare(spark), "customer.csv"))).df
+    return df.withColumns({"c_custkey": F.col("c_custkey").cast("long"), "c_nationkey": F.col("c_nationkey").cast("long")})
+
+
+@query("select case when c_custkey > 1400 then concat('late ', c_custkey) else c_custkey::varchar end as key, c_custkey, c_name from customer")
+def load_ndjson(spark, sf_dir):
+    """The last rows hold another type of key."""
+    raw = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") > 1400, F.concat(F.lit("late "), "c_custkey")).alias("late"), "c_custkey", "c_name").repartitionByRange(1, "c_custkey")
+    key = F.when(F.col("late").isNull(), F.col("c_custkey").cast("string")).otherwise(F.concat(F.lit('"'), "late", F.lit('"')))
+    at = _at(prepare(spark), "customer.ndjson")
+    raw.select(F.concat(F.lit('{"key": '), key, F.lit(', "c_custkey": '), "c_custkey", F.lit(', "c_name": "'), "c_name", F.lit('"}')).alias("value")).write.text(at)
+    return formats.load(spark, at).df.select("key", "c_custkey", "c_name")
+
+
+@query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
+def load_json(spark, sf_dir):
+    """One document that wraps its records."""
+    at = _at(prepare(spark), "nation.json")
+    record = F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey"))
+    table(spark, sf_dir, "nation").agg(F.concat(F.lit('{"status": "ok",\n "data": ['), F.array_join(F.collect_list(record), ", "), F.lit("]}")).alias("value")).coalesce(1).write.text(at)
+    return formats.load(spark, at, "json").df.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+_NUMBERED = f"select row_number() over (order by p_partkey) as line_no, value, p_partkey from ({_LINES.replace(' as value from part', ' as value, p_partkey from part where p_partkey > 0')}) t"
+
+
+@query(
+    f"""select line_no, case when n > 18 then 'delimiter_bomb' else 'ragged_row' end as reason, substr(value, 1, 250) as data from
+(select *, length(regexp_replace(value, '"(?:[^"]|"")*"', '', 'g')) - length(replace(regexp_replace(value, '"(?:[^"]|"")*"', '', 'g'), ',', '')) as n from ({_NUMBERED}) q) q where n > 18 or abs(n - 3) >= 1"""
+)
+def shield_log(spark, sf_dir):
+    """Lines of a written file that the shield holds back, by number."""
+    lines = prepare(spark).sql(_NUMBERED.replace("from part ", "from {part} "), part=table(spark, sf_dir, "part"))
+    at = _at(spark, "part.csv")
+    lines.repartition(1).sortWithinPartitions("line_no").select("value").write.text(at)
+    return shield.shield(spark, at).quarantined.select(F.col("line_no").cast("long").alias("line_no"), "reason", "data")
+
+
+@query("select c_custkey, c_name, c_acctbal, 2 as newest, 3 as versions from customer")
+def version_read(spark, sf_dir):
+    """The first version, read back after another commit and a restore."""
+    raw = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    store = VersionStore(spark, _at(prepare(spark), "store"))
+    store.commit(raw, "raw")
+    store.commit(raw.filter("c_acctbal > 0"), "filter", "c_acctbal")
+    newest = store.restore(0)
+    return store.read(newest).withColumns({"newest": F.lit(newest), "versions": F.lit(len(store.history()))})
+
+
+@query(
+    f"with t as ({DIRTY}) "
+    + " union all ".join(f"select '{c}' as column_name from t having count(*) > count({c}) or count(distinct {c}) = 1" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+)
+def anomaly_columns(spark, sf_dir):
+    found = profile.anomalies(profile.profile(_dirty(spark, sf_dir)))
+    return spark.createDataFrame([(c,) for c in found], "column_name string")
+
+
+@query(
+    f"with t as ({CONTACTS}) "
+    + " union all ".join(f"select '{c}' as column_name from t having {'true' if c == 'c_custkey' else f'count(distinct {c}) = count(*)'}" for c in ("c_custkey", "email", "phone", "postal", "city", "bucket"))
+)
+def identifier_columns(spark, sf_dir):
+    """Columns that name rows: by their own name, or because every value is another."""
+    found = profile.profile(_contacts(spark, sf_dir).select("c_custkey", "email", "phone", "postal", "city", "bucket"))
+    return spark.createDataFrame([(c,) for c in found.meta["identifiers"]], "column_name string")
+
+
 # ---- dependencies and spellings
 
 
@@ -292,6 +372,23 @@ def fd_exact_matrix(spark, sf_dir):
     return dependencies.exact_matrix(whole, _GEO_COLUMNS, _GEO_COLUMNS)
 
 
+_MINED = [(x, y) for x in ("n_nationkey", "n_name", "r_regionkey", "r_name") for y in _GEO_COLUMNS if x != y]
+
+
+@query(
+    f"with t as ({_GEO}), n as (select count(*) as n from t) "
+    + " union all ".join(
+        f"select '{x}' as determinant, '{y}' as dependent from t, n having count(distinct {x}) > 1 and count(distinct {x}) < 0.95 * any_value(n.n) and (select max(d) from (select count(distinct {y}) as d from t group by {x}) q) = 1" for x, y in _MINED
+    )
+)
+def fd_mine(spark, sf_dir):
+    """All exact dependencies that a search over the columns finds."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    whole = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_regionkey", "r_name", "c_mktsegment")
+    found = [d for d in dependencies.mine(whole, profile.profile(whole)) if d.exact and d.determinant != "c_mktsegment"]
+    return spark.createDataFrame([(d.determinant, d.dependent) for d in found], "determinant string, dependent string")
+
+
 _PAIRS = f"select cast(bucket as string) as x, city as y, count(*) as n from ({CONTACTS}) t group by 1, 2"
 
 
