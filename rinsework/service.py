@@ -8,6 +8,7 @@ import hmac
 import json
 import threading
 import time
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -16,9 +17,11 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from rinsework.exports import rows_of
+from rinsework.operators.governance import Approvals
 from rinsework.operators.loss import Limits
-from rinsework.plans.flow import Blocked, clean_table
+from rinsework.plans.flow import Blocked, clean_documents, clean_table
 from rinsework.plans.provenance import sign
+from rinsework.sources import documents
 from rinsework.sources.formats import read_records
 from rinsework.sources.versions import VersionStore
 
@@ -67,6 +70,7 @@ class Service:
     secret: bytes
     verify: Callable[[str, str], str | None]
     last: dict[str, Any] = field(default_factory=dict)
+    stores: dict[str, VersionStore] = field(default_factory=dict)
     served: dict[str, int] = field(default_factory=dict)
     lock: threading.Lock = field(default_factory=threading.Lock)
 
@@ -119,6 +123,34 @@ class Service:
                 raise Refused(404, str(e)) from e
         return {"version": self.last["version"], "records": rows_of(store.read())}
 
+    def clean_document(self, filename: str, content: bytes, approve: bool = False) -> dict[str, Any]:
+        """One document through the flow; its versions are kept under its id."""
+        if not filename:
+            raise Refused(400, "a file name is needed")
+        try:
+            own = documents.parse(filename, content)
+        except (ValueError, zipfile.BadZipFile) as e:
+            raise Refused(400, f"only .txt, .docx and .pdf within the quota can be read: {e}") from e
+        doc_id = filename.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        row = {"doc_id": doc_id, "path": filename, "n_chars": len(own["text"])} | own
+        docs = self.spark.createDataFrame([row], documents.SCHEMA)
+        store = VersionStore(self.spark, f"{self.store_uri}/documents/{time.time_ns():x}")
+        done = clean_documents(self.spark, documents.texts(docs), docs, Approvals(all=approve), store)
+        with self.lock:
+            self.stores[doc_id] = store
+        return {"doc_id": doc_id, "entities": rows_of(done.entities), "issues": rows_of(done.issues), "records": rows_of(done.records), "validation": done.validation, "version": store.current()}
+
+    def rollback_document(self, doc_id: str, version: int) -> dict[str, Any]:
+        with self.lock:
+            store = self.stores.get(doc_id)
+            if store is None:
+                raise Refused(404, f"no document {doc_id}")
+            try:
+                now = store.restore(version)
+            except KeyError as e:
+                raise Refused(404, str(e)) from e
+        return {"doc_id": doc_id, "restored": version, "version": now, "entities": rows_of(store.read())}
+
     def metrics(self) -> str:
         return "".join(f'requests_total{{path="{p}"}} {n}\n' for p, n in sorted(self.served.items()))
 
@@ -130,7 +162,7 @@ class Service:
         try:
             match method, path:
                 case "GET", "/":
-                    return 200, {"service": "rinsework", "paths": ["/healthz", "/metrics", "/api/v1/auth/token", "/api/v1/clean", "/api/v1/provenance", "/api/v1/rollback"]}
+                    return 200, {"service": "rinsework", "paths": ["/healthz", "/metrics", "/api/v1/auth/token", "/api/v1/clean", "/api/v1/provenance", "/api/v1/rollback", "/api/v1/clean-document", "/api/v1/rollback-document"]}
                 case "GET", "/healthz":
                     return 200, {"status": "ok", "spark": self.spark.version}
                 case "GET", "/metrics":
@@ -146,6 +178,13 @@ class Service:
                 case "POST", "/api/v1/rollback":
                     self.allow(header, "rollback")
                     return 200, self.rollback(int(body.get("version", 0)))
+                case "POST", "/api/v1/clean-document":
+                    self.allow(header, "clean")
+                    content = base64.b64decode(body["content"]) if "content" in body else str(body.get("text", "")).encode()
+                    return 200, self.clean_document(str(body.get("filename", "")), content, bool(body.get("approve")))
+                case "POST", "/api/v1/rollback-document":
+                    self.allow(header, "rollback")
+                    return 200, self.rollback_document(str(body.get("doc_id", "")), int(body.get("version", 0)))
             raise Refused(404, "no such path")
         except Refused as e:
             return e.status, {"detail": e.why}

@@ -223,6 +223,11 @@ def test_service(spark, tmp_path):
         assert call("/api/v1/rollback", {"version": 0}, bob)[0] == 403
         status, back = call("/api/v1/rollback", {"version": 0}, ann)
         assert status == 200 and {r["City"] for r in back["records"]} == {"Hyd", "Hyderabad"} and call("/api/v1/rollback", {"version": 99}, ann)[0] == 404
+        assert call("/api/v1/clean-document", {"filename": "a.exe", "text": "x"}, ann)[0] == 400 and call("/api/v1/clean-document", {"filename": "a.txt", "text": "x"}, bob)[0] == 403
+        status, doc = call("/api/v1/clean-document", {"filename": "in/a.txt", "text": TEXT, "approve": True}, ann)
+        assert status == 200 and doc["doc_id"] == "a" and doc["version"] == 3 and doc["entities"] and doc["records"]
+        status, old = call("/api/v1/rollback-document", {"doc_id": "a", "version": 0}, ann)
+        assert status == 200 and old["version"] == 4 and len(old["entities"]) >= len(doc["entities"]) and call("/api/v1/rollback-document", {"doc_id": "b"}, ann)[0] == 404
         assert 'requests_total{path="/api/v1/clean"}' in call("/metrics")[1]
     finally:
         server.shutdown()
