@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinsework.llm.workers import tidy
@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 
 WORDS = 8  # of 64 bits: 512 bits tell a similarity of 0.8 to about 0.03
 BANDS, BAND = 5, 12  # bands of each word, and their bits
+SLACK = 1e-9  # shares of counts are floating point
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(WORDS)], np.uint64)
 
 
@@ -211,31 +212,29 @@ def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def near_pairs(fp: np.ndarray, radius: int, low: float, high: float, rows: int = 256) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Of the index pairs within `radius` in the first word: a forest of those that differ in under `low` bits in all, and i, j, bits
-    of each one from `low` to `high` that this forest doesn't connect."""
-    label, sure, unsure, first = np.arange(len(fp)), [], [], fp[:, 0]
+def near_pairs(fp: np.ndarray, radius: int, low: float, high: float, rows: int = 256) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of the index pairs within `radius` in the first word: a forest of those that differ in under `low` bits in all, and a forest of
+    those that differ in `high` at most."""
+    label, family, sure, near, first = np.arange(len(fp)), np.arange(len(fp)), [], [], fp[:, 0]
     for at in range(0, len(fp), rows):
         i, j = np.nonzero(np.bitwise_count(first[at : at + rows, None] ^ first[None, :]) <= radius)
         i += at
         i, j = i[j > i], j[j > i]
         apart = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
-        linked, between = apart < low, (apart >= low) & (apart <= high)
-        unsure.append(np.stack([i, j, apart], 1)[between])
-        i, j = i[linked], j[linked]
-        for x, own in zip(nodes := np.unique(i), np.split(j, np.searchsorted(i, nodes[1:])), strict=True) if len(i) else ():
-            for other in np.unique(label[own]):
-                if other != label[x]:
-                    sure.append((int(x), int(own[label[own] == other][0])))
-                    label[label == other] = label[x]
-    found = np.concatenate(unsure)
-    return sure, found[label[found[:, 0]] != label[found[:, 1]]]
+        for names, links, chosen in ((label, sure, apart < low), (family, near, apart <= high)):
+            x, y = i[chosen], j[chosen]
+            for node, own in zip(nodes := np.unique(x), np.split(y, np.searchsorted(x, nodes[1:])), strict=True) if len(x) else ():
+                for other in np.unique(names[own]):
+                    if other != names[node]:
+                        links.append((int(node), int(own[names[own] == other][0])))
+                        names[names == other] = names[node]
+    return sure, near
 
 
 def candidates(wide: DataFrame, radius: int, low: float, high: float, piece: int) -> DataFrame:
-    """a, b, apart: nodes that share one of the 40 bands of 12 bits and differ in at most `radius` bits of the first word and `high`
-    of all. Under `low` bits only a forest of each piece of a band's shard; from there on every pair, but for those that the
-    piece's forest joins. A shard of more than `piece` nodes is cut, and its pieces meet by twos."""
+    """a, b, sure: nodes that share one of the 40 bands of 12 bits and differ in at most `radius` bits of the first word and `high`
+    of all; sure: in under `low`. Of each piece of a band's shard a forest of either sort goes on, a link a node at most.
+    A shard of more than `piece` nodes is cut, and its pieces meet by twos."""
     bands = F.array(*(F.lit((BANDS * k + i) << BAND).cast("long").bitwiseOR(F.shiftrightunsigned(F.col("fp")[k], BAND * i).bitwiseAND((1 << BAND) - 1)) for k in range(WORDS) for i in range(BANDS)))
     words = [F.col("fp")[k].alias(f"w{k}") for k in range(WORDS)]
     shards = wide.select("node", *words, F.explode(bands).alias("shard"))
@@ -250,93 +249,131 @@ def candidates(wide: DataFrame, radius: int, low: float, high: float, piece: int
             links = [np.zeros((0, 3), np.int64)]
             for own in zip(*b.columns, strict=True):
                 node, *w = (x.values.to_numpy() for x in own)
-                fp = np.stack(w, 1).view(np.uint64)
-                sure, unsure = near_pairs(fp, radius, low, high)
-                for x, y in sure:
-                    links.append(np.array([[node[x], node[y], int(np.bitwise_count(fp[x] ^ fp[y]).sum())]], np.int64))
-                if len(unsure):
-                    links.append(np.stack([node[unsure[:, 0]], node[unsure[:, 1]], unsure[:, 2]], 1))
+                sure, near = near_pairs(np.stack(w, 1).view(np.uint64), radius, low, high)
+                links += [np.array([(node[x], node[y], known) for x, y in found], np.int64) for found, known in ((sure, 1), (near, 0)) if found]
             found = np.concatenate(links)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found[:, :2].min(1), found[:, :2].max(1), found[:, 2])], ["a", "b", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, :2].min(1), pa.int64()), pa.array(found[:, :2].max(1), pa.int64()), pa.array(found[:, 2] == 1)], ["a", "b", "sure"])
 
-    return tasks.select(*(f"es.{c}" for c in names)).mapInArrow(tidy(run), "a long, b long, apart long").distinct()
+    return tasks.select(*(f"es.{c}" for c in names)).mapInArrow(tidy(run), "a long, b long, sure boolean").distinct()
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20, piece: int = 1024) -> DataFrame:
-    """doc_id, component_id: documents whose sets of word shingles have a Jaccard similarity of `least` or more, and what such
-    links lead to. Equal fingerprints are one node. A pair's 512 bits say how similar it is: three standard deviations above
-    `least` it is linked, three below it is dropped, and in between the shingles themselves are compared, unless other links
-    join it already: first the closest pair of each component, then of each two components, then every pair that is left, so
-    that a refused pair never stands for another. Bands, first word and distance together
-    find 0.998 of the pairs at a similarity of 0.80 to 0.82, as measured on synthetic texts. A shard holds 1/4096 of the distinct fingerprints: past some tens of millions, take longer bands and more words."""
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """node, family, size, h, at: what two sets of one family must have in common to be alike. Hashes are in order of how many sets of
+    the family hold them; of two sets with a similarity of `least`, each has one of the other's among its first ones, as
+    many as may be missing and one. Those of one set alone stand first and can't be shared, so they are only counted. at:
+    how many hashes of the set come before."""
+    hashes = sets.select("node", "family", "size", F.explode("hashes").alias("h"))
+    often = staged(hashes.groupBy("family", "h").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    own = F.sort_array(F.collect_list(F.struct("n", "h"))).alias("own")
+    shared = hashes.join(often, ["family", "h"]).groupBy("node", "family", "size").agg(own)
+    alone, missing = F.col("size") - F.size("own"), F.col("size") - F.ceil(least * F.col("size") - SLACK)
+    firsts = F.slice("own", 1, F.greatest(missing + 1 - alone, F.lit(0)).cast("int"))
+    return shared.select("node", "family", "size", alone.alias("alone"), F.posexplode(firsts).alias("i", "e")).select("node", "family", "size", F.col("e.h").alias("h"), (F.col("alone") + F.col("i")).cast("int").alias("at"))
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20, piece: int = 1024, rounds: int = 1, each: int = 8) -> DataFrame:
+    """doc_id, text_key, component_id, stays: documents whose sets of word shingles have a Jaccard similarity of `least` or more,
+    and what such links lead to. Equal fingerprints are one node. A pair's 512 bits say how similar it is: three standard
+    deviations above `least` it is linked, and up to three below it is a candidate.
+
+    Candidates make families. Where a family isn't yet one component by sure links, the shingles decide: its sets are joined
+    by those hashes without which two can't be alike (prefixes), with bounds on size and on what is left of both. First
+    each component asks, for each such hash, a few sets of the largest component that has it (in `rounds`, `each` a round); verified links
+    merge components, and then every pair that is left between two components is asked. So no pair stands for another, and
+    pairs within a component, of which a large family has as many as the square of its size, are never made.
+
+    Bands, first word and distance together find 0.998 of the pairs at a similarity of 0.80 to 0.82, as measured on synthetic
+    texts, and a pair is lost only if no others join its family. A shard holds 1/4096 of the distinct fingerprints: past some
+    tens of millions, take longer bands and more words.
+
+    Defined cases: rows with a null id are left out; a null text is empty, and texts without words are alike; a text of fewer
+    words than `width` is one shingle; repeated rows share a component; ties go to the smaller id, then text_key; no rows
+    give no rows; texts are read whole; other columns are ignored."""
 
     def differing(similarity: float) -> float:
         return 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
     edge = differing(least)
     margin = 3 * (edge * (1 - edge / (64 * WORDS))) ** 0.5
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    texts = _keyed(docs).filter("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(t.as_py(), width).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fp"])
-
-    fps = staged(texts.mapInArrow(tidy(run), "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp")), "wide")
-    reps = staged(fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("fp").alias("fp")), "nodes")
-    measured = staged(candidates(reps, radius, edge - margin, edge + margin, piece), "candidates")
-    links = measured.filter(F.col("apart") < edge - margin).select("a", "b")
-
-    def parted(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of pairs that the links don't join yet, with their roots."""
-        roots = staged(components(links), f"roots_{name}")
-        top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        both = pairs.select("a", "b", "apart").join(top("a"), "a", "left").join(top("b"), "b", "left")
-        return staged(both.withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"}).filter("root_a <> root_b"), f"open_{name}")
+            found = [wide_fingerprint(t.as_py(), width).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp"])
+
+    fps = staged(texts.mapInArrow(tidy(run), "doc_id long, text_key long, fp array<long>"), "wide")
+    reps = staged(fps.groupBy("fp").agg(F.min(_row()).alias("r")).select(F.monotonically_increasing_id().alias("node"), "fp", "r.*"), "nodes")
+    found = staged(candidates(reps.select("node", "fp"), radius, edge - margin, edge + margin, piece), "candidates")
+    links = found.filter("sure").select("a", "b")
+    roots = staged(components(links), "roots_sure")
+    family = staged(components(found.select("a", "b")), "families")
+    member = family.select("node", F.col("root").alias("family")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = staged(member.groupBy("family").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("family"), "open")
+    if not several.isEmpty():
+        open_nodes = member.join(several, "family").select("node", "family").join(reps.select("node", "doc_id", "text_key"), "node")
+        links = links.unionByName(_alike(open_nodes.join(texts, ["doc_id", "text_key"]).select("node", "family", "text"), links, roots, least, width, rounds, each))
+        roots = staged(components(links), "roots")
+    return _named(fps.join(reps.select("node", "fp"), "fp").select("doc_id", "text_key", "node"), reps.select("node", "doc_id", "text_key"), roots, "node").select("doc_id", "text_key", "component_id", "stays")
+
+
+def _alike(members: DataFrame, links: DataFrame, roots: DataFrame, least: float, width: int, rounds: int, each: int) -> DataFrame:
+    """a, b: links of nodes that connect, together with `links`, all with a similarity of `least`. members: node, family, text;
+    roots: the components of links."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in b.column(1)], pa.binary())], ["node", "hashes"])
+            found = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["node", "family", "hashes"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+                keep.append(both + SLACK >= least * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = parted(measured.filter(F.col("apart") >= edge - margin), "sure")
-    needed = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "doc_id"), "node")
-    hashed = staged(needed.join(texts, "doc_id").select("node", "text").mapInArrow(tidy(shingles), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "hashed")
-    h = lambda c: hashed.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    best = F.min(F.struct("apart", "a", "b")).alias("p")
-    component = F.explode(F.array("root_a", "root_b")).alias("x")
-    two = F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")
-    for turn in ("component", "again", "two", "all"):
-        if left.isEmpty():
-            break
-        if turn == "all":
-            chosen = left.select("a", "b")
-        elif turn == "two":
-            chosen = left.groupBy(*two).agg(best).select("p.a", "p.b")
+    hashed = members.mapInArrow(tidy(shingles), "node long, family long, hashes array<long>")
+    sets = staged(hashed.dropDuplicates(["node"]).withColumn("size", F.size("hashes")), "sets")
+    entries = staged(prefixes(sets, least), "prefixes")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}"))
+    found = asked = None
+    for turn in range(rounds + 1):
+        if found is not None:
+            roots = staged(components(links.unionByName(found)), "roots_so_far")
+        placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # of each hash the component with the most sets; a hash of one component has nothing to ask
+        counts = placed.groupBy("family", "h", "root").agg(F.count("*").alias("n"))
+        shared = counts.groupBy("family", "h").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+        live = staged(placed.join(shared, ["family", "h"]), "live")
+        asking = live.filter("root <> top")
+        if turn < rounds:  # one set of each component asks those of the largest that share the most with others, a few each time
+            place = F.row_number().over(Window.partitionBy("family", "h").orderBy("at", "node"))
+            asking = asking.groupBy("family", "h", "root").agg(F.min(F.struct("at", "node", "size")).alias("e")).select("family", "h", "root", "e.*")
+            answering = live.filter("root = top").withColumn("place", place).filter(F.col("place") <= each * (turn + 1)).filter(F.col("place") > each * turn)
         else:
-            chosen = left.select(component, "apart", "a", "b").groupBy("x").agg(best).select("p.a", "p.b").distinct()
-        asked = staged(chosen, f"asked_{turn}")
-        verified = staged(asked.join(h("a"), "a").join(h("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidy(alike), "a long, b long"), f"verified_{turn}")
-        links = links.unionByName(verified)
-        if turn != "all":
-            left = parted(left.join(asked, ["a", "b"], "left_anti"), turn)
-    final = staged(components(links), "roots")
-    first = staged(reps.join(final, "node").groupBy("root").agg(F.min("doc_id").alias("first")), "first")
-    named = reps.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")).join(first, "root", "left")
-    return fps.select("doc_id", "node").join(named.select("node", F.coalesce("first", "doc_id").alias("component_id")), "node").select("doc_id", "component_id")
+            answering = live
+        y = answering.select("family", "h", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("top").alias("y_top"), F.col("size").alias("y_size"), F.col("at").alias("y_at"))
+        once = (F.col("root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_top")) | (F.col("node") < F.col("y")))
+        sizes = F.least("size", "y_size") + SLACK >= least * F.greatest("size", "y_size")
+        left = F.least(F.col("size") - F.col("at"), F.col("y_size") - F.col("y_at")) + SLACK >= least / (1 + least) * (F.col("size") + F.col("y_size"))
+        pairs = asking.join(y, ["family", "h"]).filter(once & sizes & left).select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+        if asked is not None:
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "pairs")
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        alike = staged(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidy(verify), "a long, b long"), "verified")
+        found = alike if found is None else found.unionByName(alike)
+    return found
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without all but one document of each component of found (doc_id, component_id). Rows without a doc_id can't be
-    named, and stay."""
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """docs without all but one document of each component of found (doc_id, text_key, stays). Rows of one id with different texts
+    are different documents; equal rows of both are one. Rows without a doc_id can't be named, and stay."""
+    text_key = F.xxhash64(F.col("text").cast("string"))
+    named = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"))
+    first = found.filter("stays").select("doc_id", "text_key").distinct()
+    one = named.filter("doc_id is not null").join(first, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return one.select("_doc.*").unionByName(docs.filter("doc_id is null"))

@@ -176,6 +176,34 @@ def test_similar_star(spark):
 def test_similar_odd_rows(spark):
     rows = [(3, "a b c d", 1), (1, "A b c d", 1), (None, "a b c d", 1), (7, None, 1), (8, "", 1), (9, "zz yy", 1), (3, "a b c d", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(tuple(r) for r in simhash.similar_documents(df).collect()) == [(1, 1), (3, 1), (3, 1), (7, 7), (8, 7), (9, 9)]
+    assert sorted((r.doc_id, r.component_id) for r in simhash.similar_documents(df).collect()) == [(1, 1), (3, 1), (3, 1), (7, 7), (8, 7), (9, 9)]
     assert simhash.similar_documents(df.limit(0)).collect() == []
     assert sorted(r.doc_id for r in simhash.keep_first(df, simhash.similar_documents(df)).filter("doc_id is not null").collect()) == [1, 7, 9]
+
+
+def test_one_id_with_different_texts_loses_none(spark):
+    rows = [(5, "one two three four five six seven", 1), (5, "quite another text of some more words", 2), (5, "quite another text of some more words", 3), (6, "one two three four five six seven", 4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for found in (simhash.similar_documents(df), simhash.near_duplicates(df)):
+        assert sorted((r.doc_id, r.text) for r in simhash.keep_first(df, found).collect()) == [(5, rows[0][1]), (5, rows[1][1])]
+
+
+def test_similar_families_are_whole(spark):
+    """Families whose pairs straddle the threshold: the very components of brute force."""
+    rnd, texts = random.Random(21), []
+    for _ in range(60):
+        base = [rnd.choice(WORDS) + str(rnd.randrange(50)) for _ in range(300)]
+        for _ in range(12):
+            words = list(base)
+            for i in rnd.sample(range(300), rnd.randrange(1, 14)):
+                words[i] = f"new{rnd.random()}"
+            texts.append(" ".join(words))
+    rows = [(i, t, 0) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets, least = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for _ in range(12):
+        for i in range(len(texts)):
+            for j in range(i // 12 * 12, i):
+                if least[i] != least[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                    least[i] = least[j] = min(least[i], least[j])
+    assert [found[i] for i in range(len(texts))] == least
