@@ -8,8 +8,8 @@ pre-tokens, and each is encoded by itself. Decoding maps ids to pieces and piece
 A pre-token that is a token as a whole gets that token. Words recur, so a task keeps the ids of pre-tokens it has seen
 up to a fixed number; that changes no result.
 
-Defined cases: a null text is empty and has no ids; texts of any length are encoded whole; a null doc_id stays null;
-repeated rows stay repeated; other columns are ignored.
+Defined cases: a null text is empty and has no ids; texts of any length are encoded whole; of joins with equal rank the leftmost
+comes first; a null doc_id stays null; repeated rows stay repeated; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

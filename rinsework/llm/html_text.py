@@ -13,8 +13,8 @@ highest, so that a lone line far from the body goes, and a short heading or last
 window needs half of it. Inside, where the highest is there, lines of links are text as well.
 
 Defined cases: a null page is empty, and an empty page has an empty text; elements left open end with the page or with the
-element around them; pages of any length are read whole, in one pass; repeated rows stay repeated; null ids and urls
-stay; other columns are ignored.
+element around them; pages of any length are read whole, in one pass; if the highest windows inside and outside an article are
+equal, inside wins; repeated rows stay repeated; null ids and urls stay; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ shards of bounded size, each packed by one task; a shard holds thousands of piec
 the only one that is expected to be short, is a small part.
 
 Defined cases: a null text is empty and has the end id alone; repeated rows are packed as often as they occur; any length
-of text is cut whole; a null doc_id stays null; no rows give no rows; other columns are ignored.
+of text is cut whole; pieces of equal length go by id and start, and of sequences with equal cost the first opened is taken; a null
+doc_id stays null; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

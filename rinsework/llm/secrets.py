@@ -12,8 +12,10 @@ the ratio of language to noise, over the battery's p-value, is at most the chanc
 inequality). Over a document's candidates it is held against a false-discovery rate by Benjamini and Hochberg's rule. A
 candidate is reported if it is discovered there and the battery alone doesn't refuse it.
 
-Defined cases: a null text is empty; texts are scanned whole; candidates that overlap a known form aren't reported again;
-a null doc_id stays null; repeated rows stay repeated; other columns are ignored, and redaction keeps them as they were.
+Defined cases: a null text is empty; texts of any length are scanned whole; candidates that overlap a known form aren't reported
+again; spans that start together are in the order of KINDS, and candidates with equal doubt in the order of the text; a null
+doc_id stays null; repeated rows stay repeated; no rows give no rows; other columns are ignored, and redaction keeps them as
+they were.
 """
 
 from __future__ import annotations
