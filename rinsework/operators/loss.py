@@ -105,7 +105,6 @@ def utility(raw: DataFrame, clean: DataFrame, target: str | None = None, least:
     hash of the whole row, so they are the same in every run and for any partitions; equal rows are one with their number as its
     weight. Categories are coded from the raw side for both. With too few rows, or a side without rows to learn from or to
     score, nothing is measured, and the status says why."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -134,11 +133,15 @@ def utility(raw: DataFrame, clean: DataFrame, target: str | None = None, least:
     classify = not is_numeric(kinds[target]) or classes <= 10
     words = [c for c in inputs if not is_numeric(kinds[c])]
     code = StringIndexer(inputCols=[*words, *([target] if classify else [])], outputCols=[*(f"_{c}" for c in words), *(["_y"] if classify else [])], handleInvalid="keep")
-    stages = [code.fit(own)] if words or classify else []
-    stages.append(VectorAssembler(inputCols=[f"_{c}" if c in words else c for c in inputs], outputCol="_x", handleInvalid="skip"))
-    ready = Pipeline(stages=stages).fit(own)
+    coded = code.fit(own) if words or classify else None
+    assemble = VectorAssembler(inputCols=[f"_{c}" if c in words else c for c in inputs], outputCol="_x", handleInvalid="skip")
+
+    def ready(df: DataFrame) -> DataFrame:
+        df = coded.transform(df) if coded else df
+        return assemble.transform(df.withColumns({f"_{c}": F.col(f"_{c}") + F.lit(0.0) for c in words}) if words else df)  # codes as numbers: columns may have any number of them
+
     as_y = (lambda df: df) if classify else (lambda df: df.withColumn("_y", F.col(f"`{target}`")))
-    ours, theirs = as_y(ready.transform(own)), as_y(ready.transform(other)).filter(F.col("_y") < classes if classify else F.lit(True))
+    ours, theirs = as_y(ready(own)), as_y(ready(other)).filter(F.col("_y") < classes if classify else F.lit(True))
     fold = F.pmod(F.xxhash64("_h"), F.lit(10))
     test = ours.filter(fold >= 7)
     common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "seed": 42, "maxBins": 512}
