@@ -63,8 +63,12 @@ class Model:
         for w in text.lower().split():
             known = kept.get(w)
             if known is None:
-                parts = [self.score(x) for x in w.translate(CUT).split() if any(map(str.isalpha, x))]
-                known = (np.sum(parts, 0), len(parts)) if parts else False
+                bare = w.strip(STRIP)
+                if bare.isalpha():  # most words: nothing to cut inside
+                    known = (self.score(bare), 1)
+                else:
+                    parts = [self.score(x) for x in bare.translate(CUT).split() if any(map(str.isalpha, x))]
+                    known = (np.sum(parts, 0), len(parts)) if parts else False
                 if len(kept) >= KEPT_WORDS:
                     kept.clear()
                 kept[w] = known
