@@ -207,3 +207,41 @@ def test_similar_families_are_whole(spark):
                 if least[i] != least[j] and jaccard(sets[i], sets[j]) >= 0.8:
                     least[i] = least[j] = min(least[i], least[j])
     assert [found[i] for i in range(len(texts))] == least
+
+
+def test_many_trees_find_what_a_scan_finds():
+    rnd, radius = np.random.default_rng(11), 102
+    for group in (np.zeros(0, int), np.zeros(1, int), np.repeat([4, 7, 9, 20], [1, 2, 60, 300]), np.arange(400) % 5):
+        bases = rnd.integers(0, 2**64, (4, 8), dtype=np.uint64)
+        flips = np.packbits(rnd.random((len(group), 512)) < 0.1 * rnd.random((len(group), 1)), axis=1).view(np.uint64)
+        values = bases[np.arange(len(group)) % 4] ^ flips.reshape(-1, 8)
+        values[len(group) // 2 :][:3] = values[:1]  # equal ones too
+        apart = np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=int)
+        forest = simhash.BKForest(values, group)
+        found = [(max(p), min(p), d) for i, j, ds in forest.within(radius, rows=64) for *p, d in zip(i.tolist(), j.tolist(), ds.tolist(), strict=True)]
+        pairs = [(i, j, apart[i, j]) for i in range(len(group)) for j in range(i) if group[i] == group[j]]
+        assert sorted(found) == [p for p in pairs if p[2] <= radius]
+        assert forest.met < 0.6 * len(pairs) or len(pairs) < 2  # the trees leave out much of the other three families
+        inner = np.flatnonzero(forest.parent >= 0)
+        assert len(inner) == len(group) - len(set(group.tolist())) and all(apart[forest.places[n], forest.places[forest.parent[n]]] == forest.edge[n] for n in inner)
+        for links, most in zip(simhash.near_links(values, group, 50, radius + 0.9, most=50), (49, radius), strict=True):
+            assert len(links) == len(simhash.forest(links[:, 0], links[:, 1], len(group)))  # no cycles
+            assert all(apart[i, j] <= most and group[i] == group[j] for i, j in links.tolist())
+            near = np.array([p[:2] for p in pairs if p[2] <= most], int).reshape(-1, 2)
+            assert len(simhash.forest(*near.T, len(group))) == len(links)
+
+
+def test_similar_by_the_whole_fingerprint(spark):
+    """Texts with a similarity of 0.81 and 0.83 whose fingerprints differ in over 20 bits of the first word: the trees' radius is over all words."""
+    texts = []
+    for seed in (2232, 15701, 23940):
+        rnd = random.Random(seed)
+        base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        words = list(base)
+        for i in rnd.sample(range(200), 4):
+            words[i] = f"new{i}"
+        texts += [" ".join(base), " ".join(words)]
+        assert jaccard(shingle_set(texts[-2]), shingle_set(texts[-1])) >= 0.8
+        assert (int(simhash.wide_fingerprint(texts[-2], 5)[0]) ^ int(simhash.wide_fingerprint(texts[-1], 5)[0])).bit_count() > 20
+    found = simhash.similar_documents(spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 4)]
