@@ -212,6 +212,9 @@ def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
+_EVEN, _SUM = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+
+
 def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """Indexes of links x[i], y[i] between n nodes that connect what all of them connect, without a cycle."""
     label, kept, live = np.arange(n), [np.zeros(0, np.int64)], np.arange(len(x))
@@ -231,7 +234,7 @@ def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 class BKForest:
-    """BK-trees over values of several words, one for each group, grown and searched together, a level at a time. Nodes stand level by
+    """BK-trees over values of eight words, one for each group, grown and searched together, a level at a time. Nodes stand level by
     level, the children of each together and by their edges (the distance to the parent), so that those a search must still
     see are a range. Of a value and another of its tree, the later asks the earlier, so each pair meets once at most."""
 
@@ -252,32 +255,41 @@ class BKForest:
             else:
                 self.top[:end] = np.arange(end)
             rest, up, at = rest[~first], own[~first], end
-            apart = self._apart(values[rest], values[self.places[up]])
+            apart = self._apart(values, rest, self.places[up])
             order = np.argsort(up << self.SHIFT | apart, kind="stable")
             rest, up, apart = rest[order], up[order], apart[order]
         self.values, self.keys = values[self.places], np.where(self.parent < 0, -1, self.parent << self.SHIFT | self.edge)
-        self.parents = np.isin(np.arange(n), self.parent)
+        self.first, self.end = (np.searchsorted(self.parent, np.arange(n), side) for side in ("left", "right"))  # of its children
+        self.least, self.most = self.edge[np.minimum(self.first, n - 1)], self.edge[self.end - 1]
         self.met = 0  # distances taken by searches
 
     @staticmethod
-    def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-
-    def within(self, radius: int, rows: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _apart(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = values.take(a, 0)
+        x ^= values.take(b, 0)
+        eight = np.bitwise_count(x).view(np.uint64)[:, 0]  # eight counts, a byte each: by twos, then all in the upper 16 bits
+        two = (eight & _EVEN) + (eight >> np.uint64(8) & _EVEN)
+        return (two * _SUM >> np.uint64(48)).astype(np.int64)
+
+    def within(self, radius: int, rows: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, distance): places of the pairs of one tree within the radius, in parts."""
         asking = np.flatnonzero(self.parent >= 0)
         todo = [(asking[at : at + rows], self.top[asking[at : at + rows]]) for at in range(0, len(asking), rows)]
         while todo:
             own, node = todo.pop()
             self.met += len(own)
-            apart = self._apart(self.values[own], self.values[node])
-            hit = apart <= radius
-            if hit.any():
+            apart = self._apart(self.values, own, node)
+            hit = np.flatnonzero(apart <= radius)
+            if len(hit):
                 yield self.places[own[hit]], self.places[node[hit]], apart[hit]
-            inner = self.parents[node]
+            inner = np.flatnonzero(self.first[node] < np.minimum(self.end[node], own))
             own, node, apart = own[inner], node[inner], apart[inner]
-            low = np.searchsorted(self.keys, node << self.SHIFT | np.maximum(apart - radius, 0))
-            high = np.minimum(np.searchsorted(self.keys, (node << self.SHIFT) + apart + radius, side="right"), own)
+            low, high = self.first[node], self.end[node]
+            part = np.flatnonzero((self.least[node] < apart - radius) | (self.most[node] > apart + radius))
+            above = node[part] << self.SHIFT
+            low[part] = np.searchsorted(self.keys, above | np.maximum(apart[part] - radius, 0))
+            high[part] = np.searchsorted(self.keys, above + apart[part] + radius, side="right")
+            high = np.minimum(high, own)
             many = np.maximum(high - low, 0)
             ends = np.cumsum(many)
             children = np.arange(many.sum()) + np.repeat(low - ends + many, many)
