@@ -5,8 +5,10 @@ normalisation is the identity. sentencepiece then merges, as the rank file's own
 joined piece has the highest score, that is the lowest rank, the leftmost first. A text is cut by the pattern into
 pre-tokens, and each is encoded by itself. Decoding maps ids to pieces and pieces back to bytes.
 
-A pre-token that is a token as a whole gets that token. Words recur, so a task keeps the ids of pre-tokens it has seen
-up to a fixed number; that changes no result.
+A pre-token that is a token as a whole gets that token. Words recur, so texts are first cut into words, where the pattern
+always cuts: before the last white space of a run that something follows, after it unless it is a blank, and before other
+runs. Only distinct words of some megabytes of text are cut by the pattern, and only distinct pre-tokens are encoded; a task keeps
+the ids of pre-tokens it has seen up to a fixed number. That changes no result.
 
 Defined cases: a null text is empty and has no ids; texts of any length are encoded whole; of joins with equal rank the leftmost
 comes first; a null doc_id stays null; repeated rows stay repeated; no rows give no rows; other columns are ignored.
@@ -15,19 +17,26 @@ comes first; a null doc_id stays null; repeated rows stay repeated; no rows give
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, islice, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinsework.llm.workers import tidy
+from rinsework.llm import spans
+from rinsework.llm.workers import shorten, tidy
 
 CACHED = 400_000  # pre-tokens a task remembers
+KEPT = 100_000  # pre-tokens that the next task finds
+AT_ONCE = 20_000  # pre-tokens merged by one call
+#: White space beyond ASCII in UTF-8, by all but the last byte.
+WIDE = {b"\xc2": [0x85, 0xA0], b"\xe1\x9a": [0x80], b"\xe2\x80": [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF], b"\xe2\x81": [0x9F], b"\xe3\x80": [0x80]}
 
 
 def byte_map() -> list[str]:
@@ -76,35 +85,90 @@ class ByteBPE:
         import sentencepiece
 
         self.tokens = read_ranks(path)
-        self.whole = {t: [i] for i, t in enumerate(self.tokens)}
+        self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
         # \s is written out: what counts as white space must not depend on the library
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         mapped = byte_map()
         self.to_piece = str.maketrans({chr(b): c for b, c in enumerate(mapped)})
+        self.mapped = "".join(mapped)
         self.to_byte = {c: b for b, c in enumerate(mapped)}
-        self.bytes_of = [bytes(self.to_byte[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
-        self.seen: dict[str, list[int]] = {}
+        self.bytes_of = pa.array([bytes(self.to_byte[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))], pa.large_binary())
+        self.digits_of = pa.array([b"%d " % i for i in range(len(self.tokens))], pa.large_binary())
+        self.seen: dict[bytes, bytes] = {}
 
-    def learn(self, pre_tokens: set[str]) -> None:
-        new = [w for w in pre_tokens if w not in self.seen]
+    def forget(self) -> None:
+        shorten(self.seen, KEPT)
+
+    def _known(self, pre_tokens: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each."""
+        new = [w for w in dict.fromkeys(pre_tokens) if w not in self.seen]
         if len(self.seen) + len(new) > CACHED:
             self.seen.clear()
-            new = list(pre_tokens)
-        raw = [w.encode() for w in new]
-        split = [(w, b) for w, b in zip(new, raw, strict=True) if b not in self.whole]
-        self.seen.update((w, self.whole[b]) for w, b in zip(new, raw, strict=True) if b in self.whole)
-        if split:
-            found = self.model.encode([b.decode("latin-1").translate(self.to_piece) for _, b in split], out_type=int, num_threads=1)
-            self.seen.update((w, ids) for (w, _), ids in zip(split, found, strict=True))
+            new = list(dict.fromkeys(pre_tokens))
+        self.seen.update((w, self.whole[w]) for w in new if w in self.whole)
+        split = [w for w in new if w not in self.whole]
+        for at in range(0, len(split), AT_ONCE):
+            own = split[at : at + AT_ONCE]
+            found = self.model.encode([codecs.charmap_decode(w, "strict", self.mapped)[0] for w in own], out_type=int, num_threads=1)
+            data = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            ends = accumulate((4 * len(ids) for ids in found), initial=0)
+            self.seen.update((w, data[a:b]) for w, (a, b) in zip(own, pairwise(ends), strict=True))
+        return list(map(self.seen.__getitem__, pre_tokens))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word: the pattern cuts where letters, digits and signs meet, a blank before them included; words that hold
+        anything unusual are left to the pattern itself."""
+        data, bounds = spans.flat(words)
+        odd = spans.unusual(data, bounds)
+        others = [self.find(w.decode()) for w in words.filter(pa.array(odd)).to_pylist()]
+        data, bounds = spans.flat(words.filter(pa.array(~odd)))
+        kind = spans.KIND[data]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[1:-1] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        pre_tokens, first = spans.cut(data, starts, bounds)
+        plain = spans.gather(pa.array(self._known(pre_tokens.dictionary.to_pylist()), pa.large_binary()), pre_tokens, first)
+        if not others:
+            return plain
+        found = iter(self._known([p.encode() for own in others for p in own]))
+        return spans.merged(plain, [b"".join(islice(found, len(own))) for own in others], odd)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (large_binary without nulls) one after another, and where each text's begin, with the end."""
+        data, bounds = spans.flat(texts)
+        words, first = spans.cut(data, word_starts(data, bounds), bounds)
+        ids, ends = spans.flat(spans.gather(self._words(words.dictionary), words, first))
+        return ids.view("<u4"), ends // 4
 
     def encode(self, text: str) -> list[int]:
-        words = self.find(text)
-        self.learn(set(words))
-        return list(chain.from_iterable(map(self.seen.__getitem__, words)))
+        return self.encode_all(pa.array([text.encode()], pa.large_binary()))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return spans.flat(self.bytes_of.take(pa.array(ids, pa.int64())))[0].tobytes()
+
+
+def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Flags, one more than bytes, of places where the pattern always cuts."""
+    starts = np.zeros(len(data) + 1, bool)
+    if not len(data):
+        return starts
+    space = spans.SPACE[data]
+    for lead, ends in WIDE.items():
+        at = np.flatnonzero(data == lead[0])
+        for place, byte in enumerate(lead[1:], 1):
+            at = at[data[at + place] == byte]
+        at = at[np.isin(data[at + len(lead)], ends)]
+        for place in range(len(lead) + 1):
+            space[at + place] = True
+    starts[1:-1] = space[1:] & ~space[:-1]
+    last = np.flatnonzero(space[:-1] & ~space[1:])  # the last byte of a run that something follows, though not in another text
+    inner = np.zeros(len(data) + 1, bool)
+    inner[bounds] = True
+    last = last[~inner[last + 1]]
+    starts[last[data[last] != 0x20] + 1] = True
+    wide = data[last] >= 0x80
+    starts[last - wide * np.where(data[last - 1] == 0xC2, 1, 2)] = True
+    return starts
 
 
 @lru_cache(2)
@@ -117,16 +181,20 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
-        name = [str(i) for i in range(len(bpe.tokens))]
         for b in batches:
-            rows = []
-            for text in b.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                rows.append((len(ids), hashlib.sha256(" ".join(map(name.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            own = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            counts, rows = [], []
+            for texts in spans.slices(b.column(1)):
+                ids, ends = bpe.encode_all(texts)
+                counts.extend(np.diff(ends).tolist())
+                chosen = pa.array(ids)
+                decimal, decoded = (spans.flat(table.take(chosen)) for table in (bpe.digits_of, bpe.bytes_of))
+                for at, to in pairwise(ends.tolist()):
+                    # a blank ends each number; the last one doesn't count
+                    rows.append(tuple(hashlib.sha256(data[cuts[at] : max(cuts[at], cuts[to] - less)]).hexdigest() for (data, cuts), less in ((decimal, 1), (decoded, 0))))
+            own = [pa.array(counts, pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in range(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), *own], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _loaded(path, pattern).seen.clear()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _loaded(path, pattern).forget()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -135,6 +203,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t.as_py() or "") for t in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _loaded(path, pattern).seen.clear()), "doc_id long, ids array<int>")
+            at = 0
+            for texts in spans.slices(b.column(1)):
+                ids, ends = bpe.encode_all(texts)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), lists], ["doc_id", "ids"])
+                at += len(texts)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _loaded(path, pattern).forget()), "doc_id long, ids array<int>")
