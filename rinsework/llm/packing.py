@@ -16,10 +16,13 @@ doc_id stays null; no rows give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -27,77 +30,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.llm import spans
+from rinsework.llm.bpe import byte_map
 from rinsework.llm.workers import shorten, tidy
 from rinsework.session import staged
 
-CACHED = 500_000  # words a task remembers
-KEPT = 100_000  # words that the next task finds
+CACHED = 500_000  # parts of words, and unusual words, a task remembers
+KEPT = 100_000  # of each, those that the next task finds
+AT_ONCE = 50_000  # of each, those encoded by one call
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-#: Words of these characters fall into letters, single digits and runs of signs whatever their case; an apostrophe could start an ending.
-PLAIN = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
-PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-
-
 class WordTokens:
     """A tokenizer whose pre-tokens never hold ASCII white space: words between it are encoded by themselves, and once.
 
-    New words are cut into pre-tokens in lower case, as the tokenizer does, and those that are new too are encoded by one call for
-    all; each ends with a token that is marked as a word's end, which tells them apart. Words that hold anything unusual go
-    to the tokenizer whole."""
+    Only distinct words of some megabytes of text are looked at. Words without an apostrophe, which could start an ending, and of ASCII
+    and U+00C0 to U+00FF alone fall into letters, single digits and runs of signs whatever their case. They are cut into those in lower case,
+    as the tokenizer does; parts that are new are encoded many by one call, by the tokenizer's own merges, with its byte-level
+    characters and without its normaliser and pattern, which have nothing left to do. Each ends with a token that is marked as a word's end,
+    which tells them apart. Words that hold anything unusual go to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.mapped = "".join("\n" if b == 10 else c for b, c in enumerate(byte_map()))
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.seen: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
+        self.opens = np.zeros(256, bool)
+        self.opens[[t[0] for t in special]] = True
+        self.seen: dict[bytes, bytes] = {}  # unusual words
+        self.parts: dict[bytes, bytes] = {}
 
     def forget(self) -> None:
         shorten(self.seen, KEPT)
         shorten(self.parts, KEPT)
 
-    def _learn_parts(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+    def _known(self, table: dict[bytes, bytes], keys: list[bytes], learn: Callable[[list[bytes]], None]) -> list[bytes]:
+        new = [k for k in dict.fromkeys(keys) if k not in table]
+        if new and len(table) + len(new) > CACHED:
+            table.clear()
+            new = list(dict.fromkeys(keys))
+        for at in range(0, len(new), AT_ONCE):
+            learn(new[at : at + AT_ONCE])
+        return list(map(table.__getitem__, keys))
+
+    def _learn_parts(self, new: list[bytes]) -> None:
+        self.parts.update((p, b"") for p in new if p.isspace())
+        new = [p for p in new if not p.isspace()]
+        ids = np.array(self.merges.encode_batch_fast([codecs.charmap_decode(b"\n".join(new), "strict", self.mapped)[0]], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.is_end[ids]) + 1
         if len(ends) != len(new):
             raise RuntimeError("the tokenizer cuts pre-tokens elsewhere")
-        raw, at = ids.tobytes(), 0
-        for part, end in zip(new, (4 * ends).tolist(), strict=True):
-            self.parts[part] = raw[at:end]
-            at = end
-
-    def _learn(self, new: list[bytes]) -> None:
-        cut, whole = [], []
-        for w in new:
-            text = w.decode()
-            (cut if PLAIN.fullmatch(text) and not ("<" in text and self.special.search(text)) else whole).append((w, text))
-        split = [(w, PARTS.findall(text.lower())) for w, text in cut]
-        if len(self.parts) > CACHED:
-            self.parts.clear()
-        if unknown := list({p for _, own in split for p in own if p not in self.parts}):
-            self._learn_parts(unknown)
-        for w, own in split:
-            self.seen[w] = self.parts[own[0]] if len(own) == 1 else b"".join(map(self.parts.__getitem__, own))
-        if whole:
-            for (w, _), e in zip(whole, self.tokenizer.encode_batch_fast([t for _, t in whole], add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+        raw = ids.tobytes()
+        self.parts.update((p, raw[a:b]) for p, (a, b) in zip(new, pairwise([0, *(4 * ends).tolist()]), strict=True))
+
+    def _learn_whole(self, new: list[bytes]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            self.seen[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word; white space before it has none."""
+        data, bounds = spans.flat(words)
+        odd = spans.unusual(data, bounds)
+        for i in np.flatnonzero(spans.unusual(data, bounds, self.opens)).tolist():
+            odd[i] |= self.special.search(data[bounds[i] : bounds[i + 1]].tobytes()) is not None
+        others = self._known(self.seen, [w.strip() for w in words.filter(pa.array(odd)).to_pylist()], self._learn_whole)
+        data, bounds = spans.flat(words.filter(pa.array(~odd)))
+        data = np.frombuffer(data.tobytes().decode().lower().encode(), np.uint8)  # as long as before, in these characters
+        kind = spans.KIND[data]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        parts, first = spans.cut(data, starts, bounds)
+        ids = self._known(self.parts, parts.dictionary.to_pylist(), self._learn_parts)
+        return spans.merged(spans.gather(pa.array(ids, pa.large_binary()), parts, first), others, odd)
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Little-endian unsigned 32-bit ids of each text (large_binary without nulls)."""
+        data, bounds = spans.flat(texts)
+        space = spans.SPACE[data]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[1:-1] = space[1:] & ~space[:-1]
+        words, first = spans.cut(data, starts, bounds)
+        return spans.gather(self._words(words.dictionary), words, first)
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.encode().split()
-        new = list(set(words).difference(self.seen))
-        if new:
-            if len(self.seen) + len(new) > CACHED:
-                self.seen.clear()
-                new = list(set(words))
-            self._learn(new)
-        return b"".join(map(self.seen.__getitem__, words))
+        return self.encode_all(pa.array([text.encode()], pa.large_binary()))[0].as_py()
 
 
 @lru_cache(2)
@@ -113,11 +135,12 @@ def cut(docs: DataFrame, path: str, end_id: int = 2, room: int = 4096) -> DataFr
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _loaded(path).encode
+        words = _loaded(path)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            encoded = (ids for texts in spans.slices(b.column(1)) for ids in words.encode_all(texts))
+            for doc_id, own_ids in zip(b.column(0).to_pylist(), encoded, strict=True):
+                ids = own_ids.as_py() + end
                 for at in range(0, len(ids), 4 * room):
                     own = ids[at : at + 4 * room]
                     rows.append((doc_id, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4))
