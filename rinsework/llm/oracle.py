@@ -96,5 +96,42 @@ from found where place = 1
 """
 
 
+OP13 = r"""
+with docs as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+places as (select rid, lang, source, unnest(terms) as term from docs),
+kept as (select lang, term from places group by lang, term having count(distinct rid) >= 3),
+sizes as (select lang, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as n from places semi join kept using (lang, term) group by lang, source, term),
+groups as (select distinct lang, source from docs),
+sums as (select g.lang, g.source, coalesce(sum(n), 0) as n from groups g left join counts c on c.lang = g.lang and c.source = g.source group by all),
+shares as (
+  select s.lang, s.source, k.term, coalesce(c.n, 0) as n, (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (s.n + z.v))::bigint as p
+  from sums s join kept k on k.lang = s.lang join sizes z on z.lang = s.lang
+  left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+whole as (
+  select k.lang, k.term, (1 + (1000000000::hugeint * (sum(c.n) + 1)) // (any_value(t.n) + any_value(z.v)))::bigint as q
+  from kept k join counts c on c.lang = k.lang and c.term = k.term join (select lang, sum(n) as n from sums group by lang) t on t.lang = k.lang
+  join sizes z on z.lang = k.lang group by all),
+met as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(m.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join met m on m.lang = a.lang and m.source = a.source and m.item = b.source),
+terms as (
+  select s.lang, s.source, s.term as item, ((p - q) * (p - q) // q)::bigint as value
+  from shares s join whole w on w.lang = s.lang and w.term = s.term where n > 0 and p > q),
+ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select * from (select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from terms) where rank <= 200)
+select lang, source, part, item, value, rank::int as rank from ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op2_voronoi_knn": OP2, "op7_quality_rules": OP7}
+    return {"op1_chat_formatting": OP1, "op2_voronoi_knn": OP2, "op7_quality_rules": OP7, "op13_source_divergence": OP13}

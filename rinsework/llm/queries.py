@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinsework.llm import bpe, chat, classifier, html_text, knn, langid, packing, quality_rules, repair, secrets, simhash
+from rinsework.llm import bpe, chat, classifier, divergence, html_text, knn, langid, packing, quality_rules, repair, secrets, simhash
 from rinsework.session import table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -69,5 +69,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.damage(rows), rows)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
