@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinsework.llm import bpe, chat, classifier, divergence, html_text, knn, langid, packing, quality_rules, repair, secrets, simhash
+from rinsework.llm import bpe, chat, classifier, divergence, html_text, knn, langid, packing, quality_rules, repair, secrets, simhash, substrings
 from rinsework.session import table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -64,6 +64,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair.digest(repair.damage(rows), rows)
