@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, window: int) -> DataFrame:
 def firsts(sketched: DataFrame) -> DataFrame:
     """doc_id, text_key, shared: the least id of each text, with its anchors that documents of other ids have too, or null."""
     places = sketched.select("id", "doc_id", F.explode("anchors").alias("h"))
-    shared = places.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
+    shared = staged(places.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h"), "shared")
     marks = places.select("id", "h").join(shared, "h").groupBy("id").agg(F.collect_list("h").alias("shared"))
     reps = sketched.groupBy("text_key").agg(F.min(F.struct("doc_id", "id")).alias("r")).select("text_key", "r.doc_id", "r.id")
     return staged(reps.join(marks, "id", "left").drop("id"), "firsts")
