@@ -6,12 +6,13 @@ A passage is `window` words or more; every window that occurs in documents of di
 * Suffixes that can't be in a deep node stay out of the trees. Of each window the k words with the least hash are its anchor, so equal
   windows have equal anchors wherever they stand; a window is a candidate if its anchor occurs in documents of different ids. Anchors are about
   a fifth of the words, and only their hashes are shuffled. Equal hashes of other words only make more candidates.
-* Prefixes partition the suffixes: all suffixes with a common prefix belong to one group, several prefixes to a group. Groups are
-  counted for prefixes of 1, 2, 4, 8 ... words; where a group would hold more suffixes than `most`, its prefixes are extended to the next length.
+* Prefixes partition the suffixes: a window goes by the words from its anchor on, so equal windows go together, and neighbours with one anchor
+  travel as one span of words. All with a common prefix belong to one group, several prefixes to a group. Groups are counted for prefixes of
+  1, 2, 4 and k words; where a group would hold more suffixes than `most`, its prefixes are extended to the next length.
 * A group is one task's: its suffixes are sorted, the common prefixes of neighbours give the tree's internal nodes, and a node as deep as a window
   whose leaves come from several documents is a repeat. Each leaf but those of the least id is removed.
-* A prefix as long as a window is a node by itself. If it is still over `most` it needs no tree: its least document comes from an aggregation
-  that is combined before the shuffle, and its places from a join that the optimiser splits.
+* Where a group is over `most` even so, each window is a prefix and a node by itself, without a tree: its least document comes from an
+  aggregation that is combined before the shuffle, and its places from a join that the optimiser splits.
 
 Equal whole texts are told by a 128-bit digest: only the least id of each text goes into the trees, the others are removed whole.
 Whatever is removed touching each other in a document is the maximal repeat.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.llm import spans
-from rinsework.llm.workers import tidy
+from rinsework.llm.workers import drop_shuffles, tidy
 from rinsework.session import staged
 
 ANCHOR = 6  # words
 GROUPS = 1 << 20
 AT_ONCE = 1 << 20  # bytes of passages whose suffixes are made at once
-HELD = 400_000  # suffixes a task gathers before it writes blocks
+HELD = 200_000  # spans a task gathers before it writes blocks
 LOOKED = "doc_id long, n_words long, n_removed long, kept string, text string, starts array<int>, passages array<string>"
-PLACES = "id long, starts array<int>"
+PLACES = "id long, start int"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -131,6 +133,7 @@ def firsts(sketched: DataFrame) -> DataFrame:
     """doc_id, text_key, shared: the least id of each text, with its anchors that documents of other ids have too, or null."""
     places = sketched.select("id", "doc_id", F.explode("anchors").alias("h"))
     shared = staged(places.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h"), "shared")
+    drop_shuffles(sketched.sparkSession)
     marks = places.select("id", "h").join(shared, "h").groupBy("id").agg(F.collect_list("h").alias("shared"))
     reps = sketched.groupBy("text_key").agg(F.min(F.struct("doc_id", "id")).alias("r")).select("text_key", "r.doc_id", "r.id")
     return staged(reps.join(marks, "id", "left").drop("id"), "firsts")
@@ -142,6 +145,17 @@ def _runs(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[np.concatenate([[0], cuts])], begin[np.concatenate([cuts - 1, [len(begin) - 1]])]
 
 
+def _passages(words: Words, begin: np.ndarray, hashes: np.ndarray, shared: pa.Array, first: int, window: int) -> tuple[list[int], list[str]]:
+    """Where runs of candidates begin in their document (whose first word is `first`), and their words, joined by one space."""
+    begin = begin[np.isin(hashes, shared.to_numpy().view(np.uint64))]
+    if not len(begin):
+        return [], []
+    s, e = _runs(begin)
+    raw, a, z = words.data, words.begin, words.end
+    texts = [b" ".join(raw[a[i] : z[j + window - 1]].tobytes().split()).decode() for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+    return (s - first).tolist(), texts
+
+
 def _end(words: list[bytes], digest: bool) -> str:
     kept = b" ".join(words)
     return hashlib.sha256(kept).hexdigest() if digest else kept.decode()
@@ -152,23 +166,25 @@ def look(docs: DataFrame, first: DataFrame, window: int, digest: bool) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text, is_first, shared in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                words = text.encode().split()
-                n = len(words)
-                starts: list[int] = []
-                passages: list[str] = []
-                if doc_id is not None and is_first is None and n >= window:
-                    rows.append((doc_id, n, n, _end([], digest), None, None, None))
-                    continue
-                if shared.is_valid and n >= window:
-                    begin, _, hashes = anchors(Words(pa.array([text.encode()], pa.large_binary())), window)
-                    begin = begin[np.isin(hashes, shared.values.to_numpy().view(np.uint64))]
-                    if len(begin):
-                        for s, e in zip(*(x.tolist() for x in _runs(begin)), strict=True):
-                            starts.append(s)
-                            passages.append(b" ".join(words[s : e + window]).decode())
-                rows.append((doc_id, n, None, None, text, starts, passages) if starts else (doc_id, n, 0, _end(words, digest), None, None, None))
+            rows, at = [], 0
+            for texts in spans.slices(b.column(1)):
+                ids, is_first, shared = (b.column(i).slice(at, len(texts)) for i in (0, 2, 3))
+                at += len(texts)
+                asked = np.flatnonzero(shared.is_valid().to_numpy(zero_copy_only=False))
+                words = Words(texts.take(pa.array(asked)))
+                begin, _, hashes = anchors(words, window)
+                ends = np.searchsorted(begin, words.first)
+                passages = {i: _passages(words, begin[ends[k] : ends[k + 1]], hashes[ends[k] : ends[k + 1]], shared[i].values, int(words.first[k]), window) for k, i in enumerate(asked.tolist())}
+                for i, (doc_id, text, first_one) in enumerate(zip(ids.to_pylist(), texts.to_pylist(), is_first.to_pylist(), strict=True)):
+                    starts, found = passages.get(i, ([], []))
+                    own = [] if starts else text.split()
+                    n = int(np.diff(words.first[np.searchsorted(asked, i) :][:2])[0]) if starts else len(own)
+                    if starts:
+                        rows.append((doc_id, n, None, None, text.decode(), starts, found))
+                    elif doc_id is not None and first_one is None and n >= window:
+                        rows.append((doc_id, n, n, _end([], digest), None, None, None))
+                    else:
+                        rows.append((doc_id, n, 0, _end(own, digest), None, None, None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.split()[0] for f in LOOKED.split(", ")])
 
@@ -178,25 +194,51 @@ def look(docs: DataFrame, first: DataFrame, window: int, digest: bool) -> DataFr
 
 
 def lengths(window: int) -> list[int]:
-    return [*(1 << i for i in range(window.bit_length()) if 1 << i < window), window]
+    k = min(ANCHOR, window)
+    return [*(1 << i for i in range(k.bit_length()) if 1 << i < k), k]
 
 
-def _suffixes(b: pa.RecordBatch, window: int, groups: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray]]:
-    """(doc_id, id, start, words, place, groups by length of prefix) of every window of the passages, some at a time. b: doc_id, id, starts, passages."""
+@dataclass
+class Spans:
+    """Runs of windows that share an anchor. place: a run's first word in words; many: its number of windows; of: groups by length of prefix."""
+
+    doc: np.ndarray
+    id: np.ndarray
+    start: np.ndarray
+    words: Words
+    place: np.ndarray
+    many: np.ndarray
+    of: np.ndarray
+
+    def texts(self, rows: np.ndarray, window: int) -> list[bytes]:
+        return _texts(self.words, self.place[rows], self.many[rows] + window - 1)
+
+
+def _spans(b: pa.RecordBatch, window: int, groups: int) -> Iterator[Spans]:
+    """The windows of the passages, some at a time. b: doc_id, id, starts, passages."""
     per = b.column(3).value_lengths().to_numpy()
     doc, id_ = (np.repeat(b.column(i).to_numpy(), per) for i in (0, 1))
     start, at = b.column(2).flatten().to_numpy(), 0
     for texts in spans.slices(b.column(3).flatten(), AT_ONCE):
         words = Words(texts)
-        inside = np.arange(len(words.hashes)) - np.repeat(words.first[:-1], np.diff(words.first))
-        left = np.repeat(np.diff(words.first), np.diff(words.first)) - inside
-        place = np.flatnonzero(left >= window)
-        own = np.searchsorted(words.first, place, "right") - 1 + at
-        of = np.stack([run_hashes(words.hashes, n)[place] % np.uint64(groups) for n in lengths(window)]).astype(np.int64)
-        yield doc[own], id_[own], start[own] + inside[place], words, place, of
+        begin, anchor, _ = anchors(words, window)
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(begin) != 1)]))
+        place, many, anchor = begin[first], np.diff(np.concatenate([first, [len(begin)]])), anchor[first]
+        own = np.searchsorted(words.first, place, "right") - 1
+        of = np.stack([run_hashes(words.hashes, n)[anchor] % np.uint64(groups) for n in lengths(window)]).astype(np.int64)
+        yield Spans(doc[own + at], id_[own + at], (start[own + at] + place - words.first[own]).astype(np.int32), words, place, many, of)
         at += len(texts)
 
 
+def _windows(texts: pa.Array, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(span, start, text) of each window in spans of words that are joined by one space."""
+    words = Words(texts)
+    many = np.diff(words.first) - (window - 1)
+    span = np.repeat(np.arange(len(texts)), many)
+    inside = np.arange(len(span)) - np.repeat(np.cumsum(many) - many, many)
+    return span, start[span] + inside.astype(np.int32), _texts(words, words.first[span] + inside, window)
+
+
 def overfull(passages: DataFrame, window: int, groups: int, most: int) -> np.ndarray:
     """Which groups of each length of prefix would hold more than `most` suffixes."""
     size = len(lengths(window))
@@ -204,9 +246,9 @@ def overfull(passages: DataFrame, window: int, groups: int, most: int) -> np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size * groups, np.int64)
         for b in batches:
-            for *_, of in _suffixes(b, window, groups):
+            for s in _spans(b, window, groups):
                 for level in range(size):
-                    counts[level * groups : (level + 1) * groups] += np.bincount(of[level], minlength=groups)
+                    counts[level * groups : (level + 1) * groups] += np.bincount(s.of[level], s.many, groups).astype(np.int64)
         found = np.flatnonzero(counts)
         for at in range(0, len(found), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 10_000]), pa.array(counts[found[at : at + 10_000]])], ["g", "n"])
@@ -223,13 +265,13 @@ def _chosen(of: np.ndarray, full: np.ndarray) -> np.ndarray:
     return np.where(over.all(0), len(of), over.argmin(0))
 
 
-def _texts(words: Words, place: np.ndarray, window: int) -> list[bytes]:
+def _texts(words: Words, place: np.ndarray, many: np.ndarray | int) -> list[bytes]:
     raw = words.data.tobytes()
-    return [raw[a:b] for a, b in zip(words.begin[place].tolist(), words.end[place + window - 1].tolist(), strict=True)]
+    return [raw[a:b] for a, b in zip(words.begin[place].tolist(), words.end[place + many - 1].tolist(), strict=True)]
 
 
 def grouped(passages: DataFrame, window: int, full: np.ndarray) -> DataFrame:
-    """g, block: suffixes of a group, compressed."""
+    """g, block: spans of a group, compressed."""
     groups = full.shape[1]
     shipped = passages.sparkSession.sparkContext.broadcast(np.packbits(full))
 
@@ -238,8 +280,9 @@ def grouped(passages: DataFrame, window: int, full: np.ndarray) -> DataFrame:
         kept: list[pa.Table] = []
 
         def blocks() -> Iterator[pa.RecordBatch]:
-            whole = pa.concat_tables(kept).sort_by([("g", "ascending"), ("text", "ascending")]).combine_chunks()
+            whole = pa.concat_tables(kept).combine_chunks()
             kept.clear()
+            whole = whole.take(pa.array(np.argsort(whole["g"].to_numpy(), kind="stable")))  # places stay in order, which compresses well
             g = whole["g"].to_numpy()
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             rest = whole.drop_columns("g")
@@ -247,12 +290,12 @@ def grouped(passages: DataFrame, window: int, full: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(g[a])], pa.int64()), pa.array([_pack(rest.slice(a, z - a))], pa.binary())], ["g", "block"])
 
         for b in batches:
-            for doc, id_, start, words, place, of in _suffixes(b, window, groups):
-                level = _chosen(of, own_full)
-                deep = np.flatnonzero(level < len(of))
+            for s in _spans(b, window, groups):
+                level = _chosen(s.of, own_full)
+                deep = np.flatnonzero(level < len(s.of))
                 if len(deep):
-                    g = level[deep] * groups + of[level[deep], deep]
-                    kept.append(pa.table({"g": g, "doc": doc[deep], "id": id_[deep], "start": start[deep].astype(np.int32), "text": pa.array(_texts(words, place[deep], window), pa.large_binary())}))
+                    g = level[deep] * groups + s.of[level[deep], deep]
+                    kept.append(pa.table({"g": g, "doc": s.doc[deep], "id": s.id[deep], "start": s.start[deep], "text": pa.array(s.texts(deep, window), pa.large_binary())}))
                 if sum(t.num_rows for t in kept) > HELD:
                     yield from blocks()
         if kept:
@@ -322,17 +365,10 @@ def in_trees(blocks: DataFrame, window: int) -> DataFrame:
             yield from one(kept)
 
     def one(kept: list[bytes]) -> Iterator[pa.RecordBatch]:
-        t = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in kept]).combine_chunks()
-        text = t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"]
-        gone = np.flatnonzero(repeated(t["doc"].to_numpy(), text, window))
-        id_, start = t["id"].to_numpy()[gone], t["start"].to_numpy()[gone]
-        order = np.lexsort((start, id_))
-        id_, start = id_[order], start[order]
-        first = np.flatnonzero(np.concatenate([[True], id_[1:] != id_[:-1]])) if len(id_) else np.zeros(0, np.int64)
-        ends = np.concatenate([first, [len(id_)]]).astype(np.int32)
-        for at in range(0, len(first), 10_000):
-            part = ends[at : at + 10_001]
-            yield pa.RecordBatch.from_arrays([pa.array(id_[first[at : at + 10_000]]), pa.ListArray.from_arrays(pa.array(part - part[0]), pa.array(start[part[0] : part[-1]].astype(np.int32)))], ["id", "starts"])
+        t = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in kept])
+        span, start, texts = _windows(t["text"].combine_chunks(), t["start"].to_numpy(), window)
+        gone = np.flatnonzero(repeated(t["doc"].to_numpy()[span], pa.array(texts, pa.large_binary()), window))
+        yield pa.RecordBatch.from_arrays([pa.array(t["id"].to_numpy()[span[gone]]), pa.array(start[gone])], ["id", "start"])
 
     return blocks.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), PLACES)
 
@@ -346,30 +382,35 @@ def by_themselves(passages: DataFrame, window: int, full: np.ndarray) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_full = np.unpackbits(shipped.value, count=full_size).reshape(-1, groups).astype(bool)
         for b in batches:
-            for doc, id_, start, words, place, of in _suffixes(b, window, groups):
-                hot = np.flatnonzero(_chosen(of, own_full) == len(of))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hot]), pa.array(id_[hot]), pa.array(start[hot].astype(np.int32)), pa.array(_texts(words, place[hot], window), pa.binary())], ["doc_id", "id", "start", "text"])
+            for s in _spans(b, window, groups):
+                hot = np.flatnonzero(_chosen(s.of, own_full) == len(s.of))
+                span, start, texts = _windows(pa.array(s.texts(hot, window), pa.large_binary()), s.start[hot], window)
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc[hot][span]), pa.array(s.id[hot][span]), pa.array(start), pa.array(texts, pa.binary())], ["doc_id", "id", "start", "text"])
 
     rows = staged(passages.mapInArrow(tidy(run), "doc_id long, id long, start int, text binary"), "hot")
     least = staged(rows.groupBy("text").agg(F.min("doc_id").alias("least")), "least")
-    return rows.join(least, "text").filter("doc_id > least").groupBy("id").agg(F.collect_list("start").alias("starts"))
+    return rows.join(least, "text").filter("doc_id > least").select("id", "start")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False, most: int = 150_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False, most: int = 300_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words that stay, joined by one space, or with `digest` the SHA-256 of that."""
     if window < 1:
         raise ValueError("a window has a word at least")
-    looked = look(docs, firsts(sketches(docs, window)), window, digest)
+    first = firsts(sketches(docs, window))
+    drop_shuffles(docs.sparkSession)
+    looked = look(docs, first, window, digest)
     open_ = looked.filter("starts is not null")
     passages = open_.select("doc_id", "id", "starts", "passages")
     words = F.aggregate("passages", F.lit(0).cast("long"), lambda acc, p: acc + F.size(F.split(p, " ")) - (window - 1))
     n = passages.agg(F.sum(words)).first()[0] or 0
-    groups = min(GROUPS, max(1, -(-4 * n // most)))
+    groups = min(GROUPS, max(1, -(-2 * n // most)))
     full = overfull(passages, window, groups, most)
+    drop_shuffles(docs.sparkSession)
     places = in_trees(grouped(passages, window, full), window)
     if full[-1].any():
         places = places.unionByName(by_themselves(passages, window, full))
-    gone = staged(places.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("gone")), "gone")
+    gone = staged(places.groupBy("id").agg(F.collect_list("start").alias("gone")), "gone")
+    drop_shuffles(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

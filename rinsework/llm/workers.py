@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def release() -> None:
@@ -27,6 +28,13 @@ def shorten(table: dict, keep: int) -> None:
         del table[key]
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffles behind tables that are written go from the executors' disks now. Spark removes them when the driver's JVM finds that nothing
+    refers to them, which for a driver with little to do may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
     """run, with forget() and release() once its task ends, however it ends."""
 
