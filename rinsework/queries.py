@@ -15,8 +15,8 @@ from rinsework.functions import pii, text
 from rinsework.operators import actions, charts, checks, dependencies, governance, loss, normalize, profile, relations, semantics
 from rinsework.plans import provenance
 from rinsework.plans.ir import Step
-from rinsework.session import prepare, shared_dir, table
-from rinsework.sources import formats, shield
+from rinsework.session import prepare, shared_dir, staged, table
+from rinsework.sources import encodings, formats, shield
 from rinsework.sources.versions import VersionStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,6 +296,33 @@ def shield_log(spark, sf_dir):
     return shield.shield(spark, at).quarantined.select(F.col("line_no").cast("long").alias("line_no"), "reason", "data")
 
 
+_FOLDERS = """select source, doc_id, regexp_replace(concat(cast(doc_id as string), '|', coalesce(text, '')), '[\\r\\n]', ' '{g}) as value,
+  cast(substr(source, 4) as int) % 3 as kind from {documents}"""
+
+
+@query(
+    f"""with lines as (
+  select *, kind > 0 and (kind = 1 or doc_id % 2 = 0) and regexp_full_match(value, '[\\x00-\\xFF]*') as narrow, regexp_matches(value, '[^\\x00-\\x7F]') as beyond
+  from ({_FOLDERS.format(g=", 'g'", documents="documents")}) t),
+told as (select source, count_if(narrow and beyond) as bad, count_if(not narrow and beyond) as good from lines group by source)
+select source, doc_id, length(value)::bigint as chars, md5(value) as line_md5, case when bad > 0 then 'cp1252' else 'utf-8' end as encoding,
+  bad > 0 and good * 10 >= bad + good as mixed, false as misfit from lines join told using (source)"""
+)
+def encoding_by_file(spark, sf_dir):
+    """Whole texts written to a folder for each source, in UTF-8, in a Latin encoding, or in both by turns, and read back."""
+    lines = prepare(spark).sql(_FOLDERS.format(g="", documents="{documents}").replace("\\r\\n", "\\\\r\\\\n"), documents=table(spark, sf_dir, "documents"))
+    narrow = (F.col("kind") > 0) & ((F.col("kind") == 1) | (F.col("doc_id") % 2 == 0)) & ~F.col("value").rlike(r"[^\x{0}-\x{FF}]")
+    raw = F.when(narrow, F.encode(F.when(narrow, F.col("value")), "ISO-8859-1").cast("string")).otherwise(F.col("value"))
+    at = _at(spark, "by_source")
+    lines.select("source", raw.alias("value")).write.partitionBy("source").text(at)
+    raw_lines = encodings.lines_of(spark, at)
+    told = staged(encodings.encodings(raw_lines), "encodings")
+    by_source = told.withColumn("source", F.regexp_extract("file", "source=([^/]*)", 1)).groupBy("source").agg(F.max(F.struct(F.col("encoding") != "utf-8", "encoding")).alias("e"), F.sum("bad").alias("bad"), F.sum("beyond").alias("beyond"))
+    lines = encodings.decoded(raw_lines, told).withColumn("source", F.regexp_extract("file", "source=([^/]*)", 1)).join(by_source, "source")
+    mixed = (F.col("bad") > 0) & (F.col("beyond") * 10 >= F.col("bad") + F.col("beyond"))
+    return lines.select("source", F.regexp_extract("value", r"^(\d+)\|", 1).cast("long").alias("doc_id"), F.length("value").cast("long").alias("chars"), F.md5("value").alias("line_md5"), F.col("e.encoding").alias("encoding"), mixed.alias("mixed"), "misfit")
+
+
 @query("select c_custkey, c_name, c_acctbal, 2 as newest, 3 as versions from customer")
 def version_read(spark, sf_dir):
     """The first version, read back after another commit and a restore."""

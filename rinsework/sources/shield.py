@@ -1,24 +1,21 @@
 """The shield: what raw lines must pass before they are parsed. Each line is classified by expressions over itself and three
-facts about the file (encoding, delimiter, expected count) that come from its first lines; valid and quarantined lines are
+facts: the encoding of each file, from all of its lines, and the delimiter and the expected count, from the first ones; valid and quarantined lines are
 filters of one classified DataFrame."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rinsework.session import staged
+from rinsework.sources.encodings import read_lines
 
 MAX_BYTES = 500 * 2**20
 DELIMITERS = [",", "\t", ";", "|"]
-#: One-byte encodings of Latin letters can't be told apart by a few accents: the usual one stands for all.
-LATIN = re.compile(r"latin|cp(037|125[02478]|437|500|775|85\d|86[0135]|1026|1140|273)$|iso8859_(1|2|3|4|9|10|13|14|15|16)$|mac_(roman|latin2|turkish|iceland)|hp_roman8")
 QUOTED_FIELD = r'"(?:[^"]|"")*"'
 
 
@@ -83,23 +80,6 @@ def first_bytes(spark: SparkSession, path: str, n: int = 65_536) -> bytes:
         stream.close()
 
 
-def detect_encoding(sample: bytes) -> str:
-    sample = sample.replace(b"\x00", b"")
-    for cut in range(min(4, len(sample)) + 1):  # the sample may end within a character
-        try:
-            sample[: len(sample) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    try:
-        import charset_normalizer
-    except ImportError:
-        return "latin-1"
-    best = charset_normalizer.from_bytes(sample).best()
-    found = best.encoding if best and best.encoding else "utf-8"
-    return "cp1252" if LATIN.match(found) else found
-
-
 def detect_delimiter(lines: list[str]) -> str:
     """The delimiter with the highest mean count for its variance over the first lines."""
     lines = [x for x in lines if x.strip()][:30]
@@ -141,7 +121,7 @@ def delimiters(line: Column, delimiter: str, quotes: bool = True) -> Column:
 
 
 def reason(n: Column, expected: Column, first: Column) -> Column:
-    """Why a line is quarantined, or null."""
+    """Why a line of text is quarantined, or null."""
     return (
         F.when(expected.isNotNull() & (n > F.greatest(3 * expected, expected + 15)), "delimiter_bomb")
         .when(~first & expected.isNotNull() & (F.abs(n - expected) >= 1), "ragged_row")
@@ -154,13 +134,20 @@ def classify(lines: DataFrame, facts: Facts, quotes: bool = True) -> DataFrame:
     clean, rest = mend(F.translate("value", "\u0000", "")), [c for c in lines.columns if c != "value"]
     out = lines.select(*rest, F.regexp_replace(clean, r"\r$", "").alias("line"), F.contains("value", F.lit("\u0000")).alias("had_null")).filter(F.trim("line") != "")
     n = delimiters(F.col("line"), facts.delimiter, quotes)
-    return out.withColumn("n", n).withColumn("reason", reason(F.col("n"), F.lit(facts.expected).cast("int"), F.col("line") == F.lit(facts.header)))
+    return _unreadable(out.withColumn("n", n).withColumn("reason", reason(F.col("n"), F.lit(facts.expected).cast("int"), F.col("line") == F.lit(facts.header))))
+
+
+def _unreadable(classified: DataFrame) -> DataFrame:
+    """A line that its file's encoding can't read comes first, whatever its fields. misfit: from read_lines(), if the lines have it."""
+    if "misfit" not in classified.columns:
+        return classified
+    return classified.withColumn("reason", F.when(F.col("misfit"), "unreadable").otherwise(F.col("reason"))).drop("misfit")
 
 
 def classify_json(lines: DataFrame) -> DataFrame:
     """The same for lines that must be JSON each."""
     out = lines.select(*(c for c in lines.columns if c != "value"), F.trim(F.translate("value", "\u0000", "")).alias("line"), F.contains("value", F.lit("\u0000")).alias("had_null")).filter("line <> ''")
-    return out.withColumn("n", F.lit(0)).withColumn("reason", F.when(F.try_parse_json("line").isNull(), "invalid_json"))
+    return out.withColumn("n", F.lit(0)).withColumn("reason", F.when(F.try_parse_json("line").isNull(), "invalid_json")).transform(_unreadable)
 
 
 def numbered(staged_lines: DataFrame) -> DataFrame:
@@ -172,26 +159,9 @@ def numbered(staged_lines: DataFrame) -> DataFrame:
     return at.join(F.broadcast(before), "_p").withColumn("line_no", F.col("_id") - F.col("first") + F.col("_before") + 1).drop("_p", "first", "_before")
 
 
-def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines of files that aren't UTF-8; each file is one task's."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content, path in zip(b["content"], b["path"], strict=True):
-                lines = bytes(content).decode(encoding, "replace").split("\n")
-                for at in range(0, len(lines), 10_000):
-                    yield pd.DataFrame({"value": lines[at : at + 10_000], "file": path})
-
-    return spark.read.format("binaryFile").load(path).select("content", "path").mapInPandas(run, "value string, file string")
-
-
 def shield(spark: SparkSession, path: str, most: int = MAX_BYTES, delimiter: str | None = None, quotes: bool = True, as_json: bool = False) -> ShieldResult:
     n_bytes = check_quota(spark, path, most)
-    encoding = detect_encoding(first_bytes(spark, path))
-    if encoding.lower().replace("_", "-") in ("utf-8", "ascii", "utf-8-sig"):
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    else:  # Spark's text reader knows UTF-8 only
-        lines = _decoded(spark, path, encoding)
+    lines, encoding = read_lines(spark, path)
     head = [r["value"] for r in lines.limit(200).collect()]
     facts = facts_of(head, encoding, delimiter, quotes)
     classified = (classify_json(lines) if as_json else classify(lines, facts, quotes)).withColumn("_id", F.monotonically_increasing_id())
