@@ -19,6 +19,7 @@ from rinsework.functions.text import digits, is_title, name_words, typo_variants
 from rinsework.operators.components import components
 from rinsework.operators.normalize import quoted
 from rinsework.operators.profile import Profile, is_numeric
+from rinsework.operators.spellings import candidates
 from rinsework.session import staged, staged_path
 
 KNOWN = sorted({*K.INDIAN_STATES, *K.US_STATES, *K.CITIES, *K.COUNTRIES, *K.SPECIAL_CASE})
@@ -64,10 +65,10 @@ def pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def variants(pairs: DataFrame, least: float = 85.0) -> DataFrame:
-    """x, a, b: spellings of one thing within one x."""
-    keyed = pairs.select("x", "y", digits(F.col("y")).alias("d"))
-    a, b = keyed.select("x", "d", F.col("y").alias("a")), keyed.select("x", "d", F.col("y").alias("b"))
-    return a.join(b, ["x", "d"]).filter(F.col("a") < F.col("b")).filter(typo_variants(F.col("a"), F.col("b"), least)).select("x", "a", "b")
+    """x, a, b: spellings of one thing within one x. Only spellings that share a signature are compared."""
+    values = pairs.select("x", digits(F.col("y")).alias("d"), F.col("y").alias("v"), F.lower(F.trim("y")).alias("k"))
+    met = candidates(values, ["x", "d"], min(least, 85.0), begins=4, near=4, same_digits=True)
+    return met.filter(typo_variants(F.col("a"), F.col("b"), least)).select("x", "a", "b").distinct()
 
 
 def known(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rinsework.functions import constants as K
 from rinsework.functions.text import digits, mismatches, similar
+from rinsework.operators.spellings import candidates
 
 ATTRIBUTES = ["Phone", "Email", "Address", "City", "State", "InvoiceNo", "Date", "Amount", "PostalCode"]
 WINDOW = 350
@@ -73,17 +74,19 @@ def conflicts(found: DataFrame, fields: tuple[str, ...] = ("Phone", "City", "Sta
 
 
 def duplicates(entities: DataFrame, least: float = 85.0) -> DataFrame:
-    """Names and phones of a document that are equal, alike, or one character apart. Distinct values are paired, blocked by
-    document and type; copies of one value are an issue for each copy after the first, not for each pair."""
+    """Names and phones of a document that are equal, alike, or one character apart. Distinct values of a document and type are compared if they
+    share a signature; copies of one value are an issue for each copy after the first, not for each pair."""
     own = entities.filter(F.col("type").isin("CustomerName", "Phone")).withColumn("low", F.lower(F.trim("value")))
     values = own.groupBy("doc_id", "type", "low").agg(F.count("*").alias("n"), F.min("value").alias("value"))
     copies = values.filter("n > 1").select("doc_id", "type", "value", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("copy"))
     same = _issue(copies, "duplicate", F.col("type"), F.col("value"), F.col("value"), "low", F.concat(F.lit("occurs again: "), "value"))
-    a, b = (values.select("doc_id", "type", F.col("low").alias(f"{s}_low"), F.col("value").alias(f"{s}_value")) for s in "ab")
-    pairs = a.join(b, ["doc_id", "type"]).filter("a_low < b_low")
-    x, y = F.col("a_low"), F.col("b_low")
+    pairs = candidates(values.select("doc_id", "type", F.col("low").alias("v"), F.col("low").alias("k")), ["doc_id", "type"], least, near=0)
+    x, y = F.col("a"), F.col("b")
     apart = F.abs(F.length(x) - F.length(y)) + mismatches(x, y)
-    near = pairs.filter((apart <= 1) | similar(x, y, least))
+    alike = pairs.filter((apart <= 1) | similar(x, y, least)).distinct()
+    for side in "ab":  # as it was written
+        alike = alike.join(values.select("doc_id", "type", F.col("low").alias(side), F.col("value").alias(f"{side}_value")), ["doc_id", "type", side])
+    near = alike
     return same.unionByName(_issue(near, "duplicate", F.col("type"), F.col("a_value"), F.col("b_value"), "medium", F.concat(F.lit("alike: "), "a_value", F.lit(" and "), "b_value")))
 
 
