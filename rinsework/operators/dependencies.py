@@ -64,36 +64,38 @@ def pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(quoted(x).cast("string").alias("x"), F.trim(quoted(y).cast("string")).alias("y")).filter("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
-def variants(pairs: DataFrame, least: float = 85.0) -> DataFrame:
-    """x, a, b: spellings of one thing within one x. Only spellings that share a signature are compared."""
-    values = pairs.select("x", digits(F.col("y")).alias("d"), F.col("y").alias("v"), F.lower(F.trim("y")).alias("k"))
-    met = candidates(values, ["x", "d"], min(least, 85.0), begins=4, near=4, same_digits=True)
-    return met.filter(typo_variants(F.col("a"), F.col("b"), least)).select("x", "a", "b").distinct()
+def variants(pairs: DataFrame, least: float = 85.0, key: tuple[str, ...] = ()) -> DataFrame:
+    """key..., x, a, b: spellings of one thing within one x. Only spellings that share a signature are compared."""
+    values = pairs.select(*key, "x", digits(F.col("y")).alias("d"), F.col("y").alias("v"), F.lower(F.trim("y")).alias("k"))
+    met = candidates(values, [*key, "x", "d"], min(least, 85.0), begins=4, near=4, same_digits=True)
+    return met.filter(typo_variants(F.col("a"), F.col("b"), least)).select(*key, "x", "a", "b").distinct()
 
 
 def known(c: Column) -> Column:
     return F.lower(c).isin(*KNOWN)
 
 
-def canonical(pairs: DataFrame, least: float = 85.0, spelled: DataFrame | None = None) -> DataFrame:
-    """y, root: each spelling with a variant and the one that stands for it: a known name, else the most frequent, else the
+def canonical(pairs: DataFrame, least: float = 85.0, spelled: DataFrame | None = None, key: tuple[str, ...] = ()) -> DataFrame:
+    """key..., y, root: each spelling with a variant and the one that stands for it: a known name, else the most frequent, else the
     one in title case, else the longest, else the last in order. spelled: the variants, if they are known."""
-    links = (variants(pairs, least) if spelled is None else spelled).select("a", "b").distinct()
-    member = components(links)
-    total = pairs.groupBy("y").agg(F.sum("n").alias("n"))
-    ranked = member.withColumnRenamed("node", "y").join(total, "y")
+    node = lambda y: F.struct(*key, F.col(y).alias("y")).alias(y)
+    links = (variants(pairs, least, key) if spelled is None else spelled).select(node("a"), node("b")).distinct()
+    member = components(links).select("node.*", "root")
+    total = pairs.groupBy(*key, "y").agg(F.sum("n").alias("n"))
+    ranked = member.join(total, [*key, "y"])
     best = F.max_by("y", F.struct(known(F.col("y")).alias("k"), F.col("n"), is_title(F.col("y")).alias("t"), F.length("y").alias("l"), F.col("y")))
     chosen = ranked.groupBy("root").agg(best.alias("chosen"))
     cases = F.create_map(*(F.lit(v) for k in KNOWN for v in (k, canonical_case(k))))
     named = F.coalesce(F.try_element_at(cases, F.lower("chosen")), F.col("chosen"))
-    return ranked.join(chosen, "root").select("y", named.alias("root"))
+    return ranked.join(chosen, "root").select(*key, "y", named.alias("root"))
 
 
-def confidence(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
-    """n_rows, n_kept, confidence: the share of rows that hold their x's most frequent y, once spellings are unified."""
-    unified = pairs.join(mapping, "y", "left").groupBy("x", F.coalesce("root", "y").alias("y")).agg(F.sum("n").alias("n"))
-    top = unified.groupBy("x").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    return top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("top"), F.lit(0)).alias("n_kept")).withColumn("confidence", F.round(F.try_divide(F.col("n_kept"), F.col("n_rows")), 4))
+def confidence(pairs: DataFrame, mapping: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """key..., n_rows, n_kept, confidence: the share of rows that hold their x's most frequent y, once spellings are unified."""
+    unified = pairs.join(mapping, [*key, "y"], "left").groupBy(*key, "x", F.coalesce("root", "y").alias("y")).agg(F.sum("n").alias("n"))
+    top = unified.groupBy(*key, "x").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    sums = top.groupBy(*key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("top"), F.lit(0)).alias("n_kept"))
+    return sums.withColumn("confidence", F.round(F.try_divide(F.col("n_kept"), F.col("n_rows")), 4))
 
 
 def leaders(pairs: DataFrame, least: float = 85.0) -> DataFrame:
@@ -117,14 +119,22 @@ def leaders(pairs: DataFrame, least: float = 85.0) -> DataFrame:
     return pairs.groupBy("x").applyInPandas(run, "x string, y string, leader string")
 
 
-def is_temporal(df: DataFrame, column: str) -> bool:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) or name_words(column) & TIME_WORDS:
-        return True
-    if not isinstance(kind, T.StringType):
-        return False
-    share = df.agg(F.avg(F.trim(quoted(column)).rlike(K.ANY_DATE).cast("double"))).first()[0]
-    return (share or 0) >= 0.5
+def temporal(df: DataFrame, columns: list[str]) -> set[str]:
+    """Which columns hold dates or times: by type, by name, or because half of their texts look like dates (one aggregation for all)."""
+    kinds = {c: df.schema[c].dataType for c in columns}
+    out = {c for c in columns if isinstance(kinds[c], (T.DateType, T.TimestampType, T.TimestampNTZType)) or name_words(c) & TIME_WORDS}
+    texts = [c for c in columns if c not in out and isinstance(kinds[c], T.StringType)]
+    if texts:
+        shares = df.agg(*(F.avg(F.trim(quoted(c)).rlike(K.ANY_DATE).cast("double")) for c in texts)).first()
+        out |= {c for c, share in zip(texts, shares, strict=True) if (share or 0) >= 0.5}
+    return out
+
+
+def stacked(df: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """pair (its place in wanted), x, y, n: pair_counts() of many pairs of columns, in one pass over the table."""
+    text = lambda c: quoted(c).cast("string")
+    rows = F.array(*(F.struct(F.lit(i).alias("pair"), text(x).alias("x"), F.trim(text(y)).alias("y")) for i, (x, y) in enumerate(wanted)))
+    return df.select(F.inline(rows)).filter("x is not null and y is not null").groupBy("pair", "x", "y").agg(F.count("*").alias("n"))
 
 
 def mine(df: DataFrame, found: Profile, fuzzy: float | None = None, least: float | None = None, limit: int = 10_000) -> list[Dependency]:
@@ -144,20 +154,32 @@ def mine(df: DataFrame, found: Profile, fuzzy: float | None = None, least: float
             out.append(Dependency(r.determinant, r.dependent, True, 1.0))
         else:
             open_pairs.append((r.determinant, r.dependent))
-    fits = {y: not is_numeric(kinds[y]) and not isinstance(kinds[y], T.BooleanType) and not is_temporal(df, y) for y in {y for _, y in open_pairs}}
-    for x, y in open_pairs:
-        if not fits[y]:
-            continue
-        pairs = staged(pair_counts(df, x, y), "pairs")
-        spelled = staged(variants(pairs, fuzzy or 85.0), "variants")
-        mapping = staged(canonical(pairs, fuzzy or 85.0, spelled), "spellings") if not spelled.isEmpty() else spelled.select(F.col("a").alias("y"), F.col("b").alias("root"))
-        score = confidence(pairs, mapping).first()["confidence"]
-        if score is not None and score >= least:
-            changed = mapping.filter("y <> root").limit(limit + 1).collect()
-            table = staged_path(mapping.filter("y <> root"), "mapping") if len(changed) > limit else None
-            bad = spelled.orderBy("x", "a", "b").limit(5).collect()
-            out.append(Dependency(x, y, False, float(score), {} if table else {r.y: r.root for r in changed}, table, [{x: r.x, "values": f"{r.a} / {r.b}"} for r in bad]))
-    return out
+    ys = sorted({y for _, y in open_pairs if not is_numeric(kinds[y]) and not isinstance(kinds[y], T.BooleanType)})
+    fits = set(ys) - temporal(df, ys)
+    open_pairs = [p for p in open_pairs if p[1] in fits]
+    return out + _approximate(df, open_pairs, fuzzy or 85.0, least, limit) if open_pairs else out
+
+
+def _approximate(df: DataFrame, wanted: list[tuple[str, str]], fuzzy: float, least: float, limit: int) -> list[Dependency]:
+    """All pairs of columns at once, as one table with a number for each pair: the number of jobs doesn't depend on theirs."""
+    key = ("pair",)
+    pairs = staged(stacked(df, wanted), "pairs")
+    spelled = staged(variants(pairs, fuzzy, key), "variants")
+    mapping = staged(canonical(pairs, fuzzy, spelled, key), "spellings") if not spelled.isEmpty() else spelled.select("pair", F.col("a").alias("y"), F.col("b").alias("root"))
+    scores = {r.pair: r.confidence for r in confidence(pairs, mapping, key).collect() if r.confidence is not None and r.confidence >= least}
+    if not scores:
+        return []
+    changed = mapping.filter(F.col("pair").isin(*scores) & (F.col("y") != F.col("root")))
+    sizes = {r.pair: r["count"] for r in changed.groupBy("pair").count().collect()}
+    small: dict[int, dict[str, str]] = {i: {} for i in scores}
+    for r in changed.filter(F.col("pair").isin(*[i for i in scores if sizes.get(i, 0) <= limit])).collect():
+        small[r.pair][r.y] = r.root
+    shown: dict[int, list[dict[str, str]]] = {i: [] for i in scores}
+    place = F.row_number().over(Window.partitionBy("pair").orderBy("x", "a", "b"))
+    for r in spelled.filter(F.col("pair").isin(*scores)).withColumn("place", place).filter("place <= 5").orderBy("pair", "place").collect():
+        shown[r.pair].append({wanted[r.pair][0]: r.x, "values": f"{r.a} / {r.b}"})
+    large = {i: staged_path(changed.filter(F.col("pair") == i).select("y", "root"), "mapping") for i in scores if sizes.get(i, 0) > limit}
+    return [Dependency(*wanted[i], False, float(scores[i]), small[i], large.get(i), shown[i]) for i in sorted(scores)]
 
 
 def top_values(pairs: DataFrame, k: int = 1) -> DataFrame:
