@@ -76,16 +76,19 @@ def clean_document(args: argparse.Namespace) -> int:
     from rinsework.exports import export_all
     from rinsework.operators.governance import Approvals
     from rinsework.plans.flow import clean_documents
-    from rinsework.sources.documents import read_documents, texts
+    from rinsework.sources.documents import read_documents, rejected, texts
 
     if "://" not in args.path and not os.path.exists(args.path):
         print(f"no such file: {args.path}", file=sys.stderr)
         return 1
     spark = get_session()
+    left = rejected(spark, args.path).orderBy("path").collect()  # names of files, not documents
+    for r in left:
+        print(f"left out ({r.reason}, {r.length} bytes): {r.path}", file=sys.stderr)
     docs = read_documents(spark, args.path).persist()
     done = clean_documents(spark, texts(docs), docs, Approvals(all_but_high_risk=args.approve_all))
     export_all(done, args.output)
-    print(json.dumps(done.validation, default=str))
+    print(json.dumps({**done.validation, "left_out": len(left)} if isinstance(done.validation, dict) else done.validation, default=str))
     return 0
 
 

@@ -57,15 +57,15 @@ def tokens(df: DataFrame, key: str, column: str) -> DataFrame:
     return first.withColumn("token", F.concat(F.lit("["), "kind", F.lit("_"), number.cast("string"), F.lit("]"))).select(key, "kind", "value", "raw", "token")
 
 
-def mask_numbered(df: DataFrame, key: str, column: str) -> DataFrame:
+def mask_numbered(df: DataFrame, column: str) -> DataFrame:
     """df with the column's personal data replaced by numbered tokens, match by match where they stand: equal characters
-    elsewhere stay."""
-    name = F.concat_ws("\u0000", "kind", "raw")
-    entries = tokens(df, key, column).select(key, "kind", F.explode("raw").alias("raw"), "token").select(key, F.struct(name.alias("k"), F.col("token").alias("v")).alias("e"))
-    by_doc = entries.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list("e"))).alias("_tokens"))
-    out = df.withColumn("_left", F.col(column)).join(by_doc, key, "left")
+    elsewhere stay. A text numbers its own values, within its row: whatever the other columns hold, nothing stays raw."""
+    out = df.withColumn("_left", F.col(column))
     for kind, form in CLASSES.items():
-        named = F.transform(F.regexp_extract_all("_left", F.lit(form), F.lit(0)), lambda x: F.struct(F.concat_ws("\u0000", F.lit(kind), x).alias("k"), x.alias("x")))  # noqa: B023
-        out = out.withColumns({"_found": F.transform(named, lambda e: F.coalesce(F.try_element_at("_tokens", e["k"]), e["x"])), "_parts": F.split("_left", form, -1)})
-        out = out.withColumn("_left", F.array_join(F.zip_with("_parts", "_found", lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""))
+        plain = lambda x: _plain(F.lit(kind), x)  # noqa: B023, E731
+        own = F.array_distinct(F.transform(matches(F.col("_left"), kind), plain))
+        out = out.withColumns({"_raw": F.regexp_extract_all("_left", F.lit(form), F.lit(0)), "_own": own, "_parts": F.split("_left", form, -1)})
+        place = lambda x: F.array_position("_own", plain(x))
+        masked = F.transform("_raw", lambda x: F.when(place(x) > 0, F.concat(F.lit(f"[{kind}_"), place(x).cast("string"), F.lit("]"))).otherwise(x))  # noqa: B023
+        out = out.withColumn("_left", F.array_join(F.zip_with("_parts", masked, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""))
     return out.withColumn(column, F.col("_left")).select(df.columns)

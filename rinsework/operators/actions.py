@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinsework.functions import constants as K
-from rinsework.functions.text import name_words
+from rinsework.functions.text import name_words, title
 from rinsework.operators.normalize import quoted
 from rinsework.operators.profile import is_numeric
 from rinsework.operators.quantiles import modes, quantiles
@@ -27,16 +27,25 @@ def _kind(df: DataFrame, column: str) -> T.DataType:
 
 
 def spellings(mapping: dict[str, Any]) -> dict[str, str | None]:
-    """Each key as it is, in lower case, capitals and title case; values trimmed; null is a legal value."""
+    """Each key as it is, in lower case, capitals and title case, the former before the latter, and the least key first; values
+    trimmed; null is a legal value."""
     out: dict[str, str | None] = {}
-    for key, value in mapping.items():
-        if key is not None:
-            k = str(key).strip()
-            for form in (k.title(), k.upper(), k.lower(), k):
-                out[form] = None if value is None else str(value).strip()
+    keys = sorted(((str(k).strip(), v) for k, v in mapping.items() if k is not None), key=lambda e: e[0], reverse=True)
+    for form in (str.title, str.upper, str.lower, str):
+        for k, value in keys:
+            out[form(k)] = None if value is None else str(value).strip()
     return out
 
 
+def spelling_table(own: DataFrame) -> DataFrame:
+    """spellings() of a table (y, root): _key, _value, a row for each form."""
+    y = F.trim("y")
+    forms = F.array(*(F.struct(F.lit(i).alias("rank"), form.alias("key")) for i, form in enumerate((y, F.lower(y), F.upper(y), title(y)))))
+    rows = own.filter("y is not null").select(F.explode(forms).alias("f"), y.alias("y"), F.trim("root").alias("root"))
+    first = F.min(F.struct("f.rank", "y", "root"))
+    return rows.groupBy(F.col("f.key").alias("_key")).agg(first.alias("e")).select("_key", F.col("e.root").alias("_value"))
+
+
 def standardize(df: DataFrame, column: str, mapping: dict[str, Any]) -> DataFrame:
     """Trimmed values, replaced where the mapping has them. Small mappings are literals; large ones a join with a table."""
     table = spellings(mapping)
@@ -55,11 +64,11 @@ def standardize(df: DataFrame, column: str, mapping: dict[str, Any]) -> DataFram
 
 
 def standardize_by(df: DataFrame, column: str, at: str) -> DataFrame:
-    """The same by a written table (y, root) of any size, joined by the trimmed value."""
+    """The same by a written table (y, root) of any size, joined by the trimmed value; it catches the same spellings."""
     kind = _kind(df, column)
-    own = df.sparkSession.read.parquet(at).select(F.col("y").alias("_key"), F.col("root").alias("_value"))
+    own = spelling_table(df.sparkSession.read.parquet(at))
     joined = df.withColumn("_own", F.trim(quoted(column).cast("string"))).join(own, F.col("_own") == F.col("_key"), "left")
-    new = F.coalesce("_value", "_own")
+    new = F.when(F.col("_key").isNotNull(), F.col("_value")).otherwise(F.col("_own"))
     return joined.withColumn(column, new if isinstance(kind, T.StringType) else new.try_cast(kind)).select(*map(quoted, df.columns))
 
 

@@ -59,5 +59,5 @@ def line(df: DataFrame, time: str, value: str, unit: str = "month") -> DataFrame
 def scatter(df: DataFrame, x: str, y: str, most: int = 2_000) -> DataFrame:
     """About that many points: those whose hash is under a share of all, so the same in every run."""
     n = df.count()
-    share = int(min(1.0, most / max(n, 1)) * 1_000_000)
-    return df.filter(F.pmod(F.xxhash64(quoted(x), quoted(y)), F.lit(1_000_000)) < share).select(quoted(x).alias("x"), quoted(y).alias("y"))
+    share = min(1 << 60, (most << 60) // max(n, 1))
+    return df.filter(F.pmod(F.xxhash64(quoted(x), quoted(y)), F.lit(1 << 60)) < share).select(quoted(x).alias("x"), quoted(y).alias("y"))

@@ -100,7 +100,7 @@ def with_ids(entities: DataFrame) -> DataFrame:
 
 
 def extract(texts: DataFrame, skip_tables: bool = False) -> DataFrame:
-    """ENTITY, normalized_value and entity_id. texts: doc_id, page, text. skip_tables: leave tables of bars to from_tables()."""
+    """ENTITY, normalized_value and entity_id. texts: doc_id, page (null: 1), text. skip_tables: leave tables of bars to from_tables()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -108,7 +108,7 @@ def extract(texts: DataFrame, skip_tables: bool = False) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "type", "value", "span_start", "span_end", "page", "record_id", "confidence"])
 
     prepare(texts.sparkSession)
-    return with_ids(texts.select("doc_id", "page", "text").mapInPandas(run, ENTITY))
+    return with_ids(texts.select("doc_id", F.coalesce(F.col("page").cast("int"), F.lit(1)).alias("page"), "text").mapInPandas(run, ENTITY))
 
 
 def from_tables(docs: DataFrame) -> DataFrame:

@@ -651,7 +651,7 @@ def pii_tokens_numbered(spark, sf_dir):
 
 @query()
 def pii_mask_numbered(spark, sf_dir):
-    return pii.mask_numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return pii.mask_numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
 # ---- documents

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinsework.session import prepare
+from rinsework.sources.encodings import decode_text
 from rinsework.sources.formats import UnsupportedFormat, _unique
 
 MAX_BYTES = 20 * 2**20
@@ -102,7 +103,7 @@ def parse(path: str, content: bytes) -> dict[str, Any]:
         raise ValueError(f"{path} holds {len(content)} bytes; at most {MAX_BYTES} are allowed")
     low = path.lower()
     if low.endswith(".txt"):
-        return parse_txt(content.decode("utf-8", "replace"))
+        return parse_txt(decode_text(content))
     if low.endswith(".docx"):
         return parse_docx(content)
     if low.endswith(".pdf"):
@@ -114,24 +115,41 @@ def _stem(path: str) -> str:
     return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, name of every file, none of which is opened."""
+    return prepare(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.lower("path").alias("name"))
+
+
+def _known(name: Column) -> Column:
+    return name.rlike(r"\.(txt|docx|pdf)$")
+
+
 def read_documents(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
-    """SCHEMA. Files that are too large are left out before their content is read; see too_large()."""
+    """SCHEMA. Files that are too large or of another type are left out before their content is read; rejected() lists them.
+    A document's id is its file's name without the suffix; files that share one are told apart by their whole path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for at, content in zip(b["path"], b["content"], strict=True):
+            for at, doc_id, content in zip(b["path"], b["doc_id"], b["content"], strict=True):
                 own = parse(at, bytes(content))
-                rows.append({"doc_id": _stem(at), "path": at, "n_chars": len(own["text"])} | own)
+                rows.append({"doc_id": doc_id, "path": at, "n_chars": len(own["text"])} | own)
             if rows:
                 yield pd.DataFrame(rows)[["doc_id", "path", "file_type", "text", "headings", "sections", "tables", "n_chars", "is_scanned"]]
 
-    files = prepare(spark).read.format("binaryFile").load(path).filter(F.col("length") <= most)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    taken = _listed(spark, path).filter(_known(F.col("name")) & (F.col("length") <= most))
+    shared = taken.groupBy(stem.alias("stem")).agg(F.count("*").alias("n")).filter("n > 1")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter((F.col("length") <= most) & _known(F.lower("path")))
+    ids = taken.withColumn("stem", stem).join(shared, "stem", "left").select(F.col("path").alias("_path"), F.when(F.col("n").isNull(), F.col("stem")).otherwise(F.col("path")).alias("doc_id"))
+    named = files.join(ids, F.col("path") == F.col("_path"))
+    return named.select("path", "doc_id", "content").mapInPandas(run, SCHEMA)
 
 
-def too_large(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).filter(F.col("length") > most).select("path", "length")
+def rejected(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
+    """path, length, reason ("unknown_type", "too_large") of the files that read_documents() leaves out."""
+    reason = F.when(~_known(F.col("name")), "unknown_type").when(F.col("length") > most, "too_large")
+    return _listed(spark, path).select("path", "length", reason.alias("reason")).filter("reason is not null")
 
 
 def texts(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

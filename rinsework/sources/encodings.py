@@ -19,9 +19,10 @@ Files that begin with the mark of UTF-16 have no byte 10 of their own and are re
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -60,28 +61,11 @@ def validity(lines: DataFrame) -> DataFrame:
 def histogram(lines: DataFrame) -> DataFrame:
     """file, kind, key, n over lines that aren't UTF-8: pairs of a byte and a high one ("pair", 256 * first + second), high bytes that stand beside another
     ("run"), lines ("lines"), and lines that a multi-byte encoding can read ("reads", its place) and that are in its script then ("speaks")."""
-    import re
-
-    codecs = [(i, name, re.compile(f"[{own}]"), OWN.get(name, 0.5)) for i, (name, own) in enumerate(MANY_BYTES.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
-            for raw, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[file, "lines", 0] += 1
-                before = 10
-                for x in raw:
-                    if x >= 128:
-                        counts[file, "pair", 256 * before + x] += 1
-                    before = x
-                counts[file, "run", 0] += sum(map(len, re.findall(rb"[\x80-\xff]{2,}", raw)))
-                for i, name, own, least in codecs:
-                    try:
-                        text = raw.decode(name)
-                    except UnicodeDecodeError:
-                        continue
-                    counts[file, "reads", i] += 1
-                    counts[file, "speaks", i] += len(own.findall(text)) >= least * sum(not c.isascii() and c.isalpha() for c in text)
+            counts.update(_counts(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
             if len(counts) > 100_000:
                 yield _counted(counts)
                 counts = Counter()
@@ -92,6 +76,30 @@ def histogram(lines: DataFrame) -> DataFrame:
     return bad.mapInArrow(run, "file string, kind string, key int, n long").groupBy("file", "kind", "key").agg(F.sum("n").alias("n"))
 
 
+CODECS = [(i, name, re.compile(f"[{own}]"), OWN.get(name, 0.5)) for i, (name, own) in enumerate(MANY_BYTES.items())]
+
+
+def _counts(lines: Iterable[tuple[bytes, str]]) -> Counter:
+    """(file, kind, key) of lines with their file."""
+    counts: Counter = Counter()
+    for raw, file in lines:
+        counts[file, "lines", 0] += 1
+        before = 10
+        for x in raw:
+            if x >= 128:
+                counts[file, "pair", 256 * before + x] += 1
+            before = x
+        counts[file, "run", 0] += sum(map(len, re.findall(rb"[\x80-\xff]{2,}", raw)))
+        for i, name, own, least in CODECS:
+            try:
+                text = raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+            counts[file, "reads", i] += 1
+            counts[file, "speaks", i] += len(own.findall(text)) >= least * sum(not c.isascii() and c.isalpha() for c in text)
+    return counts
+
+
 def _counted(counts: Counter) -> pa.RecordBatch:
     files, kinds, keys = zip(*counts, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(files), pa.array(kinds), pa.array(keys, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["file", "kind", "key", "n"])
@@ -138,6 +146,25 @@ def decide(counts: pd.DataFrame) -> str:
     return max(ONE_BYTE, key=lambda e: plausibility(pairs, e))
 
 
+def decode_text(raw: bytes) -> str:
+    """One text that is held whole: UTF-8 if it is, else the encoding that its own bytes speak for."""
+    try:
+        return raw.decode(UTF_8)
+    except UnicodeDecodeError:
+        if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return raw.decode("utf-16", "replace")
+        rows = [(kind, key, n) for (_, kind, key), n in _counts([(x, "") for x in raw.split(b"\n") if not _is_utf8(x)]).items()]
+        return raw.decode(decide(pd.DataFrame(rows, columns=["kind", "key", "n"])), "replace")
+
+
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode(UTF_8)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def encodings(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """file, n, bad, beyond, encoding, mixed: one row for each file. found: validity(lines), if it is known."""
     found = validity(lines) if found is None else found

@@ -39,15 +39,19 @@ class VersionStore:
     def current(self) -> int:
         return max(self.versions(), default=-1)
 
-    def entry(self, n: int) -> dict[str, Any]:
+    def entry(self, n: int) -> dict[str, Any] | None:
+        """None for an entry that its writer left unfinished: the number is taken, but there is no such version."""
         stream = self._fs.open(self._path(self._log(n)))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            found = json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
         finally:
             stream.close()
+        return found if isinstance(found, dict) and "folder" in found else None
 
     def history(self) -> list[dict[str, Any]]:
-        return [self.entry(n) for n in reversed(self.versions())]
+        return [e for e in map(self.entry, reversed(self.versions())) if e]
 
     def labels(self) -> dict[str, int]:
         return {f"v{e['version']}: {e['operation']}": e["version"] for e in self.history()}
@@ -67,12 +71,13 @@ class VersionStore:
         return n
 
     def read(self, n: int | None = None) -> DataFrame:
-        n = self.current() if n is None else n
-        if n not in self.versions():
-            raise KeyError(f"no version {n}")
         from pyspark.sql.types import StructType
 
-        e = self.entry(n)
+        known = self.versions()
+        numbers = reversed(known) if n is None else [n] if n in known else []
+        e = next(filter(None, map(self.entry, numbers)), None)
+        if e is None:
+            raise KeyError(f"no version {'at all' if n is None else n}")
         return self.spark.read.schema(StructType.fromJson(e["schema"])).parquet(e["folder"])
 
     def restore(self, n: int) -> int:

@@ -115,7 +115,7 @@ def test_documents(spark, tmp_path):
 
     with zipfile.ZipFile(files["xlsx"]) as z:
         assert z.testzip() is None and sum(n.startswith("xl/worksheets/") for n in z.namelist()) == 4
-    assert documents.too_large(spark, str(folder)).count() == 0 and documents.read_documents(spark, str(folder), most=10).count() == 0
+    assert documents.rejected(spark, str(folder)).count() == 0 and documents.read_documents(spark, str(folder), most=10).count() == 0
 
 
 def test_other_documents(tmp_path):

@@ -45,7 +45,6 @@ def test_profile_of_100k_rows(people):
     assert json.loads(found.to_json())["meta"]["rows"] == 100_000
 
 
-@pytest.mark.xfail(strict=False, reason="the target is not met: 4.1 s, warm, on four cores of a machine that the check tool calls 2.8 times slower than usual")
 def test_profile_in_time(people):
     """100,000 rows of 8 columns under 2.5 seconds, once the code is warm."""
     kept = people.persist()
@@ -354,7 +353,7 @@ def test_words_of_column_names(spark):
 def test_numbered_masks_go_by_place(spark):
     text = "call 555-123-4567 or 15551234567890123 mail a@b.co and A@B.CO; 555-123-4567 id 5551234567"
     df = spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.mask_numbered(df, "doc_id", "text").collect()}
+    got = {r.doc_id: r.text for r in pii.mask_numbered(df, "text").collect()}
     assert got[1].count("[PHONE_1]") == 3 and got[1].count("[EMAIL_1]") == 2 and got[2] is None and got[3] == "none"
 
 
