@@ -9,7 +9,7 @@ least half of the bound is theirs if there are so many, and unlabelled ones fill
 fixed number of bytes each. Scoring reads each document once, where it lies, with a few kilobytes of weights.
 
 Defined cases: a null text is empty; null or unknown languages, sources and lengths have features of their own; labels that
-disagree count by their mean; with labels of one class only, or none, nothing can be learnt and every document is kept with
+disagree count by their mean; labels of both classes are learnt from however few they are; with labels of one class only, or none, nothing can be learnt and every document is kept with
 a score of 1, and a warning says so; of rows that repeat an id one is learnt from; ties in certainty go by id; texts of any length are
 read whole; repeated rows are scored as often as they occur; null ids are scored; no rows give no rows; other columns are ignored,
 and filtering returns the rows as they were.
@@ -125,11 +125,11 @@ class CoTrained:
 
 
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, rounds: int = 4, sure: float = 0.97, each: int = 400) -> CoTrained:
-    """y: 1, 0, or NaN where unlabelled. fold: true for labels that are kept for the calibration."""
+    """y: 1, 0, or NaN where unlabelled. fold: 1 for labels that are kept for the calibration, 0 for those learnt from, 2 for both."""
     known = ~np.isnan(y)
-    if len(np.unique(y[known & ~fold])) < 2 or len(np.unique(y[known & fold])) < 2:
+    if len(np.unique(y[known & (fold != 1)])) < 2 or len(np.unique(y[known & (fold != 0)])) < 2:
         return CoTrained()
-    target = [np.where(fold, np.nan, y), np.where(fold, np.nan, y)]  # what each view learns from
+    target = [np.where(fold == 1, np.nan, y), np.where(fold == 1, np.nan, y)]  # what each view learns from
     told: list[tuple[int, int]] = []
     fit = lambda v: Logistic().fit(views[v][~np.isnan(target[v])], target[v][~np.isnan(target[v])], np.where(known, 1.0, 0.3)[~np.isnan(target[v])])
     models = [fit(0), fit(1)]
@@ -147,12 +147,24 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarr
         models = [fit(0), fit(1)]
         if told[-1] == (0, 0):
             break
-    test = known & fold
+    test = known & (fold != 0)
     calibrations = [Logistic(0.1).fit(m.logit(x[test])[:, None], y[test]) for m, x in zip(models, views, strict=True)]
     logits = np.stack([c.logit(m.logit(x[test])[:, None]) for m, c, x in zip(models, calibrations, views, strict=True)], 1)
     return CoTrained(1.0, models, calibrations, Logistic(0.1).fit(logits, y[test]), told)
 
 
+def folds(y: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each class a quarter is kept for the calibration, one label at least; a class's only label serves both. place: an order by chance."""
+    out = np.zeros(len(y), np.int8)
+    for label in (0.0, 1.0):
+        own = np.flatnonzero(y == label)
+        own = own[np.argsort(place[own], kind="stable")]
+        out[own[: max(1, len(own) // 4)]] = 1
+        if len(own) == 1:
+            out[own] = 2
+    return out
+
+
 def _inputs(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")), F.col("n_chars").cast("long").alias("n_chars")]
 
@@ -181,13 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> CoTrained
 
     some = docs.select(*_inputs(docs)).join(chosen.select("doc_id"), "doc_id", "left_semi")
     seen = some.mapInArrow(tidy(run), "doc_id long, text binary, meta binary").groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("v")).select("doc_id", "v.*")  # one row for an id
-    rows = seen.join(chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).toPandas()
+    rows = seen.join(chosen, "doc_id").withColumn("place", F.xxhash64("doc_id", F.lit("fold"))).toPandas()
     if not len(rows):
         return CoTrained()
     rows = rows.sort_values("doc_id", ignore_index=True)
     views = tuple(np.stack([np.frombuffer(x, np.float32) for x in rows[c]]) for c in ("text", "meta"))
     y = rows["quality"].to_numpy(float, na_value=np.nan)
-    model = co_train(views, np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float)), rows["fold"].to_numpy(bool))
+    y = np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float))
+    model = co_train(views, y, folds(y, rows["place"].to_numpy()))
     if model.joint is None:
         warnings.warn(f"nothing could be learnt from {int((~np.isnan(y)).sum())} labelled documents: every document is kept", stacklevel=2)
     return model

@@ -11,7 +11,7 @@ the only one that is expected to be short, is a small part.
 
 Defined cases: a null text is empty and has the end id alone; repeated rows are packed as often as they occur; any length
 of text is cut whole; pieces of equal length go by id and start, and of sequences with equal cost the first opened is taken; a null
-doc_id stays null; no rows give no rows; other columns are ignored.
+doc_id stays null, and ids beside it keep all their digits; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,12 +172,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, room: int = 4096, shard: i
     rests = pieces.filter(F.col("length") < room)
     shards = max(1, -(-rests.count() // shard))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "row"], ascending=[False, True, True], na_position="last", ignore_index=True)
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("row", "ascending")])  # null ids come last
         bins, offsets = balance(group["length"].to_numpy(), room)
-        return group.drop(columns=["row", "shard"]).assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
+        return group.drop_columns(["row", "shard"]).append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
 
     dealt = rests.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    packed = dealt.groupBy("shard").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    packed = dealt.groupBy("shard").applyInArrow(run, PIECES + ", sequence_id long, offset long")
     full = pieces.filter(F.col("length") == room).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)

@@ -180,3 +180,16 @@ def test_balance_spreads_cost():
         room[at] -= lengths[i]
         first_fit[i] = at
     assert cost.std() < 0.95 * np.bincount(first_fit, lengths + lengths.astype(float) ** 2 / 2048).std()
+
+
+def test_ids_keep_their_digits_beside_null_ones(spark, words):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "alpha", 1), (big + 2, "beta", 1), (None, "gamma", 1), (None, "gamma", 1), (big, "alpha", 1), (-big, "x " * 5000, 1)], SCHEMA)
+    got = packing.pack(df, P.path("word_bpe_49k.json")).collect()
+    assert sorted({r.doc_id for r in got}, key=repr) == sorted({big, big + 2, -big, None}, key=repr)
+    assert sorted((r.doc_id for r in got if r.start == 0), key=repr) == sorted([big, big, big + 2, -big, None, None], key=repr)
+
+    import corpus_pipeline
+
+    last = corpus_pipeline.pack(spark, df.withColumnRenamed("kept", "lang"), "")
+    assert {r.doc_id for r in last.collect()} == {big, big + 2, -big, None}

@@ -250,6 +250,31 @@ def test_few_labels_in_many_documents(spark):
         assert classifier.train(docs, labels.filter("quality = 1"), sample=200).joint is None
 
 
+@pytest.mark.parametrize("n", [2, 4, 6, 8, 12, 20])
+def test_labels_of_both_classes_are_always_learnt(n):
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        y = np.full(400, np.nan)
+        shown = rng.permutation(400)[:n]
+        bad = rng.integers(1, n)  # of the labels, from one to all but one
+        y[shown] = np.arange(n) >= bad
+        truth = rng.integers(0, 2, 400)
+        truth[shown] = y[shown]
+        a, b = (rng.normal(0, 0.2, (400, 3)) + (2.0 * truth[:, None] - 1) for _ in range(2))
+        fold = classifier.folds(y, rng.permutation(400))
+        for used in (0, 1):
+            assert len(np.unique(y[~np.isnan(y) & (fold != used)])) == 2
+        m = classifier.co_train((a, b), y, fold)
+        assert m.joint is not None and np.mean((m.score(a, b)[2] > 0.5) == (truth > 0)) > 0.9
+
+
+def test_few_labels_through_spark(spark):
+    docs = spark.createDataFrame([(i, ("river house " if i % 2 else "### $$$ ") * 30, "en", "s", 300) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    for ids in ([0, 1], [3, 4, 6], [10, 11, 12, 13]):
+        model = classifier.train(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"))
+        assert [r.kept for r in classifier.score(docs, model).orderBy("doc_id").collect()] == [bool(i % 2) for i in range(200)]
+
+
 def test_a_rare_language_keeps_its_words(spark):
     rnd = random.Random(4)
     common = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
