@@ -1,9 +1,10 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped: a page becomes lines, one for each block-level element's own text. What can't be the article is
-stripped with it: scripts, styles, forms, and elements that say by name, class, id or role that they are menus, headers,
-footers, sidebars, notices, adverts or comments; where such an element stood outside the article an empty line stays.
-Lines that are mostly links count as empty.
+Markup is stripped: a page becomes lines, one for each block-level element's own text. Scripts, styles, forms and the elements for menus,
+headers, footers and asides are stripped with it. Elements that say by class, id or role that they are such a thing, a notice, an
+advert or comments are doubted: what they say holds unless they hold more than half of the page's text that isn't in links (comments: more than
+0.8), for then they are the layout around the article, as ``has-sidebar`` or ``widget`` often is, and what is in them is judged by
+itself. Where a stripped element stood outside the article an empty line stays. Lines that are mostly links count as empty.
 
 Text lengths are summed over windows of three lines. A surge is where the window's sum rises from nothing, a dive where
 it falls to nothing again. Text between a surge and its dive is kept if some window in it reaches a share of the page's
@@ -46,31 +47,37 @@ NAMED = re.compile(
     r"shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w+|sign-?up|login|widget|toolbar|pagination|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies))(?:$|[\s_-])", re.I)
+INLINE = set("a abbr b cite code em font i label mark s small span strong sub sup u".split())
 WINDOW, SHARE, OTHER = 3, 0.05, 0.5
+LAYOUT, ALL_REMARKS = 0.5, 0.8
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in ASIDE:
-        return True
+def _doubted(name: str, attributes: str) -> float:
+    """The share of the page's text from which on what the element says of itself isn't believed; 0: it says nothing."""
     if not attributes.strip() or name in MAIN or name in ("body", "html"):
-        return False
+        return 0.0
     for key, value, bare in ATTRIBUTE.findall(attributes):
         key, value = (key or bare).lower(), value.strip("\"'")
-        if key in ("class", "id") and NAMED.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return 1.0
+        if key in ("class", "id") and NAMED.search(value) or key == "role" and value.lower() in ROLES:
+            return ALL_REMARKS if REMARKS.search(value) else LAYOUT
+    return 0.0
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters of it in links, in the article) of each line; ("", 0, False) where something was stripped."""
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    shares: list[float] = []  # of the doubted elements, by number
+    doubted: list[list] = []  # those that are open, the outer first: tag, how many of that tag are open since, number
     own: list[str] = []
     linked, in_link, depth, at = 0, 0, 0, 0
 
     def close() -> None:
         nonlocal own, linked
         if own and (text := " ".join(unescape("".join(own)).split())):
-            lines.append((text, linked, depth > 0))
+            lines.append((text, linked, depth > 0, tuple(d[2] for d in doubted)))
         own, linked = [], 0
 
     end, skip, nested = len(page), "", 0
@@ -101,6 +108,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     skip = ""
                 if skip or name not in MAIN:
                     continue
+        if doubted and not single:
+            if closing and name in ("body", "html") or name in MAIN and depth == 0 and not closing:
+                close()
+                doubted = []  # what was left open ends; an article is no part of what stands around it
+            elif closing and name in MAIN:
+                close()
+                doubted = [d for d in doubted if d[3] < depth]
+            for i, d in enumerate(doubted):
+                d[1] += (-1 if closing else 1) if d[0] == name else 0
+                if not d[1]:
+                    close()
+                    doubted = doubted[:i]
+                    break
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
@@ -109,13 +129,35 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close()
             if name in MAIN:
                 depth = max(0, depth + (-1 if closing else 1))
-        if not closing and not single and _unwanted(name, m[3]):
-            close()
+        if closing or single:
+            continue
+        share = _doubted(name, m[3])
+        if name in ASIDE or share and name in INLINE:
+            if name not in INLINE:
+                close()
             skip, nested = name, 1
+            if depth == 0 and name not in INLINE:
+                lines.append(("", 0, False, ()))
+        elif share:
+            close()
             if depth == 0:
-                lines.append(("", 0, False))
+                lines.append(("", 0, False, ()))
+            doubted.append([name, 1, len(shares), depth])
+            shares.append(share)
     close()
-    return lines
+    return _believed(lines, shares)
+
+
+def _believed(lines: list[tuple[str, int, bool, tuple[int, ...]]], shares: list[float]) -> list[tuple[str, int, bool]]:
+    """Without the lines of doubted elements, but for those that hold so much of the text that they can't be what they say."""
+    held = [0] * len(shares)
+    total = 0
+    for text, linked, _, inside in lines:
+        total += len(text) - linked
+        for d in inside:
+            held[d] += len(text) - linked
+    gone = {d for d, share in enumerate(shares) if held[d] <= share * total}
+    return [(text, linked, article) for text, linked, article, inside in lines if gone.isdisjoint(inside)]
 
 
 def main_text(page: str | None) -> str:

@@ -30,6 +30,20 @@ def test_page_with_teasers():
     assert html_text.main_text(f"<p>Short line</p><article>{''.join(f'<p>{b}</p>' for b in body)}</article>").split("\n") == body
 
 
+def test_wrappers_that_are_named_like_asides():
+    body = [f"{'word ' * 30}{i}" for i in range(6)]
+    article = "".join(f"<p>{b}</p>" for b in body)
+    side = f'<div class="sidebar"><p>{"side " * 20}</p></div><div class="comments"><p>{"said " * 30}</p></div>'
+    for name in ("has-sidebar", "layout no-sidebar", "post legal", "content widget", "with-nav", "related", "page subscribe-wall", "comments-open"):
+        for page in (f'<div class="{name}">{article}</div>', f'<nav><a href=x>Menu</a></nav><div class="{name}"><div id="promo">Buy</div><div>{article}{side}</div></div><footer>f</footer>'):
+            assert html_text.main_text(page).split("\n") == body, (name, page[:80])
+    assert html_text.main_text(f'{article}<div class="comments"><p>{"said " * 60}</p></div>').split("\n") == body  # longer than half of the article
+
+
+def test_inline_adverts_do_not_cut_a_paragraph():
+    assert html_text.main_text('<p>One <span class="promo">Buy <b>now</b></span>two <b>three</b></p>') == "One two three"
+
+
 def test_odd_pages():
     for page, text in ((None, ""), ("", ""), ("plain", "plain"), ("<p>open", "open"), ("<nav><p>a<article><p>b</article>", "b"), ("a < b <p>c", "a < b\nc"), ("<article></article>", ""), ("<script>x", "")):
         assert html_text.main_text(page) == text, page
