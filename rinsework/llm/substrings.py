@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.llm import spans
-from rinsework.llm.workers import drop_shuffles, tidy
-from rinsework.session import staged
+from rinsework.llm.workers import drop_shuffles, drop_table, tidy
+from rinsework.session import staged, staged_path
 
 ANCHOR = 6  # words
 GROUPS = 1 << 20
@@ -109,8 +109,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
 
 
-def sketches(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_key, anchors, id of every document with an id."""
+def sketches(docs: DataFrame, window: int) -> str:
+    """Where doc_id, text_key, anchors, id of every document with an id are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, window: int) -> DataFrame:
                 at += len(texts)
 
     keyed = _keyed(docs).filter("doc_id is not null")
-    return staged(keyed.mapInArrow(tidy(run), "doc_id long, text_key binary, anchors array<long>").withColumn("id", F.monotonically_increasing_id()), "anchors")
+    return staged_path(keyed.mapInArrow(tidy(run), "doc_id long, text_key binary, anchors array<long>").withColumn("id", F.monotonically_increasing_id()), "anchors")
 
 
 def firsts(sketched: DataFrame) -> DataFrame:
@@ -396,8 +396,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False, most
     """doc_id, n_words, n_removed, kept: the words that stay, joined by one space, or with `digest` the SHA-256 of that."""
     if window < 1:
         raise ValueError("a window has a word at least")
-    first = firsts(sketches(docs, window))
-    drop_shuffles(docs.sparkSession)
+    spark = docs.sparkSession
+    at = sketches(docs, window)
+    first = firsts(spark.read.parquet(at))
+    drop_table(spark, at)  # firsts() are written
+    drop_shuffles(spark)
     looked = look(docs, first, window, digest)
     open_ = looked.filter("starts is not null")
     passages = open_.select("doc_id", "id", "starts", "passages")
