@@ -52,6 +52,11 @@ CITY_CANONICAL = {
     "ahmedabad": "Ahmedabad",
 }
 
+CITY_STATE = {
+    "Hyderabad": "Telangana", "Secunderabad": "Telangana", "Bengaluru": "Karnataka", "Mumbai": "Maharashtra", "Pune": "Maharashtra", "Chennai": "Tamil Nadu",
+    "Kolkata": "West Bengal", "Ahmedabad": "Gujarat", "San Francisco": "California", "New York": "New York",
+}
+
 OUTDATED_CITIES = ["hyd", "blr", "bombay", "calcutta", "madras"]
 
 NOT_IN_NAMES = [

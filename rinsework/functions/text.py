@@ -33,7 +33,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def similar(a: Column, b: Column, least: float) -> Column:
     """similarity(a, b) >= least. The edit distance is under the subsequence's, so it rules most pairs out cheaply."""
-    most = F.floor((1 - least / 100) * (F.length(a) + F.length(b)))
+    most = F.floor((1 - least / 100) * (F.length(a) + F.length(b)) + 1e-9)
     return F.when(F.levenshtein(a, b) > most, F.lit(False)).otherwise(similarity(a, b) >= least)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from rinsework.functions import constants as K
 from rinsework.functions.text import name_words, title
+from rinsework.operators.gazetteer import renamed
 from rinsework.operators.normalize import quoted
 from rinsework.operators.profile import is_numeric
 from rinsework.operators.quantiles import modes, quantiles
@@ -73,13 +74,11 @@ def standardize_by(df: DataFrame, column: str, at: str) -> DataFrame:
 
 
 def rename(df: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """Names of these kinds by expression, for columns with too many values for a mapping."""
-    from rinsework.plans.rules import renamed
-
+    """Names of these kinds, looked up by a join, for columns with too many values for a mapping."""
     kind = _kind(df, column)
     for name in names:
-        new = renamed(F.trim(quoted(column).cast("string")), name)
-        df = df.withColumn(column, new if isinstance(kind, T.StringType) else new.try_cast(kind))
+        new = F.col("new") if isinstance(kind, T.StringType) else F.col("new").try_cast(kind)
+        df = renamed(df, quoted(column), name).select(*(new.alias(c) if c == column else F.col("row")[c].alias(c) for c in df.columns))
     return df
 
 

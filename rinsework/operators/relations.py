@@ -1,10 +1,9 @@
 """Links from attributes to the names they belong to, and the issues that show in the linked records. Joins and aggregations
-over rows of entities: a record's join is by document and record, a page's by document and page, so nothing grows with the
-corpus but the number of groups."""
+over rows of entities; names are found by a sweep over places, so nothing pairs all names of a page with all its attributes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinsework.functions import constants as K
@@ -15,33 +14,50 @@ ATTRIBUTES = ["Phone", "Email", "Address", "City", "State", "InvoiceNo", "Date",
 WINDOW = 350
 
 
-def _middle(a: Column, b: Column) -> Column:
-    return (a + b) / F.lit(2.0)
+CHUNK = 1 << 16  # characters of a page that one task sweeps
 
 
-def _sides(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    at = _middle(F.col("span_start"), F.col("span_end"))
-    names = entities.filter("type = 'CustomerName'").select("doc_id", "page", "record_id", F.col("entity_id").alias("name_id"), at.alias("name_at"), F.col("span_start").alias("name_start"))
-    return names, entities.filter(F.col("type").isin(*ATTRIBUTES)).withColumn("at", at)
+def _at() -> Column:
+    """The middle of an entity; one without a place is at the start."""
+    return F.coalesce((F.col("span_start") + F.col("span_end")) / F.lit(2.0), F.lit(0.0))
 
 
-def _nearest(pairs: DataFrame, attributes: list[str]) -> DataFrame:
-    best = F.min_by("name_id", F.struct(F.abs(F.col("at") - F.col("name_at")).alias("d"), F.col("name_start"), F.col("name_id")))
-    return pairs.groupBy(*attributes).agg(best.alias("source_id"), F.count_distinct("name_id").alias("n_names"))
+def nearest_names(attributes: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """by..., at, name_id, d, n_names: for each place of an attribute the nearest name of its group, its distance, and the number of the
+    group's names; ties go to the name that starts first, then to the lesser id. attributes: by..., at; names: by..., at, name_start, name_id.
+
+    A sweep in both directions that carries the last name along. Equal places are one row before they are sorted, and long groups
+    are cut into chunks, which start from the last name of the chunks before them; so no task sorts more than a chunk, however
+    many rows a group has, and the work is linear in rows. Null groups have no names."""
+    none = F.lit(None).cast(names.select(F.struct("name_start", "name_id").alias("n")).schema["n"].dataType)
+    marks = names.select(*by, "at", F.struct("name_start", "name_id").alias("n"), F.lit(False).alias("asked"))
+    both = marks.unionByName(attributes.select(*by, "at", none.alias("n"), F.lit(True).alias("asked"))).dropna(subset=by)
+    places = both.groupBy(*by, "at").agg(F.min("n").alias("n"), F.count("n").alias("here"), F.max("asked").alias("asked"))
+    places = places.withColumn("chunk", F.floor(F.col("at") / CHUNK)).repartition(*by, "chunk")
+    mark = F.when(F.col("n").isNotNull(), F.struct("at", "n"))
+    ends = places.groupBy(*by, "chunk").agg(F.min(mark).alias("first"), F.max(mark).alias("last"), F.sum("here").alias("here"))
+    over = lambda keys, order, upto: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
+    before, after = F.last("last", True).over(over(by, F.col("chunk"), -1)), F.last("first", True).over(over(by, F.col("chunk").desc(), -1))
+    carried = ends.select(*by, "chunk", before.alias("before"), after.alias("after"), F.sum("here").over(Window.partitionBy(*by)).alias("n_names"))
+    keys = [*by, "chunk"]
+    swept = places.withColumns({"behind": F.last(mark, True).over(over(keys, F.col("at"), 0)), "ahead": F.last(mark, True).over(over(keys, F.col("at").desc(), 0))})
+    choice = lambda m: F.when(m.isNotNull(), F.struct(F.abs(F.col("at") - m["at"]).alias("d"), m["n"].alias("n")))
+    best = F.least(choice(F.coalesce("behind", "before")), choice(F.coalesce("ahead", "after")))
+    found = swept.filter("asked").join(carried, keys).select(*by, "at", best.alias("b"), "n_names").filter("b is not null")
+    return found.select(*by, "at", F.col("b.n.name_id").alias("name_id"), F.col("b.d").alias("d"), "n_names")
 
 
 def link(entities: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, source_id, target_id, relation_type, confidence: each attribute to the nearest name of its record; without one
-    there, to the page's only name, or to the nearest within the window."""
-    names, attributes = _sides(entities)
-    own = ["doc_id", "page", "entity_id", "type"]
-    inside = _nearest(attributes.filter("record_id is not null").join(names.drop("page"), ["doc_id", "record_id"]), own)
-    left = attributes.join(inside.select("doc_id", "entity_id"), ["doc_id", "entity_id"], "left_anti")
-    on_page = names.groupBy("doc_id", "page").agg(F.count("*").alias("on_page"))
-    near = left.join(names.drop("record_id"), ["doc_id", "page"]).join(on_page, ["doc_id", "page"]).filter((F.col("on_page") == 1) | (F.abs(F.col("at") - F.col("name_at")) <= window))
-    beside = _nearest(near, [*own, "on_page"])
-    edge = lambda df, c: df.select("doc_id", "source_id", F.col("entity_id").alias("target_id"), F.concat(F.lit("has_"), F.lower("type")).alias("relation_type"), c.alias("confidence"))
-    return edge(inside, F.lit(0.98)).unionByName(edge(beside, F.when(F.col("on_page") == 1, 0.95).otherwise(0.88)))
+    there, to the page's only name, or to the nearest within the window. Repeated rows of one entity are one."""
+    names = entities.filter("type = 'CustomerName'").select("doc_id", "page", "record_id", F.col("entity_id").alias("name_id"), _at().alias("at"), F.col("span_start").alias("name_start"))
+    attributes = entities.filter(F.col("type").isin(*ATTRIBUTES)).select("doc_id", "page", "record_id", "entity_id", "type", _at().alias("at")).distinct()
+    inside = nearest_names(attributes, names, ["doc_id", "record_id"]).select("doc_id", "record_id", "at", F.col("name_id").alias("own"))
+    beside = nearest_names(attributes, names, ["doc_id", "page"]).filter((F.col("n_names") == 1) | (F.col("d") <= window))
+    both = attributes.join(inside, ["doc_id", "record_id", "at"], "left").join(beside, ["doc_id", "page", "at"], "left")
+    sure = F.when(F.col("own").isNotNull(), 0.98).when(F.col("n_names") == 1, 0.95).otherwise(0.88)
+    edges = both.select("doc_id", F.coalesce("own", "name_id").alias("source_id"), F.col("entity_id").alias("target_id"), F.concat(F.lit("has_"), F.lower("type")).alias("relation_type"), sure.alias("confidence"))
+    return edges.filter("source_id is not null")
 
 
 def clusters(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -136,6 +152,5 @@ def records(entities: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("Ph
     flat = names.join(edges.select("doc_id", "source_id", "target_id"), ["doc_id", "source_id"], "left").join(targets, ["doc_id", "target_id"], "left")
     best = F.min_by("own", F.struct((-F.col("c")).alias("c"), F.col("own")))
     wide = flat.groupBy("doc_id", "name").pivot("kind", list(kinds)).agg(best)
-    states = {"Hyderabad": "Telangana", "Secunderabad": "Telangana", "Bengaluru": "Karnataka", "Mumbai": "Maharashtra", "Pune": "Maharashtra", "Chennai": "Tamil Nadu", "Kolkata": "West Bengal", "Ahmedabad": "Gujarat", "San Francisco": "California", "New York": "New York"}
-    table = F.create_map(*(F.lit(x) for pair in states.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in K.CITY_STATE.items() for x in pair))
     return wide.withColumn("State", F.coalesce("State", F.try_element_at(table, F.col("City")))) if {"City", "State"} <= set(kinds) else wide

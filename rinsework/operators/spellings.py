@@ -108,17 +108,25 @@ def _rarest(k: Column, least: float, same_digits: bool) -> Column:
     return F.transform(F.slice(F.array_sort(ranked), F.lit(1), F.greatest(many, F.lit(0))), lambda m: _signature("bag", m["c"], m["at"]))
 
 
+def alike_signatures(k: Column, least: float, same_digits: bool = False) -> tuple[Column, Column]:
+    """For the shorter and for the longer of two texts: if they are alike (`similarity` of `least` or more), one of the first is among the
+    second. Texts of one length have both roles."""
+    none = F.array().cast("array<bigint>")
+    segments = lambda f: F.when(F.length(k) <= LONG, f(k, least)).otherwise(none)
+    bag = F.when(F.length(k) * (200 - least) / least > LONG, _rarest(k, least, same_digits)).otherwise(none)
+    return F.concat(bag, segments(_own_segments)), F.concat(bag, segments(_places))
+
+
 def candidates(values: DataFrame, by: list[str], least: float, begins: int | None = None, near: int = 0, same_digits: bool = False, piece: int = 2000) -> DataFrame:
     """by..., a, b (a < b): each pair that can be alike, once or more often. values: by..., v (unique in its group) and k, the text that is compared.
 
     begins: the least length of a text that is a beginning of another; None: beginnings don't count. near: the least length of the
     shorter of two texts that differ in one place. same_digits: all texts of a group have the same digits, so these
     say nothing. Null keys join nothing."""
-    k, none = F.col("k"), F.array().cast("array<bigint>")
-    segments = lambda f: F.when(F.length(k) <= LONG, f(k, least)).otherwise(none)
-    bag = F.when(F.length(k) * (200 - least) / least > LONG, _rarest(k, least, same_digits)).otherwise(none)
-    left = F.concat(F.array(_signature("begin", k)), _halves(k, near, (0,)), bag, segments(_own_segments))
-    right = F.concat(F.array(_signature("begin", k)) if begins is None else _beginnings(k, begins), _halves(k, near, (0, 1)), bag, segments(_places))
+    k = F.col("k")
+    shorter, longer = alike_signatures(k, least, same_digits)
+    left = F.concat(F.array(_signature("begin", k)), _halves(k, near, (0,)), shorter)
+    right = F.concat(F.array(_signature("begin", k)) if begins is None else _beginnings(k, begins), _halves(k, near, (0, 1)), longer)
     sides = [staged(values.select(*by, F.col("v").alias(n), F.explode(F.array_distinct(s)).alias("s")), f"signatures-{n}") for n, s in (("a", left), ("b", right))]
     hot = sides[1].groupBy(*by, "s").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces")).filter("pieces > 1")
     hot = staged(hot, "hot")  # both sides of the join are plain shuffles then, which the optimiser may split

@@ -7,19 +7,20 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.functions import constants as K
-from rinsework.functions.text import name_words, phone_india, similarity
+from rinsework.functions.text import name_words
 from rinsework.operators.dependencies import Dependency
+from rinsework.operators.gazetteer import KINDS, meant
 from rinsework.operators.normalize import quoted
 from rinsework.operators.profile import Profile
 from rinsework.operators.semantics import SemanticType
 from rinsework.plans.ir import Step, parse_plan, to_json
 from rinsework.plans.rewrite import CONFIDENT, gate, rewrite, scope
 
-MOST_VALUES = 20_000  # distinct values of a column that a mapping may hold; beyond, the step is an expression
+MOST_VALUES = 20_000  # distinct values of a column that a mapping may hold; beyond, the step looks names up in a join
 
 
 @dataclass
@@ -77,50 +78,15 @@ def email_rules(column: str, kind: SemanticType | None) -> Iterator[Step]:
         yield _step(column, "regex_replace", 0.96, "none", "addresses differ in case and blanks, or aren't any", "addresses are trimmed, in lower case and valid", "Case and outer blanks mean nothing in an address.", "valid_email_regex", pattern=r"^\s+|\s+$", replacement="", lowercase=True, nullify_invalid=True, valid_pattern=K.EMAIL)
 
 
-def _best(value: Column, names: list[str], least: float) -> Column:
-    """The name with the highest similarity, ties to the first in order; null below `least`."""
-    scored = F.transform(F.array(*map(F.lit, sorted(names))), lambda n: F.struct(similarity(value, n).alias("s"), n.alias("n")))
-    top = F.aggregate(scored, F.struct(F.lit(-1.0).alias("s"), F.lit("").alias("n")), lambda a, x: F.when(x["s"] > a["s"], x).otherwise(a))
-    return F.when(top["s"] >= least, top["n"])
-
-
-def city_name(value: Column) -> Column:
-    """The city meant by a short name, the beginning of one, or a misspelt one; null if none."""
-    low = F.lower(F.trim(value))
-    table = F.create_map(*(F.lit(x) for pair in K.CITY_SHORT.items() for x in pair))
-    begins = F.filter(F.array(*map(F.lit, sorted(K.CITIES))), lambda n: F.startswith(n, low) & (F.length(low) >= 3))
-    return F.coalesce(F.try_element_at(table, low), F.initcap(F.get(begins, F.lit(0))), F.initcap(_best(low, K.CITIES, 80.0)))
-
-
-def state_name(value: Column) -> Column:
-    return F.initcap(_best(F.lower(F.trim(value)), sorted({*K.INDIAN_STATES, *K.US_STATES}), 80.0))
-
-
-ENTITIES: list[tuple[str, set[str], Callable[[Column], Column], bool]] = [
-    ("City", {"city", "town"}, city_name, False),
-    ("State", {"state", "province"}, state_name, False),
-    ("Phone", {"phone", "mobile", "contact"}, phone_india, True),  # true: a null is a wanted result
-]
-
-
 def entity_map(df: DataFrame, column: str, kind: str, most: int = MOST_VALUES) -> dict[str, Any] | None:
     """Values that should be written otherwise. Only distinct values are compared; None if more than `most` change."""
-    name, nulls = next((f, n) for k, _, f, n in ENTITIES if k == kind)
     value = F.trim(quoted(column).cast("string"))
-    values = df.select(value.alias("v")).filter("v is not null and v <> ''").distinct()
-    wanted = values.select("v", name(F.col("v")).alias("w"))
-    changed = wanted.filter("w is null or v <> w") if nulls else wanted.filter("w is not null and v <> w")
+    wanted = meant(df.select(value.alias("v")).filter("v is not null and v <> ''").distinct(), kind)
+    changed = wanted.filter("w is null or v <> w" if kind == "Phone" else "w is not null and v <> w")  # a number with too few digits is none
     rows = changed.limit(most + 1).collect()
     return {r.v: r.w for r in rows} if len(rows) <= most else None
 
 
-def renamed(value: Column, kind: str) -> Column:
-    """What a map of all values would make of a trimmed one, as an expression."""
-    name, nulls = next((f, n) for k, _, f, n in ENTITIES if k == kind)
-    new = name(value)
-    return F.when(value != "", new if nulls else F.coalesce(new, value)).otherwise(value)
-
-
 def mapping_rules(df: DataFrame | None, columns: list[str], dependencies: list[Dependency], kinds: dict[str, SemanticType], most: int = MOST_VALUES) -> Iterator[Step]:
     maps: dict[str, dict[str, Any]] = {}
     names: dict[str, list[str]] = {}
@@ -131,7 +97,7 @@ def mapping_rules(df: DataFrame | None, columns: list[str], dependencies: list[D
             if d.table:
                 tables.setdefault(d.dependent, []).append(d.table)
     for c in columns if df is not None else []:
-        for kind, words, _, _ in ENTITIES:
+        for kind, words in KINDS.items():
             if name_words(c) & words or c in kinds and kinds[c].kind == kind:
                 found = entity_map(df, c, kind, most)
                 maps.setdefault(c, {}).update(found or {})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rinsework.functions import constants as K
 from rinsework.functions import pii, text
-from rinsework.operators import actions, charts, checks, dependencies, governance, loss, normalize, profile, relations, semantics
+from rinsework.operators import actions, charts, checks, dependencies, gazetteer, governance, loss, normalize, profile, relations, semantics
 from rinsework.plans import provenance
 from rinsework.plans.ir import Step
 from rinsework.session import prepare, shared_dir, staged, table
@@ -380,6 +380,42 @@ def typo_pairs(spark, sf_dir):
     return pairs.select("a", "b", text.typo_variants(F.col("a"), F.col("b")).alias("variants"), F.round(text.similarity(F.lower("a"), F.lower("b")), 3).alias("similarity"))
 
 
+# names of places, misspelt, with a number, cut off or in capitals; as many of them as there are customers
+_PLACES = """select c_custkey, case c_custkey // 6 % 6 when 0 then concat(substr(b, 1, p), substr(b, p + 2)) when 1 then concat(substr(b, 1, p), 'x', substr(b, p + 1)) when 2 then concat(b, ' ', cast(c_custkey % 1000 as string))
+    when 3 then substr(b, 1, p + 2) when 4 then concat(substr(b, 1, p), cast(c_custkey % 100 as string), substr(b, p + 3)) else upper(b) end as place
+  from (select c_custkey, 1 + c_custkey % 5 as p, case c_custkey % 6 {names} end as b from customer) q"""
+CITY_PLACES = _PLACES.format(names=" ".join(f"{'else' if i == 5 else f'when {i} then'} '{n}'" for i, n in enumerate(["Hyderabad", "San Francisco", "Chennai", "los angeles", "Ahmedabad", "hyd"])))
+STATE_PLACES = _PLACES.format(names=" ".join(f"{'else' if i == 5 else f'when {i} then'} '{n}'" for i, n in enumerate(["Telangana", "north carolina", "Utah", "Tamil Nadu", "west virginia", "Jammu and Kashmir"])))
+
+
+def _meant_sql(places: str, names: list[str], sure: str) -> str:
+    capital = "array_to_string(list_transform(string_split({}, ' '), lambda x: concat(upper(x[1]), x[2:])), ' ')"
+    known = ", ".join(f"('{n}')" for n in sorted(set(names)))
+    return f"""with t as ({places}), v as (select distinct lower(trim(place)) as low from t), n(name) as (values {known}),
+s as (select low, {sure} as sure from v),
+k as (select low, name, row_number() over (partition by low order by score desc, name) as k from (select low, name, {lcs_sql("low", "name")} as score from s, n where sure is null) q where score >= 80)
+select c_custkey, place, coalesce(sure, {capital.format("k.name")}) as meant from t join s on lower(trim(place)) = s.low left join k on k.low = s.low and k.k = 1"""
+
+
+def _meant(spark: SparkSession, sf_dir: str, places: str, kind: str) -> DataFrame:
+    df = _made(spark, sf_dir, places.replace("//", "div"))
+    found = gazetteer.meant(df.select(F.trim("place").alias("v")).distinct(), kind)
+    return df.join(found, F.trim("place") == F.col("v"), "left").select("c_custkey", "place", F.col("w").alias("meant"))
+
+
+_SURE_CITY = f"""coalesce(case low {" ".join(f"when '{k}' then '{v}'" for k, v in K.CITY_SHORT.items())} end, (select array_to_string(list_transform(string_split(min(name), ' '), lambda x: concat(upper(x[1]), x[2:])), ' ') from n where length(low) >= 3 and starts_with(name, low)))"""
+
+
+@query(_meant_sql(CITY_PLACES, K.CITIES, _SURE_CITY))
+def city_names(spark, sf_dir):
+    return _meant(spark, sf_dir, CITY_PLACES, "City")
+
+
+@query(_meant_sql(STATE_PLACES, [*K.INDIAN_STATES, *K.US_STATES], "null::varchar"))
+def state_names(spark, sf_dir):
+    return _meant(spark, sf_dir, STATE_PLACES, "State")
+
+
 _GEO = "select c.c_custkey, c.c_mktsegment, n.n_nationkey, n.n_name, r.r_regionkey, r.r_name from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey"
 _GEO_COLUMNS = ["n_nationkey", "n_name", "r_regionkey", "r_name", "c_mktsegment"]
 
@@ -692,6 +728,30 @@ def phones_e164(spark, sf_dir):
     return _contacts(spark, sf_dir).select("c_custkey", "phone", text.phone_e164(F.col("phone")).alias("e164"))
 
 
+@query(
+    f"""with t as (select c_custkey, phone, regexp_replace(phone, '\\D', '', 'g') as d from ({CONTACTS}) t)
+select c_custkey, phone, case when length(d) = 10 then concat('+91-', d) when length(d) = 12 and starts_with(d, '91') then concat('+91-', substr(d, 3)) when length(d) between 1 and 9 then null else trim(phone) end as meant from t"""
+)
+def phones_of_tables(spark, sf_dir):
+    df = _contacts(spark, sf_dir)
+    found = gazetteer.meant(df.select(F.trim("phone").alias("v")).distinct(), "Phone")
+    return df.join(found, F.trim("phone") == F.col("v"), "left").select("c_custkey", "phone", F.col("w").alias("meant"))
+
+
+@query(
+    f"""with t as ({CONTACTS}), e as (select concat('d', c_custkey % 50) as doc_id, 'Phone' as type, phone as value, concat(phone, case when c_custkey % 2 = 0 then '' else ' ' end) as normalized_value from t
+  union all select concat('d', c_custkey % 50), 'Date', joined, case when starts_with(joined, '2020') then joined else 'iso' end from t),
+m as (select doc_id from e where type = 'Phone' group by 1 having count(distinct case when starts_with(trim(value), '+91') then '+91' when contains(trim(value), '-') then 'hyphenated' when regexp_full_match(trim(value), '\d+') then 'digits' end) > 1)
+select doc_id, type as field, value as current_value, normalized_value as other_value from e where value <> normalized_value and (type = 'Date' or doc_id in (select doc_id from m))"""
+)
+def mixed_layouts(spark, sf_dir):
+    t = _contacts(spark, sf_dir)
+    doc = F.concat(F.lit("d"), (F.col("c_custkey") % 50).cast("string")).alias("doc_id")
+    e = t.select(doc, F.lit("Phone").alias("type"), F.col("phone").alias("value"), F.concat("phone", F.when(F.col("c_custkey") % 2 == 0, "").otherwise(" ")).alias("normalized_value"))
+    e = e.unionByName(t.select(doc, F.lit("Date").alias("type"), F.col("joined").alias("value"), F.when(F.startswith("joined", F.lit("2020")), F.col("joined")).otherwise("iso").alias("normalized_value")))
+    return relations.layouts(e).select("doc_id", "field", "current_value", "other_value")
+
+
 _LINKS = f"""e as ({ENTITIES}), n as (select doc_id, page, record_id, entity_id as name_id, (span_start + span_end) / 2.0 as name_at, span_start as name_start from e where type = 'CustomerName'),
 a as (select *, (span_start + span_end) / 2.0 as at from e where type <> 'CustomerName'),
 i as (select doc_id, entity_id, type, name_id from (select a.doc_id, a.entity_id, a.type, n.name_id, row_number() over (partition by a.doc_id, a.page, a.entity_id, a.type order by abs(a.at - n.name_at), n.name_start, n.name_id) as k
@@ -710,6 +770,17 @@ def nearest_link(spark, sf_dir):
     return relations.link(_entities(spark, sf_dir))
 
 
+@query(
+    f"""with {_LINKS}, o2 as (select doc_id, page, count(*) as c from n group by 1, 2)
+select doc_id, name_id as source_id, entity_id as target_id, concat('has_', lower(type)) as relation_type, case when c = 1 then 0.95 else 0.88 end::double as confidence
+from (select a.doc_id, a.entity_id, a.type, n.name_id, o2.c, row_number() over (partition by a.doc_id, a.entity_id order by abs(a.at - n.name_at), n.name_start, n.name_id) as k
+  from a join n on a.doc_id = n.doc_id and a.page = n.page join o2 on o2.doc_id = a.doc_id and o2.page = a.page where o2.c = 1 or abs(a.at - n.name_at) <= 350) q where k = 1"""
+)
+def page_link(spark, sf_dir):
+    """Without records, all attributes go to the nearest name of their page."""
+    return relations.link(_entities(spark, sf_dir).withColumn("record_id", F.lit(None).cast("string")))
+
+
 def _clusters(spark, sf_dir):
     e = _entities(spark, sf_dir)
     return relations.clusters(e, relations.link(e))
