@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rinsework.functions import constants as K
 from rinsework.functions import pii, text
-from rinsework.operators import actions, charts, checks, dependencies, gazetteer, governance, loss, normalize, profile, relations, semantics
+from rinsework.operators import actions, charts, checks, dependencies, gazetteer, governance, increments, loss, normalize, profile, quantiles, relations, semantics
 from rinsework.plans import provenance
 from rinsework.plans.ir import Step
 from rinsework.session import prepare, shared_dir, staged, table
@@ -147,6 +147,31 @@ def profile_numeric_dirty(spark, sf_dir):
     return profile.numeric_profile(_dirty(spark, sf_dir), places=4)
 
 
+_GROWN = ["c_custkey", "c_acctbal", "c_nationkey"]
+
+
+@query(
+    f"with t as ({DIRTY}) "
+    + " union all ".join(
+        f"""select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, round(min({c})::double, 2) as "min", round(max({c})::double, 2) as "max", round(avg({c})::double, 2) as mean, round(stddev_samp({c})::double, 2) as std, true as near from t"""
+        for c in _GROWN
+    )
+)
+def profile_of_growing_table(spark, sf_dir):
+    """A folder that gets new files twice; a refresh reads these alone. near: distinct values and the median are those of a full run
+    within the errors of the sketches."""
+    at, df = _at(spark, "growing"), _dirty(spark, sf_dir).select(*_GROWN)
+    grown = increments.GrowingProfile(spark, at, at + "-states")
+    for i in range(3):
+        df.filter(F.col("c_custkey") % 3 == i).write.mode("append").parquet(at)
+        found = grown.profile()
+    whole = spark.read.parquet(at)
+    exact = profile.distinct_profile(whole, _GROWN).select("column_name", F.col("card").alias("exact"))
+    low_high = quantiles.quantiles(whole.select(F.inline(F.array(*(F.struct(F.lit(c).alias("g"), F.col(c).cast("double").alias("x")) for c in _GROWN)))), (0.49, 0.51)).select(F.col("g").alias("column_name"), "q")
+    near = (F.abs(F.col("card") - F.col("exact")) <= 0.08 * F.col("exact")) & F.col("q50").between(F.floor(F.col("q")[0]), F.ceil(F.col("q")[1]))
+    return found.join(exact, "column_name").join(low_high, "column_name").select("column_name", "n_rows", "n_null", "min", "max", "mean", "std", near.alias("near"))
+
+
 def _distinct_sql(of: str, columns: list[str]) -> str:
     one = lambda c: (
         f"select '{c}' as column_name, (select count(distinct {c}) + max(case when {c} is null then 1 else 0 end) from t) as card, (select count(*) - count({c}) from t) as n_null, "
