@@ -117,6 +117,36 @@ def test_a_rare_language_among_many(spark):
     assert np.mean([got[i] == x for i, x in wanted.items()]) > 0.98 and all(got[i] == "l00" for i in range(5000, 5020))
 
 
+def test_a_model_of_150_languages_is_no_larger(spark, monkeypatch):
+    """Its size is that of what was counted, its rows are those of dense tables, and a worker's memory may be short."""
+    rnd = np.random.default_rng(5)
+    totals = rnd.integers(500, 900, 150).astype(float)
+    counts = {f"w{k}": {int(i): float(rnd.integers(1, 50)) for i in sorted(rnd.choice(150, 3, replace=False))} for k in range(4000)}
+    monkeypatch.setattr(langid, "KEPT_BYTES", 20_000)
+    table = langid.Table.of(counts, totals)
+    assert sum(x.nbytes for x in table.parts[1:]) < 12 * 3 * 4000 + 8 * 4001 + 8 * 150 + 1000
+    for k, by in [*counts.items()][::97] * 2:
+        own = np.array([by.get(i, 0.0) for i in range(150)])
+        logs = np.log((own + 0.5) / (totals + 0.5 * len(counts) + 1))
+        assert np.array_equal(table[k], logs - logs.mean()) and len(table.rows) <= table.most < 20
+    assert "x" not in table and table.get("x") is None
+
+
+def test_one_id_on_most_rows_and_many_languages(spark):
+    """Only about `sample` rows of a hot id are learnt from, and each of 120 languages is found."""
+    rnd = random.Random(8)
+    vocabulary = [["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(15)] for _ in range(120)]
+    rows = [(7 if i % 3 else i, " ".join(rnd.choice(vocabulary[i % 120]) for _ in range(25)), f"l{i % 120:03}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True), sample=1200, words=6000, grams=6000)
+    assert len(model.languages) == 120
+    got = langid.predict(docs, model).collect()
+    assert np.mean([g.lang_pred == r[2] for g, r in zip(got, rows, strict=True)]) > 0.99
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05}")
+    hot = spark.createDataFrame([(7, f"{letters(i)} " * 3, "en") for i in range(3000)], docs.schema)
+    assert 50 < len(langid.learn(hot, F.lit(True), sample=100).words) < 200  # a word for each row
+
+
 # quality rules
 
 
