@@ -766,7 +766,7 @@ def phones_of_tables(spark, sf_dir):
 @query(
     f"""with t as ({CONTACTS}), e as (select concat('d', c_custkey % 50) as doc_id, 'Phone' as type, phone as value, concat(phone, case when c_custkey % 2 = 0 then '' else ' ' end) as normalized_value from t
   union all select concat('d', c_custkey % 50), 'Date', joined, case when starts_with(joined, '2020') then joined else 'iso' end from t),
-m as (select doc_id from e where type = 'Phone' group by 1 having count(distinct case when starts_with(trim(value), '+91') then '+91' when contains(trim(value), '-') then 'hyphenated' when regexp_full_match(trim(value), '\d+') then 'digits' end) > 1)
+m as (select doc_id from e where type = 'Phone' group by 1 having count(distinct case when starts_with(trim(value), '+91') then '+91' when contains(trim(value), '-') then 'hyphenated' when regexp_full_match(trim(value), '\\d+') then 'digits' end) > 1)
 select doc_id, type as field, value as current_value, normalized_value as other_value from e where value <> normalized_value and (type = 'Date' or doc_id in (select doc_id from m))"""
 )
 def mixed_layouts(spark, sf_dir):
