@@ -123,6 +123,8 @@ def candidates(values: DataFrame, by: list[str], least: float, begins: int | Non
     begins: the least length of a text that is a beginning of another; None: beginnings don't count. near: the least length of the
     shorter of two texts that differ in one place. same_digits: all texts of a group have the same digits, so these
     say nothing. Null keys join nothing."""
+    many = staged(values.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by), "groups")
+    values = staged(values.join(many, by, "left_semi"), "values")  # a text alone in its group meets none: it needs no signatures
     k = F.col("k")
     shorter, longer = alike_signatures(k, least, same_digits)
     left = F.concat(F.array(_signature("begin", k)), _halves(k, near, (0,)), shorter)

@@ -66,3 +66,19 @@ def test_many_spellings_under_one_x(spark):
     began = time.time()
     assert dependencies.variants(pairs).count() > 500
     assert time.time() - began < 120
+
+
+def test_texts_alone_in_their_group_need_no_signatures(spark, monkeypatch):
+    """Names with digits of their own meet no other name, so only the two others have signatures."""
+    rows, plain = {}, spellings.staged
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(spellings, "staged", counted)
+    one = spark.range(500, numPartitions=1).selectExpr("'x' as x", "concat('Customer#', lpad(id, 9, '0')) as y", "1L as n")
+    both = one.unionByName(spark.createDataFrame([("x", "Hyderabad", 1), ("x", "Hyderbad", 1)], "x string, y string, n long"))
+    assert [(r.a, r.b) for r in dependencies.variants(both).collect()] == [("Hyderabad", "Hyderbad")]
+    assert rows["values"] == 2 and rows["signatures-a"] + rows["signatures-b"] < 500
