@@ -35,3 +35,37 @@ def test_drift_of_many_texts_in_time(spark):
     began = time.time()
     assert loss.drift(a, a, "c").first()[0] == 0
     assert time.time() - began < 20
+
+
+def test_equal_texts_of_a_batch_get_one_vector(spark, monkeypatch):
+    plain = loss._vectors
+
+    def strict(texts, known):
+        assert len(set(texts)) == len(texts)
+        return plain(texts, known)
+
+    monkeypatch.setattr(loss, "_vectors", strict)
+    a = spark.range(5_000, numPartitions=1).selectExpr("concat('Value ', id % 5) as c")
+    assert loss.drift(a, a, "c").first()[0] == 0
+
+
+def test_wording_is_jaccard_and_drift(spark):
+    a = spark.createDataFrame([(x,) for x in ["red", "Red", " red ", "", "  ", None, "gr\u00fcn", "blue", "blue", "ab"]], "c string")
+    b = spark.createDataFrame([(x,) for x in ["red", "", "blue", "violet", None, "gr\u00fcn"] * 3], "c string")
+    for x, y in ((a, b), (b, a), (a, a), (a.limit(0), b), (a.limit(0), b.limit(0)), (a.filter("trim(c) = ''"), b)):
+        assert tuple(loss.wording(x, y, "c").first()) == (loss.jaccard(x, y, "c").first()[0], loss.drift(x, y, "c").first()[0])
+
+
+def test_utility_goes_by_no_partitions(spark):
+    """Forests draw rows by partition and position: the score of three classes went by the number of shuffle partitions."""
+    rows = spark.range(6_000).selectExpr("cast(id % 97 as double) as a", "concat('w', id % 13) as b", "concat('y', hash(id) % 3) as c")
+    kept, found = rows.filter("a > 30"), []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(loss.utility(rows, kept, "c"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0].status == "measured" and found[0] == found[1]
